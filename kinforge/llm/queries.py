@@ -7,25 +7,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from . import hamming_search
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed public vocabulary is; a parameter of the operators."""
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
 
 
-def _of(module: str, function: str, *args: Callable) -> Callable[[SparkSession, str], DataFrame]:
+def _of(module: str, function: str, tables: tuple[str, ...] = ("documents",), file: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         apply = getattr(importlib.import_module(f"{__package__}.{module}"), function)
-        return apply(documents(spark, sf_dir), *[a() for a in args])
+        return apply(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables], *([vocabulary(file)] if file else []))
 
     return query
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_dac_tokens": _of("dac_store", "op4_dac", vocabulary),
-    "op7_bpe_transducer": _of("bpe_transducer", "op7_bpe", vocabulary),
+    "op3_decontaminate": _of("decontaminate", "op3_decontaminate", ("documents", "benchmark")),
+    "op4_dac_tokens": _of("dac_store", "op4_dac", file="word_bpe_49k.json"),
+    "op5_feistel_pii": _of("feistel_pii", "op5_pii"),
+    "op7_bpe_transducer": _of("bpe_transducer", "op7_bpe", file="word_bpe_49k.json"),
+    "op8_simhash": _of("simhash_index", "op8_simhash"),
+    "op9_langid": _of("unigram_langid", "op9_langid", file="piece_bpe_32k.model"),
+    "op10_hamming_topk": _of("hamming_search", "op10_search", ("embeddings",)),
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_hamming_topk": hamming_search.SQL}
