@@ -41,7 +41,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyed_text(docs: DataFrame) -> DataFrame:
     """(doc_id, salt, text): a key that is never null, text null as empty. salt tells rows of one doc_id with different texts apart; rows equal in both are treated alike."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).cast("int").alias("salt"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.pmod(F.xxhash64(text), F.lit(2**31 - 1)).cast("int").alias("salt"), text.alias("text"))
 
 
 def shown_id() -> Column:
@@ -77,6 +77,14 @@ def row_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def split_texts(texts: list[bytes], learn: Callable[[set[bytes]], None], slice_bytes: int = 4 << 20) -> Iterator[list[bytes]]:
+    """Each text's words (apart by ASCII white space), after `learn` has got the distinct words of a slice of texts."""
+    for i, j in chunks(np.concatenate(([0], np.cumsum([len(x) for x in texts]))), slice_bytes):
+        split = [x.split() for x in texts[i:j]]
+        learn(set().union(*split))
+        yield from split
+
+
 def per_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
     """A mapInArrow function of one that maps a batch."""
 

@@ -26,9 +26,12 @@ def _of(module: str, function: str, tables: tuple[str, ...] = ("documents",), fi
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": _of("suffix_dedup", "op1_suffix"),
+    "op2_phrase_dedup": _of("phrase_dedup", "op2_phrases"),
     "op3_decontaminate": _of("decontaminate", "op3_decontaminate", ("documents", "benchmark")),
     "op4_dac_tokens": _of("dac_store", "op4_dac", file="word_bpe_49k.json"),
     "op5_feistel_pii": _of("feistel_pii", "op5_pii"),
+    "op6_backoff_lm": _of("backoff_lm", "op6_backoff_lm"),
     "op7_bpe_transducer": _of("bpe_transducer", "op7_bpe", file="word_bpe_49k.json"),
     "op8_simhash": _of("simhash_index", "op8_simhash"),
     "op9_langid": _of("unigram_langid", "op9_langid", file="piece_bpe_32k.model"),
