@@ -17,18 +17,20 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import batched
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import row_texts
+from .common import row_texts, split_texts
 
 #: Distinct words a Python worker remembers; only speed depends on it.
-CACHE = 150_000
+CACHE = 900_000
 
 
 def byte_alphabet() -> list[str]:
@@ -82,6 +84,7 @@ class Transducer:
         for r, pair in enumerate(pairs):
             self.rank.setdefault(pair, r)
         self.alphabet = byte_alphabet()
+        self.bytes_of = {c: b for b, c in enumerate(self.alphabet)}
         steps = {s["type"]: s for s in spec["normalizer"]["normalizers"]}
         if set(steps) != {"NFC", "Replace", "Lowercase"}:
             raise ValueError("unsupported normalizer")
@@ -91,6 +94,7 @@ class Transducer:
         #: No token has more symbols than this, so a merge at one place never depends on symbols further away than the tokens that touch it.
         self.longest = max((len(t.removesuffix(self.end)) for t in self.vocab), default=1)
         self.joins = self._joins()
+        self._table = None
         self.remembered = WordCodes(self.piece_ids)
         self.lookahead = self._lookahead(pairs)
 
@@ -174,6 +178,71 @@ class Transducer:
             return [*self._ids(symbols)]
         return [*self.stream(symbols)]
 
+    def lockstep(self, pieces: Sequence[str]) -> list[list[int]]:
+        """piece_ids of many pre-tokens at once: the runs between split points step together, each merging its pair of least rank, leftmost first."""
+        if self._table is None:
+            of = self.vocab
+            merges = [(of[a] << 32 | of[b], r, of[a + b if not a.endswith(self.end) else a + b]) for (a, b), r in self.rank.items()]
+            merges.sort()
+            self._table = tuple(np.array(c, np.int64) for c in zip(*merges))
+            self._single = [np.array([of.get(c + e, -1) for c in self.alphabet], np.int64) for e in ("", self.end)]
+            joins = np.zeros((256, 512), bool)
+            place = {c: i for i, c in enumerate(self.alphabet)}
+            for a, b in self.joins:
+                if a in place:
+                    joins[place[a], place[b[0]] + 256 * (len(b) > 1)] = True
+            self._joined = joins
+        keys, ranks, made = self._table
+        raw = [p.encode("utf-8") for p in pieces]
+        data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        last = np.cumsum(size) - 1
+        final = np.zeros(len(data), bool)
+        final[last] = True
+        symbol = np.where(final, self._single[1][data], self._single[0][data])
+        cut = np.ones(len(data), bool)  # a run begins here: at a pre-token's start and after a split point
+        cut[1:] = final[:-1] | ~self._joined[data[:-1], data[1:] + 256 * final[1:]]
+        run = np.cumsum(cut) - 1
+        none = np.int64(len(ranks))
+
+        def rank_at(i: np.ndarray) -> np.ndarray:
+            """Rank and product of the pair at places i and i + 1 (none where they are of different runs)."""
+            j = np.minimum(i + 1, len(symbol) - 1)
+            pair = symbol[i] << 32 | symbol[j]
+            at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+            return np.where((i + 1 < len(symbol)) & (run[j] == run[i]) & (keys[at] == pair), ranks[at], none)
+
+        out_symbol, out_run, out_place = [], [], []
+        place = np.arange(len(data))
+        rank = rank_at(np.arange(len(symbol)))
+        while len(symbol):
+            first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+            best = np.minimum.reduceat(rank, first)
+            live = best < none
+            if not live.all():  # stable runs leave
+                gone = np.repeat(~live, np.diff(np.append(first, len(symbol))))
+                out_symbol.append(symbol[gone])
+                out_run.append(run[gone])
+                out_place.append(place[gone])
+                symbol, run, place, rank = symbol[~gone], run[~gone], place[~gone], rank[~gone]
+                continue
+            here = np.flatnonzero(rank == np.repeat(best, np.diff(np.append(first, len(symbol)))))
+            here = here[np.concatenate(([True], run[here[1:]] != run[here[:-1]]))]
+            pair = symbol[here] << 32 | symbol[here + 1]
+            symbol[here] = made[np.searchsorted(keys, pair)]
+            keep = np.ones(len(symbol), bool)
+            keep[here + 1] = False
+            here = here - np.arange(len(here))
+            symbol, run, place, rank = symbol[keep], run[keep], place[keep], rank[keep]
+            rank[here] = rank_at(here)
+            before = here[here > 0] - 1
+            rank[before] = rank_at(before)
+        order = np.argsort(np.concatenate(out_place))
+        ids, place = np.concatenate(out_symbol)[order], np.concatenate(out_place)[order]
+        cuts = np.searchsorted(place, last, "right").tolist()
+        ids = ids.tolist()
+        return [[i for i in ids[a:b] if i >= 0] for a, b in zip([0, *cuts[:-1]], cuts)]
+
     def normalized(self, text: str) -> str:
         """NFC, white space to one space, and each character lower-cased by itself."""
         text = unicodedata.normalize("NFC", text)
@@ -204,7 +273,7 @@ class TextDecoder:
 
     def __init__(self, transducer: Transducer, joined: bool = True):
         self.t, self.joined, self.first = transducer, joined, True
-        self.bytes_of = {c: b for b, c in enumerate(transducer.alphabet)}
+        self.bytes_of = transducer.bytes_of
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, i: int) -> str:
@@ -216,6 +285,12 @@ class TextDecoder:
         body = token.removesuffix(self.t.end) if ends else token
         return self.utf8.decode(bytes(self.bytes_of[c] for c in body if c in self.bytes_of) + b" " * ends)
 
+    def feed_all(self, ids: list[int]) -> str:
+        """The rest of a sequence of known ids at once."""
+        if self.joined and self.first:
+            return " ".join([self.t.text_of[i] for i in ids if i in self.t.text_of])
+        return "".join(map(self.feed, ids)) + self.finish()
+
     def finish(self) -> str:
         return "" if self.joined else self.utf8.decode(b"", True)
 
@@ -249,29 +324,46 @@ def encoded(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
 
-        def both(word: bytes) -> tuple[int, bytes, bytes] | None:
-            ids = t.encode(word.decode("utf-8"))
-            machine = TextDecoder(t)
-            text = "".join(map(machine.feed, ids)) + machine.finish()
-            return (len(ids), " ".join(map(str, ids)).encode(), text.encode()) if ids else None
+        codes: dict[bytes, tuple[int, bytes, bytes] | None] = {}
+        seen: dict[str, tuple[int, bytes, bytes] | None] = {}
+
+        def shown(ids: list[int]) -> tuple[int, bytes, bytes] | None:
+            return (len(ids), " ".join(map(str, ids)).encode(), TextDecoder(t).feed_all(ids).encode()) if ids else None
+
+        def learned(words: set[bytes]) -> None:
+            new = words.difference(codes)
+            if len(codes) + len(new) > CACHE:
+                codes.clear()
+                seen.clear()
+                new = words
+            for some in batched(new, 20_000):
+                split = []
+                for w in some:
+                    text = w.decode("utf-8")
+                    if t.special and t.special.search(text):
+                        codes[w] = shown(t.encode(text))
+                    else:
+                        split.append((w, t.pieces.findall(t.normalized(text))))
+                fresh = [p for p in {p for _, pieces in split for p in pieces} if p not in seen]
+                short = [p for p in fresh if len(p) <= 64]
+                for part in batched(short, 8192):
+                    seen.update(zip(part, map(shown, t.lockstep(part))))
+                seen.update((p, shown(t.piece_ids(p))) for p in fresh if len(p) > 64)
+                for w, pieces in split:
+                    if len(pieces) == 1:
+                        codes[w] = seen[pieces[0]]
+                    else:
+                        parts = [x for x in map(seen.__getitem__, pieces) if x]
+                        codes[w] = (sum(x[0] for x in parts), b" ".join([x[1] for x in parts]), b" ".join([x[2] for x in parts])) if parts else None
 
-        codes = WordCodes(both)
         for batch in batches:
             n, ids, decoded = [], [], []
-            for text in row_texts(batch.column(at)):
-                total, si, sd = 0, hashlib.sha256(), hashlib.sha256()
-                words, lead = text.split(), b""
-                for i in range(0, len(words), 4096):
-                    found = [x for x in map(codes.__getitem__, words[i : i + 4096]) if x]
-                    if found:
-                        count, a, b = zip(*found)
-                        total += sum(count)
-                        si.update(lead + b" ".join(a))
-                        sd.update(lead + b" ".join(b))
-                        lead = b" "
-                n.append(total)
-                ids.append(si.hexdigest())
-                decoded.append(sd.hexdigest())
+            for words in split_texts(row_texts(batch.column(at)), learned):
+                found = [x for x in map(codes.__getitem__, words) if x]
+                counts, a, b = zip(*found) if found else ((), (), ())
+                n.append(sum(counts))
+                ids.append(hashlib.sha256(b" ".join(a)).hexdigest())
+                decoded.append(hashlib.sha256(b" ".join(b)).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[*batch.schema.names, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.mapInArrow(run, schema)
