@@ -23,12 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import id_crc32, row_texts
+from .common import chunks, id_crc32, row_texts
 
 SAMPLE_PER_LANG = 1000
 #: Added to each piece's count in each language.
 SMOOTHING = 0.1
 SPACE = "▁"
+MULTIPLY = 0x9E3779B97F4A7C15
+#: Distinct words a worker remembers, and the bytes of text it looks up together; only speed depends on them.
+REMEMBERED, SLICE = 600_000, 4 << 20
 
 
 @lru_cache(maxsize=1)
@@ -103,6 +106,71 @@ class Forward:
             step = step * self.p[self.fallback[b]]
         return tuple(step.tolist())
 
+    def prepare(self) -> None:
+        """Sorted hashes of all pieces' prefixes, with the piece each one is (-1: none), for words()."""
+        found: dict[int, int] = {}
+        for piece, i in self.ids.items():
+            h = 0
+            for k, c in enumerate(piece, 1):
+                h = ((h ^ ord(c)) * MULTIPLY + k) % (1 << 64)
+                found[h] = i if k == len(piece) else found.get(h, -1)
+        self.known = np.array(sorted(found), np.uint64)
+        self.piece = np.array([found[h] for h in self.known.tolist()], np.int64)
+
+    def words(self, raws: list[bytes]) -> np.ndarray:
+        """word() of many words at once: all places of all words step together, so a place costs a few array operations."""
+        out = np.zeros((len(raws), self.n))
+        texts = [SPACE + r.decode("utf-8", "replace").lower() for r in raws]
+        short = [k for k, t in enumerate(texts) if len(t) <= 32]
+        for k in (k for k, t in enumerate(texts) if len(t) > 32):
+            out[k] = self.word(raws[k])
+        if not short:
+            return out
+        flat = np.frombuffer("".join(texts[k] for k in short).encode("utf-32-le"), "<u4").astype(np.uint64)
+        sizes = np.fromiter((len(texts[k]) for k in short), np.int64, len(short))
+        first = np.cumsum(sizes) - sizes
+        left = np.repeat(first + sizes, sizes) - np.arange(len(flat))  # characters from each place to its word's end
+        starts, hashes, edges = np.arange(len(flat)), np.zeros(len(flat), np.uint64), []
+        for k in range(1, min(self.longest, int(sizes.max())) + 1):
+            hashes = (hashes ^ flat[starts + k - 1]) * np.uint64(MULTIPLY) + np.uint64(k)
+            at = np.searchsorted(self.known, hashes)
+            at[at == len(self.known)] = 0
+            alive = self.known[at] == hashes
+            piece = np.where(alive, self.piece[at], -1)
+            if k == 1:
+                single = piece < 0
+                odd = {int(c): self.bytes_of(chr(c)) for c in np.unique(flat[starts[single]])}
+            whole = piece >= 0
+            edges.append((starts[whole], piece[whole]))
+            keep = alive & (left[starts] > k)
+            starts, hashes = starts[keep], hashes[keep]
+        # Forward sums by place within the word; node j of a word stands before its j-th character.
+        ahead = np.zeros((len(flat) + len(short), self.n))
+        node = np.arange(len(flat)) + np.repeat(np.arange(len(short)), sizes)
+        ahead[first + np.arange(len(short))] = 1.0
+        rank = np.arange(len(flat)) - np.repeat(first, sizes)
+        groups = []
+        for k, (start, piece) in enumerate(edges, 1):
+            order = np.argsort(rank[start], kind="stable")
+            start, piece = start[order], piece[order]
+            groups.append((start, piece, np.searchsorted(rank[start], np.arange(34))))
+        lone = np.flatnonzero(single)
+        lone = lone[np.argsort(rank[lone], kind="stable")]
+        lone_at = np.searchsorted(rank[lone], np.arange(34))
+        lone_p = np.array([odd[int(c)] for c in flat[lone]]).reshape(len(lone), self.n)
+        for i in range(int(sizes.max())):
+            a, b = lone_at[i], lone_at[i + 1]
+            if b > a:
+                ahead[node[lone[a:b]] + 1] += ahead[node[lone[a:b]]] * lone_p[a:b]
+            for k, (start, piece, cut) in enumerate(groups, 1):
+                a, b = cut[i], cut[i + 1]
+                if b > a:
+                    here = node[start[a:b]]
+                    ahead[here + k] += ahead[here] * self.p[piece[a:b]]
+        with np.errstate(divide="ignore"):
+            out[short] = np.maximum(np.log(ahead[first + np.arange(len(short)) + sizes]), -745.0)
+        return out
+
 
 def has_letter(text: bytes) -> bool:
     return any(map(str.isalpha, text.decode("utf-8", "replace")))
@@ -150,39 +218,44 @@ def identified(docs: DataFrame, names: list[str], log_probs: np.ndarray, path: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, log_probs = model.value
         forward = Forward(path, log_probs) if names else None
+        if forward:
+            forward.prepare()
         known: dict[bytes, int] = {}
-        table = np.zeros((100_000, max(1, len(names))))
-
-        def place(word: bytes) -> int:
-            at = known.get(word)
-            if at is None:
-                if len(known) >= len(table):
-                    raise OverflowError
-                at = len(known)
-                table[at] = forward.word(word)
-                known[word] = at
-            return at
-
-        def likelihood(words: list[bytes]) -> np.ndarray:
+        table = np.zeros((0, max(1, len(names))))
+
+        def learned(words: set[bytes]) -> None:
+            nonlocal table
+            new = words.difference(known)
+            if len(known) + len(new) > REMEMBERED and known:
+                known.clear()
+                new = words
+            fresh = list(new)
+            for i in range(0, len(fresh), 4096):
+                part = fresh[i : i + 4096]
+                n = len(known)
+                if n + len(part) > len(table):
+                    table = np.concatenate([table[:n], np.zeros((max(len(part), n // 2, 65536), table.shape[1]))])
+                table[n : n + len(part)] = forward.words(part)
+                known.update(zip(part, range(n, n + len(part))))
+
+        def posterior(words: list[bytes]) -> tuple[str, float]:
             total = np.zeros(len(names))
-            for i in range(0, len(words), 4096):
-                part = words[i : i + 4096]
-                if len(known) + len(part) > len(table):
-                    known.clear()
-                total += table[np.fromiter(map(place, part), np.int64, len(part))].sum(0)
-            return total
+            for i in range(0, len(words), 65536):
+                part = words[i : i + 65536]
+                total += table[np.fromiter(map(known.__getitem__, part), np.int64, len(part))].sum(0)
+            best = int(total.argmax())
+            return names[best], float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum())
 
         for batch in batches:
             preds, scores = [], []
-            for text in row_texts(batch.column(at)):
-                if forward is None or not has_letter(text):
-                    preds.append("und")
-                    scores.append(0.0)
-                    continue
-                total = likelihood(text.split())
-                best = int(total.argmax())
-                preds.append(names[best])
-                scores.append(float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum()))
+            texts = row_texts(batch.column(at))
+            for i, j in chunks(np.concatenate(([0], np.cumsum([len(t) for t in texts]))), SLICE):
+                split = [t.split() if forward and has_letter(t) else None for t in texts[i:j]]
+                learned(set().union(*filter(None, split)))
+                for words in split:
+                    pred, score = posterior(words) if words else ("und", 0.0)
+                    preds.append(pred)
+                    scores.append(score)
             columns = batch.columns if keep else [batch.column(0)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema.fields])
 
