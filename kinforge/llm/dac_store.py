@@ -15,6 +15,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_transducer import WordCodes
-from .common import row_texts, written
+from .common import row_texts, split_texts, written
 
 BLOCK = 512
 #: Ids after which a segment is closed; a longer document has a segment of its own.
 SEGMENT_IDS = 2_000_000
+#: Distinct words a Python worker remembers; only speed depends on it.
+CACHE = 900_000
 
 
 def pack(ids: np.ndarray, bits: int = 8) -> bytes:
@@ -124,7 +126,17 @@ def write_segments(docs: DataFrame, path: str, end_id: int = 1, bits: int = 8, s
         model.no_truncation()
         model.no_padding()
         kind = np.uint16 if max(model.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
-        codes = WordCodes(lambda word: np.array(model.encode(word.decode("utf-8"), add_special_tokens=False).ids, kind).tobytes())
+        codes: dict[bytes, bytes] = {}
+
+        def learned(words: set[bytes]) -> None:
+            new = words.difference(codes)
+            if len(codes) + len(new) > CACHE:
+                codes.clear()
+                new = words
+            for some in batched(new, 10_000):
+                for word, e in zip(some, model.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
+                    codes[word] = np.array(e.ids, kind).tobytes()
+
         end = np.array([end_id], kind).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         parts, ids, known, counts, held = [], [], [], [], 0
@@ -135,9 +147,9 @@ def write_segments(docs: DataFrame, path: str, end_id: int = 1, bits: int = 8, s
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["part", "seq", "n_tokens", "doc_ids", "known", "doc_tokens", "codes"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), row_texts(batch.column(1)), strict=True):
+            for doc_id, words in zip(batch.column(0).to_pylist(), split_texts(row_texts(batch.column(1)), learned), strict=True):
                 # Pre-tokens never cross ASCII white space: the words' ids, one after another, are the text's.
-                data = b"".join(map(codes.__getitem__, text.split())) + end
+                data = b"".join(map(codes.__getitem__, words)) + end
                 n = len(data) // np.dtype(kind).itemsize
                 if held and held + n > segment_ids:
                     yield closed()
