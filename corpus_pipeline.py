@@ -10,11 +10,12 @@ from kinforge.llm.common import NULL_ID, written
 from kinforge.llm.queries import vocabulary
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame, keep) -> DataFrame:
-    """The rows of docs whose verdict holds, matched by null-safe doc_id; columns as before."""
+def _kept(docs: DataFrame, verdicts: DataFrame, keep, once: bool = False) -> DataFrame:
+    """The rows of docs whose verdict holds, matched by null-safe doc_id; once: one row of each doc_id. Columns as before."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     good = verdicts.filter(keep).select(key.alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(good, "_key", "left_semi").select(*docs.columns)
+    rows = docs.withColumn("_key", key).join(good, "_key", "left_semi")
+    return (rows.dropDuplicates(["_key"]) if once else rows).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component (8): the one of least doc_id."""
     found = simhash_index.near_duplicates(docs.select("doc_id", "text"))
-    return _kept(docs, found, F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["doc_id"])
+    return _kept(docs, found, F.col("doc_id").eqNullSafe(F.col("component_id")), once=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
