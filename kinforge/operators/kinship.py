@@ -153,11 +153,12 @@ def pair_kinship(ped: Pedigree, pairs: DataFrame, exact: bool = False) -> DataFr
 
     Where nobody is inbred and there are no twins, phi is the category's constant unless exact; else it is looked up, 0 where absent.
     """
-    r = inbreeding(ped).agg(F.coalesce(F.max(F.abs("f") > 0), F.lit(False)).alias("bred")).crossJoin(ped.people.agg(F.coalesce(F.max(F.col("tw").isNotNull()), F.lit(False)).alias("twins"))).first()
+    whole = getattr(ped, "full", ped)  # a sample's pedigree shares what its full one keeps
+    r = inbreeding(whole).agg(F.coalesce(F.max(F.abs("f") > 0), F.lit(False)).alias("bred")).crossJoin(ped.people.agg(F.coalesce(F.max(F.col("tw").isNotNull()), F.lit(False)).alias("twins"))).first()
     if not exact and not r["bred"] and not r["twins"]:
         return pairs.join(F.broadcast(registry(ped.spark).select("code", F.col("kinship").alias("phi"))), "code").select("code", "idx1", "idx2", "phi")
     graph = pairs.select("code", "idx1", "idx2", F.col("idx1").alias("i"), F.col("idx2").alias("j"))
     if ped.sample is not None:
         back = ped.sample.select("caller_row", "row")
         graph = pairs.join(back.toDF("idx1", "i"), "idx1").join(back.toDF("idx2", "j"), "idx2")
-    return graph.join(kinship(ped), ["i", "j"], "left").select("code", "idx1", "idx2", F.coalesce("phi", F.lit(0.0)).alias("phi"))
+    return graph.join(kinship(whole), ["i", "j"], "left").select("code", "idx1", "idx2", F.coalesce("phi", F.lit(0.0)).alias("phi"))

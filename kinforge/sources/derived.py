@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .pedigree import Pedigree
+from .pedigree import Pedigree, numbered
 
 SQL = """
 WITH n AS (SELECT count(*) div 6 AS w0 FROM {customer}), w AS (SELECT w0 - (w0 % 2) AS w FROM n),
@@ -25,12 +26,18 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pedigree(spark: SparkSession, sf_dir: str) -> Pedigree:
-    """The derived rows meet the model's conditions by construction."""
-    return Pedigree(rows(spark, sf_dir), validate=False)
+    """One pedigree a session and folder, so that queries share what it keeps. The derived rows meet the model's conditions by construction."""
+    known = spark.__dict__.setdefault("_kinforge_pedigrees", {})
+    if sf_dir not in known:
+        known[sf_dir] = Pedigree(rows(spark, sf_dir), validate=False)
+    return known[sf_dir]
 
 
 def subsample(spark: SparkSession, sf_dir: str) -> Pedigree:
     """Limited to two individuals of three, numbered by descending id."""
-    full = rows(spark, sf_dir)
-    part = full.filter("id % 3 <> 1").selectExpr("id", "row_number() OVER (ORDER BY id DESC) - 1 AS row")
-    return Pedigree.from_subsample(full, part, validate=False)
+    known = spark.__dict__.setdefault("_kinforge_samples", {})
+    if sf_dir not in known:
+        full = pedigree(spark, sf_dir)
+        ids = full.people.filter("id % 3 <> 1").select("id", (-F.col("id")).alias("order"))
+        known[sf_dir] = Pedigree.from_subsample(full, numbered(ids, "order").select("id", "row"), validate=False)
+    return known[sf_dir]

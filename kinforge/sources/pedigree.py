@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from copy import copy
 from functools import cached_property
 from typing import Any
 
@@ -91,12 +92,13 @@ class Pedigree:
 
     @classmethod
     def from_subsample(cls, full: Any, part: Any, spark: SparkSession | None = None, *, validate: bool = True) -> Pedigree:
-        """The full pedigree, whose pairs are limited to and numbered by the rows of `part`."""
+        """The full pedigree (raw, or made already), whose pairs are limited to and numbered by the rows of `part`."""
         rows = _as_frame(part, spark)
         if "id" not in rows.columns:
             raise ValueError("from_subsample: df is missing the required 'id' column")
         _check_ids(rows, validate)
-        made = cls(full, spark, validate=validate)
+        made = copy(full) if isinstance(full, Pedigree) else cls(full, spark, validate=validate)
+        made.full = full if isinstance(full, Pedigree) else made
         if "row" not in rows.columns:
             rows = numbered(rows, "id")
         wanted = rows.select(F.col("id").cast("long").alias("id"), F.col("row").cast("long").alias("caller_row"))
