@@ -140,9 +140,9 @@ def op10_search(vectors: DataFrame) -> DataFrame:
 
 #: Brute force over all rows, for vectors of 64 dimensions.
 SQL = """
-WITH c AS (SELECT DISTINCT vec_id AS id, list_transform(embedding, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0),
+WITH c AS (SELECT DISTINCT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0),
 p AS (SELECT q.id AS query_id, n.id AS neighbor_id,
-      CAST(len(q.b) - list_dot_product(list_transform(q.b, x -> CAST(2 * x - 1 AS DOUBLE)), list_transform(n.b, x -> CAST(2 * x - 1 AS DOUBLE))) AS BIGINT) // 2 AS distance
+      CAST(len(q.b) - list_dot_product(list_transform(q.b, lambda x: CAST(2 * x - 1 AS DOUBLE)), list_transform(n.b, lambda x: CAST(2 * x - 1 AS DOUBLE))) AS BIGINT) // 2 AS distance
       FROM c q JOIN c n ON q.id <> n.id WHERE q.id % 100 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hamming_search
+from .oracle_sql import SQL
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -37,4 +37,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": _of("unigram_langid", "op9_langid", file="piece_bpe_32k.model"),
     "op10_hamming_topk": _of("hamming_search", "op10_search", ("embeddings",)),
 }
-SQL: dict[str, str] = {"op10_hamming_topk": hamming_search.SQL}
+__all__ = ["QUERIES", "SQL", "vocabulary"]
