@@ -163,7 +163,7 @@ def test_permutation(n):
 
 def test_op5(spark):
     values = ["4111 1111 1111 1111", "ann.b@mail.example.com", "10.20.30.40", "+1 (743) 555-3824", "123-45-6789", "2020-02-29", "GB82 WEST 1234 5698 7654 32", "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"]
-    rows = [f'see {v} or "{v}" now' for v in values] + [None, "", "clean text with 3 numbers 1999 and 12345", "4111 1111 1111 1112", "999.1.1.1 2021-02-30"]
+    rows = [f'see {v} or "{v}" now' if i < 7 else f'token = "{v}" (secrets are quoted)' for i, v in enumerate(values)] + [None, "", "clean text with 3 numbers 1999 and 12345", "4111 1111 1111 1112", "999.1.1.1 2021-02-30"]
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(rows)], "doc_id long, text string, pii string, kinds string")
     got = by_id(feistel_pii.op5_pii(docs, b"key"))
     for i, v in enumerate(values):
