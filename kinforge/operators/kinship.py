@@ -63,7 +63,7 @@ def inbreeding_of(people: DataFrame, edges: DataFrame, levels: DataFrame) -> Dat
             break
         share = share.union(here)
     share = kept(share.groupBy("i", "a").agg(F.sum("t").alias("t")))
-    deep = levels.select("row", "depth")
+    deep = cut(levels.select("row", "depth"))
     last = deep.agg(F.max("depth")).first()[0] or 0
     known = cut(people.join(deep.filter("depth = 0"), "row").select("row", F.lit(0.0).alias("f"), F.lit(1.0).alias("d")))
     for level in range(1, last + 1):

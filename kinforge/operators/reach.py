@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,44 +30,56 @@ def reach(ped: Pedigree, k: int) -> DataFrame:
     return paths(ped, k).select("desc", "anc")
 
 
-def _hops(start: DataFrame, links: DataFrame, key: str, to: str, value) -> Iterator[DataFrame]:
-    """Vectors (row, v) pushed along links until none is left; each hop costs one pass over the links, whatever the number of paths."""
+def height(ped: Pedigree) -> int:
+    """A bound on the links of any line: the last generation where generations grow along every link, else counted link by link."""
+    if "_height" not in ped.__dict__:
+        gens = ped.people.select("row", "generation")
+        flat = ped.edges.join(gens.toDF("child", "g"), "child").join(gens.toDF("parent", "pg"), "parent").filter("pg >= g OR pg < 0")
+        if flat.limit(1).isEmpty():
+            ped._height = ped.last_generation
+        else:
+            links, here = 0, cut(ped.edges.select(F.col("child").alias("row")).distinct())
+            while not here.isEmpty():
+                links += 1
+                here = cut(ped.edges.join(here, ped.edges["parent"] == here["row"]).select(F.col("child").alias("row")).distinct())
+            ped._height = links
+    return ped._height
+
+
+def settled(ped: Pedigree, start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """start after as many steps as the longest line has links: one plan of joins with the links, cut every few steps."""
     here = start
-    while True:
-        here = cut(here.join(links, here["row"] == links[key]).groupBy(F.col(to).alias("row")).agg(value.alias("v")))
-        if here.isEmpty():
-            return
-        yield here
+    for k in range(1, height(ped) + 1):
+        here = step(here)
+        if k % 5 == 0:
+            here = cut(here)
+    return here
+
 
+def _along(ped: Pedigree, key: str, to: str, value, none) -> DataFrame:
+    """(row, id, value): the fixed point of a sum or maximum over a row's links, one pass over the links a step, whatever the number of paths."""
 
-def _summed(ped: Pedigree, hops: Iterator[DataFrame], value, none) -> DataFrame:
-    total = None
-    for k, hop in enumerate(hops, 1):
-        hop = hop.withColumn("k", F.lit(k))
-        total = hop if total is None else total.union(hop)
-    people = ped.people.select("row", "id")
-    if total is None:
-        return people.withColumn("value", none)
-    return people.join(total.groupBy("row").agg(value.alias("value")), "row", "left").select("row", "id", F.coalesce("value", none).alias("value"))
+    def step(here: DataFrame) -> DataFrame:
+        met = ped.edges.join(here, ped.edges[key] == here["row"]).groupBy(F.col(to).alias("row")).agg(value.alias("v"))
+        return ped.people.select("row").join(met, "row", "left").select("row", F.coalesce("v", none).alias("v"))
+
+    found = settled(ped, ped.people.select("row", none.alias("v")), step)
+    return ped.people.select("row", "id").join(found.withColumnRenamed("v", "value"), "row")
 
 
 def depth(ped: Pedigree) -> DataFrame:
     """(row, id, depth): links on the longest line to a founder."""
-    start = ped.people.select("row", F.lit(1).alias("v"))
-    hops = _hops(start, ped.edges, "parent", "child", F.max("v"))
-    return _summed(ped, hops, F.max("k"), F.lit(0)).select("row", "id", F.col("value").cast("int").alias("depth"))
+    return _along(ped, "parent", "child", F.max("v") + 1, F.lit(0)).select("row", "id", F.col("value").cast("int").alias("depth"))
 
 
 def n_descendants(ped: Pedigree) -> DataFrame:
     """(row, id, value): descending paths; sums beyond 64 bits raise (ANSI)."""
-    start = ped.people.select("row", F.lit(1).cast("long").alias("v"))
-    return _summed(ped, _hops(start, ped.edges, "child", "parent", F.sum("v")), F.sum("v"), F.lit(0).cast("long"))
+    return _along(ped, "child", "parent", F.sum(F.col("v") + 1), F.lit(0).cast("long"))
 
 
 def eqg(ped: Pedigree) -> DataFrame:
     """(row, id, value): equivalent complete generations, the sum over known ancestors of (1/2) ** links."""
-    start = ped.people.select("row", F.lit(1.0).alias("v"))
-    return _summed(ped, _hops(start, ped.edges, "parent", "child", F.sum(F.col("v") * 0.5)), F.sum("v"), F.lit(0.0))
+    return _along(ped, "parent", "child", F.sum((F.col("v") + 1) * 0.5), F.lit(0.0))
 
 
 def ancestors(ped: Pedigree) -> DataFrame:
@@ -92,9 +104,10 @@ def n_ancestors(ped: Pedigree) -> DataFrame:
 def contributions(ped: Pedigree, edges: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
     """(generation, row, w): the summed genome shares that a generation's members have from each row (itself included): an adjoint sweep of links."""
     edges = ped.edges if edges is None else edges
-    here = start if start is not None else ped.people.select("generation", "row", F.lit(1.0).alias("w"))
-    total = here = cut(here)
-    while not here.isEmpty():
-        here = cut(here.join(edges, here["row"] == edges["child"]).groupBy("generation", F.col("parent").alias("row")).agg(F.sum(F.col("w") * 0.5).alias("w")))
-        total = total.union(here)
-    return total.groupBy("generation", "row").agg(F.sum("w").alias("w"))
+    start = cut(start if start is not None else ped.people.select("generation", "row", F.lit(1.0).alias("w")))
+
+    def step(here: DataFrame) -> DataFrame:
+        up = here.join(edges, here["row"] == edges["child"]).select("generation", F.col("parent").alias("row"), (F.col("w") * 0.5).alias("w"))
+        return start.union(up).groupBy("generation", "row").agg(F.sum("w").alias("w"))
+
+    return settled(ped, start, step)
