@@ -4,7 +4,7 @@ Each language has probabilities of the pieces of a fixed public SentencePiece vo
 likelihood sums over all ways to cut its words into pieces, by the forward algorithm; pieces never cross ASCII white space, so the text's
 log-likelihood is the sum of its words', and a worker remembers words it has scored. Characters outside the vocabulary fall back to byte pieces.
 
-Learning reads a bounded sample: at most `sample_per_lang` documents of each language, those of least doc_id hash. Only text is used to predict.
+Learning reads a bounded sample: `sample_per_lang` documents of each language on average, those whose hash is below the share that gives that many. Only text is used to predict.
 
 Defined results: null text or text without a letter is `und` with score 0; with no labelled documents to learn from, every text is `und`.
 A doc_id that is null counts as the empty text in the crc32 rule; ties go to the language first in order.
@@ -19,19 +19,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import chunks, id_crc32, row_texts
 
 SAMPLE_PER_LANG = 1000
+#: Document hashes are taken modulo this; a language's share of it below which a document is in the sample follows from its count.
+SCALE = 1 << 40
 #: Added to each piece's count in each language.
 SMOOTHING = 0.1
 SPACE = "▁"
 MULTIPLY = 0x9E3779B97F4A7C15
 #: Distinct words a worker remembers, and the bytes of text it looks up together; only speed depends on them.
-REMEMBERED, SLICE = 600_000, 4 << 20
+REMEMBERED, SLICE = 400_000, 4 << 20
 
 
 @lru_cache(maxsize=1)
@@ -178,16 +180,15 @@ def has_letter(text: bytes) -> bool:
 
 def learn(docs: DataFrame, path: str, sample_per_lang: int = SAMPLE_PER_LANG) -> tuple[list[str], np.ndarray]:
     """Languages in order, and natural logs of piece probabilities (piece x language), from docs (doc_id, text, lang)."""
-    order = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)))
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", order.alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = labelled.withColumn("rank", rank).filter(F.col("rank") <= sample_per_lang).groupBy("lang").agg(F.max("h").alias("most")).collect()
-    if not chosen:
+    order = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), "text"), F.lit(SCALE))
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
         return [], np.zeros((1, 0))
-    names = sorted(r["lang"] for r in chosen)
+    names = sorted(counts)
     wanted = F.lit(False)
-    for r in chosen:
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["most"]))
+    for lang, n in counts.items():
+        wanted = wanted | ((F.col("lang") == lang) & (F.col("h") < F.lit(-(-SCALE * min(n, sample_per_lang) // n))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +198,7 @@ def learn(docs: DataFrame, path: str, sample_per_lang: int = SAMPLE_PER_LANG) ->
                 found = segmented_counts(path, [t for t, name in zip(texts, langs, strict=True) if name == lang])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["lang", "piece", "n"])
 
-    sample = docs.withColumn("h", order).filter(wanted).select("lang", "text")
+    sample = labelled.withColumn("h", order).filter(wanted).select("lang", "text")
     rows = sample.mapInArrow(run, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
     ids, fallback, _ = pieces(path)
     table = np.full((max([*ids.values(), *fallback]) + 1, len(names)), SMOOTHING)
