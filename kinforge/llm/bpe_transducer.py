@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 from .common import row_texts, split_texts
 
 #: Distinct words a Python worker remembers; only speed depends on it.
-CACHE = 900_000
+CACHE = 500_000
 
 
 def byte_alphabet() -> list[str]:
