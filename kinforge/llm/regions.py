@@ -60,7 +60,8 @@ def anchors(docs: DataFrame, scan: Scan) -> DataFrame:
 def repeated_anchors(docs: DataFrame, scan: Scan) -> DataFrame:
     """The regions whose anchor hash occurs in another region too, written to the shared folder."""
     found = anchors(docs, scan)
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h")
+    # Written, so that both sides of the join are plain exchanges and adaptive execution can split a hot anchor's rows.
+    again = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h"), "again")
     return written(found.join(again, "h").select("doc_id", "salt", "start", "n", "h", "c"), "regions")
 
 
@@ -184,7 +185,7 @@ def listed_marks(windows: DataFrame) -> DataFrame:
 
 def marked_windows(regions: DataFrame, found: DataFrame, marks: DataFrame, always) -> DataFrame:
     """(doc_id, salt, rs: list of (start, n, marks)) of each document with regions; marks null: all windows. `always` tells the regions that are all marked, of columns of regions and (times, first)."""
-    told = found.select("h", "c", "n", "times", "first").join(marks, ["h", "c", "n"], "left")
+    told = written(found.select("h", "c", "n", "times", "first").join(marks, ["h", "c", "n"], "left"), "told")
     each = regions.join(told, ["h", "c", "n"]).select("doc_id", "salt", "start", "n", F.when(~always, F.coalesce("marks", F.lit(b""))).alias("marks"))
     kept = each.filter(F.col("marks").isNull() | (F.ltrim(F.hex("marks"), F.lit("0")) != ""))
     return kept.groupBy("doc_id", "salt").agg(F.collect_list(F.struct("start", "n", "marks")).alias("rs"))

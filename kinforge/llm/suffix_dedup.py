@@ -147,7 +147,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_cl
     spread = R.hot_windows(bodies)
     again = spread.groupBy("a", "b").agg(F.sum("times").alias("all")).filter(F.col("all") > 1).select("a", "b")
     marks = marks.union(R.listed_marks(spread.join(again, ["a", "b"]).select("h", "c", "n", "w")))
-    told = R.marked_windows(found, bodies.select("h", "c", "n", "times", F.lit(None).alias("first")), marks, F.col("times") > 1)
+    told = R.marked_windows(found, bodies.select("h", "c", "n", "times", F.lit(None).cast("int").alias("first")), marks, F.col("times") > 1)
     extra = ", spans array<struct<start: long, end: long>>, kept binary" if keep_text else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
