@@ -197,7 +197,7 @@ def test_op6(docs):
             if len(g) == 1:
                 return (c[g] - d) / n_all if c[g] else d * kinds / n_all
             low = p(g[1:])
-            return (c[g] + 50 * low) / (c[g[:-1]] + 50) if c[g[:-1]] else low
+            return (c[g] + backoff_lm.PRIOR * low) / (c[g[:-1]] + backoff_lm.PRIOR) if c[g[:-1]] else low
 
         assert abs(sum(p((w,)) for w in ones) + d * kinds / n_all - 1) < 1e-9
         got = by_id(backoff_lm.op6_backoff_lm(docs) if order == 2 else backoff_lm.scored(docs, backoff_lm.id_crc32(backoff_lm.F.col("doc_id")) % 7 != 2, order=3, batch_bytes=700))
