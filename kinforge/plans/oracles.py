@@ -93,7 +93,7 @@ def sampled(codes: list[str]) -> str:
 
 def kin(bound: float = 0.0, twins: bool = True) -> str:
     """Kinship by generation, unrolled; table k5."""
-    out = [f"k0 AS MATERIALIZED (SELECT id AS i, id AS j, CAST(0.5 AS DOUBLE) AS phi FROM p WHERE m IS NULL AND f IS NULL)"]
+    out = ["k0 AS MATERIALIZED (SELECT id AS i, id AS j, CAST(0.5 AS DOUBLE) AS phi FROM p WHERE m IS NULL AND f IS NULL)"]
     for g in range(1, 6):
         k = f"k{g - 1}"
         out += [
@@ -175,7 +175,7 @@ W = f"WITH {BASE}"
 _HN, _VN, _SN = HARMONIC.format(x="ne"), HARMONIC.format(x="ne"), HARMONIC.format(x=SEX_NE)
 ORACLES: dict[str, str] = {
     "registry": _registry_sql(),
-    "ped_resolved": f"{W} SELECT id AS row, id, m, f, tw, sex, generation, birth_year FROM p",
+    "ped_resolved": f"{W} SELECT id AS row, id, CAST(coalesce(m, -1) AS BIGINT) AS m, CAST(coalesce(f, -1) AS BIGINT) AS f, CAST(coalesce(tw, -1) AS BIGINT) AS tw, sex, generation, birth_year FROM p",
     "edges": f"{W} SELECT * FROM e",
     "depth": f"{W}{REACH} SELECT p.id, CAST(coalesce(d, 0) AS INTEGER) AS depth FROM p LEFT JOIN (SELECT d AS id, max(k) AS d FROM (" + " UNION ALL ".join(f"SELECT d, {k} AS k FROM r{k}" for k in range(1, 6)) + ") GROUP BY 1) x ON x.id = p.id",
     "n_ancestors": f"{W}{REACH}{SHARES} SELECT p.id, CAST(count(t.a) AS BIGINT) AS n_ancestors FROM p LEFT JOIN t ON t.d = p.id AND t.a <> p.id GROUP BY 1",

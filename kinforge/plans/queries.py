@@ -31,7 +31,7 @@ def _of_code(code: str) -> Query:
 
 QUERIES: dict[str, Query] = {
     "registry": lambda spark, sf_dir: G.registry(spark),
-    "ped_resolved": _on(lambda p: p.people.select("row", "id", "m", "f", "tw", "sex", "generation", "birth_year")),
+    "ped_resolved": _on(lambda p: p.people.select("row", "id", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("m", "f", "tw")], "sex", "generation", "birth_year")),
     "edges": _on(lambda p: p.edges),
     "depth": _on(lambda p: reach.depth(p).select("id", "depth")),
     "n_ancestors": _on(lambda p: reach.n_ancestors(p).select("id", F.col("value").alias("n_ancestors"))),
