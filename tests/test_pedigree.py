@@ -171,3 +171,23 @@ def test_hill(spark):
     assert r.ne == pytest.approx(16) and r.series[0]["vk_m"] == 8
     with pytest.warns(RuntimeWarning):
         assert ne.ne_sex_ratio(made(spark, father=[U, U, 1], mother=[U, U, 0], generation=[0, 0, 1])).ne is None
+
+
+def test_overlapping_generations_rules(spark):
+    mother = [U, U, U, U, U, 1, 4, 2, 1, 3, 7, 4, 11, 10, 5]
+    father = [U, U, U, U, U, 3, U, U, 6, 6, 8, 7, 1, 3, 2]
+    ped = made(spark, mother=mother, father=father)
+    exact, distinct = counted(pairs.count_pairs(ped, 5)), counted(counts.count_pairs_distinct(ped))
+    assert (exact.get("1C1R", 0), exact.get("H1C1R", 0)) == (0, 2) and (distinct["1C1R"], distinct["H1C1R"]) == (1, 1)
+    same = lambda d: {c: n for c, n in d.items() if c not in ("1C1R", "H1C1R")}
+    assert same(exact) == same(distinct)
+
+
+def test_second_cousins(spark):
+    mother = [U, U, 0, 0, U, U, 4, 5, U, U, 8, 9, U, U, U, 12, 12, U, U, 17, 18, U, U, 21, 22]
+    father = [U, U, 1, 1, U, U, 2, 3, U, U, 6, 7, U, U, U, 13, 14, U, U, 15, 16, U, U, 19, 20]
+    gens = [0, 0, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 0, 0, 0, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3]
+    ped = made(spark, mother=mother, father=father, generation=gens)
+    assert found(ped, "2C") == {(10, 11)}
+    want = {"MO": 12, "FO": 12, "FS": 1, "MHS": 1, "GP": 16, "Av": 2, "GGP": 8, "HAv": 2, "GAv": 2, "1C": 1, "HGAv": 2, "H1C": 1, "1C1R": 2, "H1C1R": 2, "2C": 1}
+    assert counted(pairs.count_pairs(ped, 5)) == want
