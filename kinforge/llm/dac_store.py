@@ -12,6 +12,7 @@ Defined results: a null text counts as empty and gives the end id alone; null do
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,10 @@ BLOCK = 512
 #: Ids after which a segment is closed; a longer document has a segment of its own.
 SEGMENT_IDS = 2_000_000
 #: Distinct words a Python worker remembers; only speed depends on it.
-CACHE = 900_000
+CACHE = 500_000
+#: Stands between words that are encoded in one call; its id comes from no other byte, as a check on all other ASCII characters shows.
+MARK = b"\x01"
+WITHOUT_MARK = [chr(c) for c in range(128) if c != 1]
 
 
 def pack(ids: np.ndarray, bits: int = 8) -> bytes:
@@ -120,6 +124,7 @@ def write_segments(docs: DataFrame, path: str, end_id: int = 1, bits: int = 8, s
     """The segments of docs (doc_id, text) as a table in the shared folder, read again; path: of a tokenizers file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold more memory
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
@@ -133,10 +138,19 @@ def write_segments(docs: DataFrame, path: str, end_id: int = 1, bits: int = 8, s
             if len(codes) + len(new) > CACHE:
                 codes.clear()
                 new = words
-            for some in batched(new, 10_000):
-                for word, e in zip(some, model.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
-                    codes[word] = np.array(e.ids, kind).tobytes()
-
+            plain = [w for w in new if MARK not in w] if mark is not None else []
+            for some in batched(plain, 500):
+                # One call for many words; the ids of the mark between them tell them apart.
+                ids = np.array(model.encode(between.join([w.decode("utf-8") for w in some]), add_special_tokens=False).ids, kind)
+                cuts = np.concatenate(([-1], np.flatnonzero(ids == mark), [len(ids)])).tolist()
+                for word, first, last in zip(some, cuts[:-1], cuts[1:], strict=True):
+                    codes[word] = ids[first + 1 : last].tobytes()
+            for word in new if mark is None else [w for w in new if MARK in w]:
+                codes[word] = np.array(model.encode(word.decode("utf-8"), add_special_tokens=False).ids, kind).tobytes()
+
+        between = f" {MARK.decode()} "
+        alone = model.encode(MARK.decode(), add_special_tokens=False).ids
+        mark = alone[0] if len(alone) == 1 and alone[0] not in {i for w in WITHOUT_MARK for i in model.encode(w, add_special_tokens=False).ids} else None
         end = np.array([end_id], kind).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         parts, ids, known, counts, held = [], [], [], [], 0
@@ -164,7 +178,7 @@ def write_segments(docs: DataFrame, path: str, end_id: int = 1, bits: int = 8, s
             yield closed()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, SEGMENTS), "dac")
+    return written(ordered.mapInArrow(run, SEGMENTS), "dac", {"parquet.block.size": 16 << 20})
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
