@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinforge.llm import bpe_transducer, decontaminate, feistel_pii, simhash_index, unigram_langid
+from kinforge.llm import bpe_transducer, decontaminate, feistel_pii, near_copies, unigram_langid
 from kinforge.llm.common import NULL_ID, written
 from kinforge.llm.queries import vocabulary
 
@@ -26,9 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component (8): the one of least doc_id."""
-    found = simhash_index.near_duplicates(docs.select("doc_id", "text"))
-    return _kept(docs, found, F.col("doc_id").eqNullSafe(F.col("component_id")), once=True)
+    """One document of each component of near copies, 5-word shingles at a similarity of 0.8 or more: the one of least doc_id."""
+    return near_copies.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

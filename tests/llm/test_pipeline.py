@@ -1,10 +1,13 @@
 """The pipeline's stages on a small table: what goes, what stays, and the columns."""
 
 import os
+import random
 
 import corpus_pipeline
 import pytest
 
+from kinforge.llm import near_copies
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -18,3 +21,55 @@ def test_stages(spark):
     ids = [r["doc_id"] for r in out]
     assert len(ids) == len(set(ids)) and 100 < len(ids) < docs.count() and {"n_tokens", "ids_sha256", "decoded_sha256"} <= set(out[0].asDict())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "decontamination", "pii", "encoding"]
+
+
+def jaccard_components(texts):
+    """Brute force: for each text the first one of its component of 5-word Jaccard >= 0.8."""
+    fold = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in fold]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return [top(i) for i in range(len(texts))]
+
+
+def near_texts(seed=7):
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    out = []
+    for n in [3, 5, 6, 9, 20, 40, 60, 150, 150, 300]:
+        base = [r.choice(vocab) for _ in range(n)]
+        for edits in [0, 0, 1, 1, 2, 3, 4, 6, 8, 10]:
+            copy = list(base)
+            for _ in range(edits):
+                copy[r.randrange(n)] = r.choice(vocab)
+            out.append(" ".join(copy))
+    return [*out, None, "", " \n", "W1 w2", "w1  w2"]
+
+
+def test_near_dedup_finds_all_copies(spark):
+    texts = near_texts()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = jaccard_components(texts)
+    assert 20 < len(set(want)) < 80
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == sorted(set(want))
+
+
+def test_linked_components(spark):
+    rows = near_copies.with_nodes(spark.createDataFrame([(i, t) for i, t in enumerate(near_texts(9))], "doc_id long, text string")).cache()
+    found = {r["node"]: r["root"] for r in near_copies.linked(rows).collect()}
+    want = jaccard_components(near_texts(9))
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(found.get(r["_node"], r["_node"]), set()).add(r["doc_id"])
+    assert sorted(min(g) for g in groups.values()) == sorted(set(want))
