@@ -34,7 +34,7 @@ FOUND = re.compile(
   | (?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
   | (?P<date>(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?P<mark>[./])[0-9]{1,2}(?P=mark)[0-9]{4})(?![0-9]|[./\-][0-9]))
   | (?P<ssn>(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-]))
-  | (?P<phone>(?<![0-9])(?:\+?1[ .\-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9]))
+  | (?P<phone>(?<![0-9])(?:\+?1[ .\-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9]))
   | (?P<intl>(?<![0-9A-Za-z])\+[0-9]{2,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9]))
   | (?P<card>(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9]))
     """,
@@ -181,10 +181,7 @@ class Pseudonyms:
     def phone(self, s: str) -> str | None:
         digits = re.sub(r"[^0-9]", "", s)
         lead, number = digits[:-10], digits[-10:]
-        if number[0] == "0":
-            return None
-        x = self._number("phone", int(number) - 10**9, 9 * 10**9)
-        return refilled(s, lead + str(x + 10**9))
+        return refilled(s, lead + f"{self._number('phone', int(number), 10**10):010d}")
 
     def intl(self, s: str) -> str | None:
         digits = re.sub(r"[^0-9]", "", s)

@@ -310,3 +310,12 @@ def test_null_ids_and_repeated_rows(spark):
     assert len(two) == 5 and sorted((r["doc_id"] or -1, r["n_removed"]) for r in two) == [(-1, 0), (-1, 0), (7, 0), (7, 60), (7, 60)]
     assert len(simhash_index.op8_simhash(docs).collect()) == 5 and len(backoff_lm.op6_backoff_lm(docs).collect()) == 5
     assert [r["start"] for r in dac_store.op4_dac(docs, BPE).orderBy("start").collect()][0] == 0
+
+
+def test_phones():
+    p, found = feistel_pii.Pseudonyms(b"key"), ["+1 (017) 555-7713", "(073) 555-8658", "010-555-1234", "+1 555 123 4567", "555 123 4567", "1 055 123 4567", "(743) 555-3824"]
+    for v in found:
+        counts = Counter()
+        new = p.replace(f"call {v} now", counts)
+        assert v not in new and counts == {"phone": 1} and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {v} now"), v
+    assert p.replace("+1 (017) 555-7713", Counter())[1:2] == "1" and len({re.sub(r"\D", "", p.phone(v))[-10:] for v in ("0175557713", "(017) 555-7713", "+1 017.555.7713")}) == 1
