@@ -10,14 +10,6 @@ from kinforge.llm.common import NULL_ID, written
 from kinforge.llm.queries import vocabulary
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame, keep, once: bool = False) -> DataFrame:
-    """The rows of docs whose verdict holds, matched by null-safe doc_id; once: one row of each doc_id. Columns as before."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    good = verdicts.filter(keep).select(key.alias("_key")).distinct()
-    rows = docs.withColumn("_key", key).join(good, "_key", "left_semi")
-    return (rows.dropDuplicates(["_key"]) if once else rows).select(*docs.columns)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language (9): those without a letter go."""
     path = vocabulary("piece_bpe_32k.model")
@@ -32,8 +24,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages don't contaminate (3)."""
-    verdicts = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _kept(docs, verdicts, ~F.col("contaminated"))
+    found = decontaminate.judged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    id_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_key")
+    bad = found.filter("contaminated").select(id_key, F.col("salt").alias("_salt")).distinct()
+    return docs.select("*", id_key, F.xxhash64("text").alias("_salt")).join(bad, ["_key", "_salt"], "left_anti").select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ FOLD = str.maketrans(UPPER, UPPER.lower())
 WINDOW = 13
 SHINGLE = 3
 CHUNK = 1 << 20
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, salt long"
 
 
 class Block:
@@ -160,7 +160,7 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def verdicts(batches: Iterator[pa.RecordBatch], share: int = 20) -> Iterator[pa.RecordBatch]:
-    """Of rows (doc_id, n_words, hits, items: lists over the blocks)."""
+    """Of rows (doc_id, n_words, hits, items: lists over the blocks; salt)."""
     for batch in batches:
         rows = batch.to_pylist()
         out: list[list] = [[], [], [], []]
@@ -170,7 +170,7 @@ def verdicts(batches: Iterator[pa.RecordBatch], share: int = 20) -> Iterator[pa.
             n_hit = sum(b - a for a, b in runs)
             for values, v in zip(out, (n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0 and share * n_hit >= r["n_words"]), strict=True):
                 values.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], batch.column(4)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "salt"])
 
 
 def blocks_of(benchmark: DataFrame, window: int, shingle: int, block_words: int) -> Iterator[Block]:
@@ -188,21 +188,26 @@ def blocks_of(benchmark: DataFrame, window: int, shingle: int, block_words: int)
     yield Block(items, window, shingle)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = 500_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row per row of docs (doc_id, text)."""
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = 500_000) -> DataFrame:
+    """contamination() with salt, the text's xxhash64: rows that share a doc_id have each their own verdict."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("salt"))
     parts = [found(docs, b, shingle_counts(docs, b)) for b in blocks_of(benchmark, window, shingle, block_words)]
     if len(parts) == 1:
-        rows = parts[0].select("doc_id", "n_words", F.array("hit").alias("hits"), "items")
+        rows = parts[0].select("doc_id", "n_words", F.array("hit").alias("hits"), "items", "salt")
     else:
         # One pass a block over the same rows: put each row's parts together by its id and text; equal rows come back as often as they were.
         both = parts[0].withColumn("first", F.lit(1))
         for p in parts[1:]:
             both = both.union(p.withColumn("first", F.lit(0)))
         found_all = both.groupBy("doc_id", "salt", "n_words").agg(F.collect_list("hit").alias("hits"), F.flatten(F.collect_list("items")).alias("items"), F.sum("first").cast("int").alias("times"))
-        rows = found_all.withColumn("time", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("doc_id", "n_words", "hits", "items")
+        rows = found_all.withColumn("time", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("doc_id", "n_words", "hits", "items", "salt")
     return rows.mapInArrow(verdicts, RESULT)
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = 500_000) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row per row of docs (doc_id, text)."""
+    return judged(docs, benchmark, window, shingle, block_words).drop("salt")
+
+
 def op3_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return contamination(docs, benchmark)

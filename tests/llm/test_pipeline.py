@@ -73,3 +73,16 @@ def test_linked_components(spark):
     for r in rows.collect():
         groups.setdefault(found.get(r["_node"], r["_node"]), set()).add(r["doc_id"])
     assert sorted(min(g) for g in groups.values()) == sorted(set(want))
+
+
+def test_rows_not_ids_decide(spark, tmp_path):
+    """Null and repeated doc_ids: each row stands for its own text."""
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+    kept = sorted(map(tuple, sorted(corpus_pipeline.near_dedup(spark, docs, SF).collect(), key=key)), key=str)
+    assert kept == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, None)], key=str)
+    spark.createDataFrame([(1, texts[0]), (2, texts[2])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, clean), key=str) == sorted([rows[i] for i in (1, 2, 4, 5, 6)], key=str)
