@@ -32,6 +32,8 @@ SCALE = 1 << 40
 SMOOTHING = 0.1
 SPACE = "▁"
 MULTIPLY = 0x9E3779B97F4A7C15
+#: The log-likelihood, a character, of a word that a language can't make.
+IMPOSSIBLE = -745.0
 #: Distinct words a worker remembers, and the bytes of text it looks up together; only speed depends on them.
 REMEMBERED, SLICE = 400_000, 4 << 20
 
@@ -77,11 +79,12 @@ class Forward:
         for i in range(size):
             here = ahead[i]
             ahead[i] = None
-            top = max(here)
-            if top < 1e-200:  # keep the sums in range: all reachable values move together
+            if min(here) < 1e-200:  # keep the sums in range, each language on its own: all its reachable values move together
                 held = [k for k in range(i + 1, min(size, i + self.longest) + 1) if ahead[k]]
                 for x in range(n):
-                    scale = max([here[x], *(ahead[k][x] for k in held)]) or 1.0
+                    scale = max([here[x], *(ahead[k][x] for k in held)])
+                    if here[x] >= 1e-200 or not scale:
+                        continue
                     shift[x] += math.log(scale)
                     here[x] /= scale
                     for k in held:
@@ -100,7 +103,7 @@ class Forward:
                 else:
                     for x in range(n):
                         to[x] += here[x] * step[x]
-        return tuple((math.log(v) if v > 0 else -745.0) + s for v, s in zip(ahead[size], shift, strict=True))
+        return tuple(math.log(v) + s if v > 0 else IMPOSSIBLE * size for v, s in zip(ahead[size], shift, strict=True))
 
     def bytes_of(self, char: str) -> tuple[float, ...]:
         step = np.ones(self.n)
@@ -169,8 +172,11 @@ class Forward:
                 if b > a:
                     here = node[start[a:b]]
                     ahead[here + k] += ahead[here] * self.p[piece[a:b]]
+        last = ahead[first + np.arange(len(short)) + sizes]
         with np.errstate(divide="ignore"):
-            out[short] = np.maximum(np.log(ahead[first + np.arange(len(short)) + sizes]), -745.0)
+            out[short] = np.log(last)
+        for k in np.flatnonzero((last < 1e-200).any(axis=1)).tolist():  # near or below the range of floats
+            out[short[k]] = self.word(raws[short[k]])
         return out
 
 

@@ -319,3 +319,16 @@ def test_phones():
         new = p.replace(f"call {v} now", counts)
         assert v not in new and counts == {"phone": 1} and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {v} now"), v
     assert p.replace("+1 (017) 555-7713", Counter())[1:2] == "1" and len({re.sub(r"\D", "", p.phone(v))[-10:] for v in ("0175557713", "(017) 555-7713", "+1 017.555.7713")}) == 1
+
+
+def test_forward_long_words():
+    """A language that falls twice as fast mustn't stop at a floor, whether a word is short or long."""
+    path = vocabulary("piece_bpe_32k.model")
+    table = np.full((len(unigram_langid.pieces(path)[0]) + 300, 2), -700.0)
+    table[unigram_langid.pieces(path)[0]["z"]] = [-8, -16]
+    table[unigram_langid.pieces(path)[0]["▁"]] = [-8, -16]
+    f = unigram_langid.Forward(path, table)
+    f.prepare()
+    for n in (20, 31, 100, 500, 1000):
+        got = f.words([b"z" * n])[0]
+        assert np.allclose(got, [-8 * (n + 1), -16 * (n + 1)]) and np.allclose(got, f.word(b"z" * n)), n
