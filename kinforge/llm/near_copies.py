@@ -28,6 +28,8 @@ SHINGLE = 5
 CHUNK = 1 << 20
 #: Documents sampled for the order of shingles, and shingles told apart as common; only speed depends on them.
 SAMPLE, COMMON = 20_000, 200_000
+#: Shuffled orders that the lists take turns with: a node meets about twice as many neighbours; what they leave apart is compared pair by pair.
+ORDERS = 8
 POSTED = "token long, node long, n int, pos int"
 
 
@@ -170,7 +172,7 @@ def linked(rows: DataFrame) -> DataFrame:
     lists = posted(rows, *common_shingles(rows)).repartition("token").distinct()
     by_token = Window.partitionBy("token")
     lists = written(lists.withColumn("held", F.count(F.lit(1)).over(by_token)).filter("held > 1").drop("held"), "lists")
-    shuffled = by_token.orderBy(F.xxhash64("token", "node"), "node")
+    shuffled = by_token.orderBy(F.xxhash64(F.pmod("token", F.lit(ORDERS)), "node"), "node")
     beside = lists.select("node", "n", F.lag("node").over(shuffled).alias("other"), F.lag("n").over(shuffled).alias("m")).filter("other is not null")
     beside = beside.filter(_alike(F.least("n", "m"), F.col("n"), F.col("m"))).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     found = components(verified(written(beside.distinct(), "beside"), rows))
