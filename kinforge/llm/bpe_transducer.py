@@ -3,7 +3,8 @@
 A pre-token's symbols arrive one at a time. The merge list bounds how far a symbol's right context can matter: `lookahead` follows from the
 longest token, and `boundary` pairs that no token spans split the stream at once. The encoder holds only the symbols that are not yet stable:
 after a split point that no token of the vocabulary can span, everything before it is emitted, so memory is bounded by the longest run
-of spannable symbols it must hold plus the lookahead. Decoding is an incremental state machine from token bytes to text.
+of spannable symbols. The lookahead itself is only computed: inside such a run nothing is emitted, since it isn't shown here that a merge further on can't
+change earlier tokens, so one long run is held whole. Decoding is an incremental state machine from token bytes to text.
 
 Defined results: null or empty text gives no ids and the empty decoded text; ids depend only on the text, so repeated rows agree.
 """
