@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,9 +41,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, salt, text): a key that is never null, text null as empty. salt tells rows of one doc_id with different texts apart; rows equal in both are treated alike."""
+    """(doc_id, salt, text): a key that is never null, text null as empty. salt, the text's 64-bit hash, tells rows of one doc_id with different texts apart; rows equal in both are treated alike."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.pmod(F.xxhash64(text), F.lit(2**31 - 1)).cast("int").alias("salt"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("salt"), text.alias("text"))
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """`wanted`, with underscores after it as long as a column has that name (in any case)."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def shown_id() -> Column:
@@ -77,6 +87,59 @@ def row_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+class Memory:
+    """What a Python worker has learned of words, kept from task to task in two generations of about half of `most` bytes each.
+
+    A word that is met again moves to the young generation; when that is full it becomes the old one, and the old one is let go.
+    Only speed depends on it.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.bytes = most, 0
+        self.young: dict[bytes, object] = {}
+        self.old: dict[bytes, object] = {}
+
+    def missing(self, words: set[bytes]) -> list[bytes]:
+        """The words that are still to be learned (by add); after that all of `words` are in `young` until the next call."""
+        if self.bytes * 2 > self.most:
+            self.old, self.young, self.bytes = self.young, {}, 0
+        new = words.difference(self.young)
+        if self.old:
+            known = [w for w in new if w in self.old]
+            for w in known:
+                self.add(w, self.old[w])
+            new.difference_update(known)
+        return list(new)
+
+    def add(self, word: bytes, value) -> None:
+        self.young[word] = value
+        size = len(value) if isinstance(value, bytes) else 16 if not isinstance(value, tuple) else 100 + sum(len(v) for v in value if isinstance(v, bytes))
+        self.bytes += 200 + len(word) + size
+
+
+_memories: dict[str, Memory] = {}
+
+
+def memory(name: str, most: int = 64 << 20) -> Memory:
+    """This worker's memory of that name; one of another name is let go, so a worker holds one at a time."""
+    if name not in _memories:
+        released()
+        _memories[name] = Memory(most)
+    return _memories[name]
+
+
+def released() -> None:
+    """Lets go of what this worker remembers, and gives freed memory back to the system: for operators that remember nothing."""
+    if _memories:
+        _memories.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+
+
 def split_texts(texts: list[bytes], learn: Callable[[set[bytes]], None], slice_bytes: int = 4 << 20) -> Iterator[list[bytes]]:
     """Each text's words (apart by ASCII white space), after `learn` has got the distinct words of a slice of texts."""
     for i, j in chunks(np.concatenate(([0], np.cumsum([len(x) for x in texts]))), slice_bytes):

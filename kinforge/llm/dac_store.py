@@ -7,16 +7,18 @@ level into the place in the next. Any id is read without decoding others. Segmen
 Segment bytes, little-endian: b"DAC1", u8 bits, u8 levels, u16 zero, u64 ids; then for each level u64 n, n chunks (u8 up to 8 bits, else u16),
 bitmap of ceil(n / 8) bytes (lowest bit first), ceil(n / 512) u64 ranks (the last level has neither bitmap nor ranks).
 
-Defined results: a null text counts as empty and gives the end id alone; null doc_ids sort first; rows of one doc_id follow the order of their texts.
+Defined results: a null text counts as empty and gives the end id alone; null doc_ids sort first; rows of one doc_id follow the order of their texts' hashes, then texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_texts, split_texts, written
+from .common import memory, row_texts, split_texts, written
 
 BLOCK = 512
 #: Ids after which a segment is closed; a longer document has a segment of its own.
 SEGMENT_IDS = 2_000_000
-#: Distinct words a Python worker remembers; only speed depends on it.
-CACHE = 500_000
-#: Stands between words that are encoded in one call; its id comes from no other byte, as a check on all other ASCII characters shows.
-MARK = b"\x01"
-WITHOUT_MARK = [chr(c) for c in range(128) if c != 1]
+#: Bytes that a Python worker may remember words in; only speed depends on it.
+MEMORY = 128 << 20
+ARRAY = {np.uint16: "H", np.uint32: "I"}
 
 
 def pack(ids: np.ndarray, bits: int = 8) -> bytes:
@@ -120,64 +120,80 @@ class Codes:
 SEGMENTS = "part int, seq int, n_tokens long, doc_ids binary, known binary, doc_tokens binary, codes binary"
 
 
-def write_segments(docs: DataFrame, path: str, end_id: int = 1, bits: int = 8, segment_ids: int = SEGMENT_IDS) -> DataFrame:
-    """The segments of docs (doc_id, text) as a table in the shared folder, read again; path: of a tokenizers file."""
+#: What a word of only these bytes is split into after lower-casing: the file's pattern, where letters, numbers and others are ASCII.
+PLAIN = re.compile(rb"[!-~]+")
+PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+class WordEncoder:
+    """The library's ids of white-space-free words as little-endian bytes, remembered by the worker.
+
+    Pre-tokens never cross ASCII white space, so the ids of a text's words, one after another, are the text's. A word of printable ASCII is
+    split here and its pre-tokens go straight to the library's model; any other word takes the library's whole path.
+    """
+
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold more memory
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        model.no_truncation()
-        model.no_padding()
-        kind = np.uint16 if max(model.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
-        codes: dict[bytes, bytes] = {}
-
-        def learned(words: set[bytes]) -> None:
-            new = words.difference(codes)
-            if len(codes) + len(new) > CACHE:
-                codes.clear()
-                new = words
-            plain = [w for w in new if MARK not in w] if mark is not None else []
-            for some in batched(plain, 500):
-                # One call for many words; the ids of the mark between them tell them apart.
-                ids = np.array(model.encode(between.join([w.decode("utf-8") for w in some]), add_special_tokens=False).ids, kind)
-                cuts = np.concatenate(([-1], np.flatnonzero(ids == mark), [len(ids)])).tolist()
-                for word, first, last in zip(some, cuts[:-1], cuts[1:], strict=True):
-                    codes[word] = ids[first + 1 : last].tobytes()
-            for word in new if mark is None else [w for w in new if MARK in w]:
-                codes[word] = np.array(model.encode(word.decode("utf-8"), add_special_tokens=False).ids, kind).tobytes()
-
-        between = f" {MARK.decode()} "
-        alone = model.encode(MARK.decode(), add_special_tokens=False).ids
-        mark = alone[0] if len(alone) == 1 and alone[0] not in {i for w in WITHOUT_MARK for i in model.encode(w, add_special_tokens=False).ids} else None
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.kind = np.uint16 if max(self.whole.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
+        self.marks = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = [s for s in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if s["type"] == "Split"]
+        # The short way is right for files of this kind only.
+        self.direct = steps == ["NFC", "Replace", "Lowercase"] and [s["pattern"] for s in split] == [{"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}]
+        self.known = memory(f"dac:{path}:{self.kind.__name__}", MEMORY)
+
+    def learn(self, words: set[bytes]) -> None:
+        model, kind, add = self.whole.model, self.kind, self.known.add
+        for w in self.known.missing(words):
+            if self.direct and len(w) <= 1024 and PLAIN.fullmatch(w) and not any(m in w for m in self.marks):
+                ids = [t.id for p in PLAIN_PIECES.findall(w.decode("ascii").lower()) for t in model.tokenize(p)]
+            else:
+                ids = self.whole.encode(w.decode("utf-8"), add_special_tokens=False).ids
+            add(w, array(ARRAY[kind], ids).tobytes())
+
+
+def write_segments(docs: DataFrame, path: str, end_id: int = 1, bits: int = 8, segment_ids: int = SEGMENT_IDS) -> DataFrame:
+    """The segments of docs (doc_id, text) as a table in the shared folder, read again; path: of a tokenizers file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordEncoder(path, end_id)
+        kind, known = words.kind, words.known
         end = np.array([end_id], kind).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
-        parts, ids, known, counts, held = [], [], [], [], 0
+        parts, ids, present, counts, held = [], [], [], [], 0
 
         def closed() -> pa.RecordBatch:
             packed = pack(np.frombuffer(b"".join(parts), kind), bits)
-            row = [part, seq, held, np.array(ids, "<i8").tobytes(), np.array(known, np.uint8).tobytes(), np.array(counts, "<i8").tobytes(), packed]
+            row = [part, seq, held, np.array(ids, "<i8").tobytes(), np.array(present, np.uint8).tobytes(), np.array(counts, "<i8").tobytes(), packed]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["part", "seq", "n_tokens", "doc_ids", "known", "doc_tokens", "codes"])
 
         for batch in batches:
-            for doc_id, words in zip(batch.column(0).to_pylist(), split_texts(row_texts(batch.column(1)), learned), strict=True):
-                # Pre-tokens never cross ASCII white space: the words' ids, one after another, are the text's.
-                data = b"".join(map(codes.__getitem__, words)) + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), split_texts(row_texts(batch.column(1)), words.learn), strict=True):
+                data = b"".join(map(known.young.__getitem__, text)) + end
                 n = len(data) // np.dtype(kind).itemsize
                 if held and held + n > segment_ids:
                     yield closed()
                     seq, held = seq + 1, 0
-                    parts, ids, known, counts = [], [], [], []
+                    parts, ids, present, counts = [], [], [], []
                 parts.append(data)
                 ids.append(doc_id or 0)
-                known.append(doc_id is not None)
+                present.append(doc_id is not None)
                 counts.append(n)
                 held += n
         if ids:
             yield closed()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("order"))
+    # The hash keeps rows of one doc_id (or of none) from meeting in one task.
+    ordered = keyed.repartitionByRange("doc_id", "order").sortWithinPartitions("doc_id", "order", "text").select("doc_id", "text")
     return written(ordered.mapInArrow(run, SEGMENTS), "dac", {"parquet.block.size": 16 << 20})
 
 
@@ -197,7 +213,11 @@ def read_documents(segments: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([same(row["part"]), same(row["seq"]), ids, pa.array(starts), pa.array(counts), pa.array(out, pa.int64())], names=["part", "seq", "doc_id", "within", "n_tokens", "ids_crc32"])
 
     docs = segments.select("part", "seq", "doc_ids", "known", "doc_tokens", "codes").mapInArrow(run, "part int, seq int, doc_id long, within long, n_tokens long, ids_crc32 long")
-    before = segments.select("part", "seq", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # Running sums of the parts (a row for each task that wrote) and, within each part, of its segments.
+    so_far = lambda column, window: F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", so_far("n", Window.orderBy("part")).alias("lead"))
+    within = segments.select("part", "seq", so_far("n_tokens", Window.partitionBy("part").orderBy("seq")).alias("past"))
+    before = within.join(parts, "part").select("part", "seq", (F.col("past") + F.col("lead")).alias("before"))
     return docs.join(before, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
