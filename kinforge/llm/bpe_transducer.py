@@ -1,12 +1,19 @@
 """Operator 7: BPE encoding and decoding as a bounded-lookahead streaming transducer.
 
-A pre-token's symbols arrive one at a time. The merge list bounds how far a symbol's right context can matter: `lookahead` follows from the
-longest token, and `boundary` pairs that no token spans split the stream at once. The encoder holds only the symbols that are not yet stable:
-after a split point that no token of the vocabulary can span, everything before it is emitted, so memory is bounded by the longest run
-of spannable symbols. The lookahead itself is only computed: inside such a run nothing is emitted, since it isn't shown here that a merge further on can't
-change earlier tokens, so one long run is held whole. Decoding is an incremental state machine from token bytes to text.
-
-Defined results: null or empty text gives no ids and the empty decoded text; ids depend only on the text, so repeated rows agree.
+The symbols of a pre-token arrive one after another; the encoder holds those that are not stable yet, at most `lookahead` + BLOCK of them, and
+emits the others' tokens. `lookahead` is computed from the merge list. Take two strings with the same first H symbols and apply the merges to both,
+rule by rule in order of rank. Up to the first H symbols the two agree. A rule (a, b) can only disturb the part that agrees at its end: the
+last token there, a, joins what follows in one string and not in the other, and the part loses a's symbols. What then follows the part begins with
+a or with a token made of it, so the next rule that disturbs it, of a higher rank, has a right side with a on its left edge. So the most that can
+ever be lost is the greatest sum of left sides' sizes along such chains of rules; a token that ends further than that before the end of
+what was read is the same however the string goes on. This needs rules whose sides are made by lower ranks; other files are refused.
+
+Pre-tokens shorter than the lookahead end before anything in them is stable; those of many words step together as arrays, and the worker
+remembers each word's ids and text. A word above LONG characters is read in pieces, split only inside runs of plain letters. Decoding is
+an incremental state machine, from ids to text.
+
+Defined results: null or empty text gives no ids and the empty decoded text; ids depend only on the text, so repeated rows agree; a document of any
+length is one row; docs' own columns named like the results keep their values where `encoded` keeps columns (the results then get a `_`).
 """
 
 from __future__ import annotations
@@ -15,9 +22,8 @@ import codecs
 import hashlib
 import heapq
 import json
+import os
 import re
-import sys
-import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import batched
@@ -28,10 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import row_texts, split_texts
+from .common import free_name, memory, row_texts, split_texts
 
-#: Distinct words a Python worker remembers; only speed depends on it.
-CACHE = 500_000
+#: Bytes that a Python worker may remember words in; only speed depends on it.
+MEMORY = 96 << 20
+#: Symbols encoded at a time beyond the lookahead, and the characters of a word from which it is read in pieces.
+BLOCK, LONG = 4096, 1 << 16
+#: Pre-tokens up to this size step together and are remembered.
+SHORT = 64
 
 
 def byte_alphabet() -> list[str]:
@@ -41,41 +51,35 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
-#: Characters with the Unicode property White_Space.
-WHITE_SPACE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-
-
-@lru_cache(maxsize=2)
-def category_ranges(first: str) -> str:
-    """The inside of a character class: all characters whose general category begins with `first`."""
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == first
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
-
-
-def spelled_out(pattern: str) -> str:
-    """The pattern with the classes for letters, numbers and white space written as ranges, as `re` needs."""
-    classes = (r"\p{L}", category_ranges("L")), (r"\p{N}", category_ranges("N")), (r"\s", WHITE_SPACE)
-    for name, inside in classes:
-        pattern = pattern.replace(name, inside)
-    return pattern
+#: The pre-tokens of lower-cased printable ASCII under the one pattern that is supported, and that pattern.
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRINTABLE = re.compile(r"[!-~]+")
+#: Inside a run of these, before and after, a word may be cut: all are letters that no normalisation joins or changes but for case.
+CUT = re.compile("[A-Za-z一-鿿]{4}(?=[A-Za-z一-鿿])")
 
 
 class Transducer:
-    """The encoder and decoder of one tokenizers file (BPE, byte-level, with an end-of-word suffix)."""
+    """The encoder and decoder of one tokenizers file (BPE, byte-level, with an end-of-word suffix).
+
+    Normalisation and pre-tokenisation of other than printable ASCII are the library's own, so its Unicode tables hold.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges"):
             raise ValueError("unsupported tokenizer model")
+        if [s["type"] for s in spec["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError("unsupported normalizer")
+        if [s["pattern"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"] != [{"Regex": PATTERN}]:
+            raise ValueError("unsupported pre-tokenizer")
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -86,32 +90,32 @@ class Transducer:
             self.rank.setdefault(pair, r)
         self.alphabet = byte_alphabet()
         self.bytes_of = {c: b for b, c in enumerate(self.alphabet)}
-        steps = {s["type"]: s for s in spec["normalizer"]["normalizers"]}
-        if set(steps) != {"NFC", "Replace", "Lowercase"}:
-            raise ValueError("unsupported normalizer")
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = re.compile(spelled_out(split["pattern"]["Regex"]))
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        #: No token has more symbols than this, so a merge at one place never depends on symbols further away than the tokens that touch it.
-        self.longest = max((len(t.removesuffix(self.end)) for t in self.vocab), default=1)
-        self.joins = self._joins()
-        self._table = None
-        self.remembered = WordCodes(self.piece_ids)
         self.lookahead = self._lookahead(pairs)
+        self._table = None
 
-    def _joins(self) -> set[tuple[str, str]]:
-        """Neighbouring symbols that some token has side by side; no merge ever spans other neighbours."""
-        out = set()
-        for left, right in self.rank:
-            a, b = left[-1], right[0]
-            if right.removesuffix(self.end) and len(right.removesuffix(self.end)) == 1 and right.endswith(self.end):
-                b = right
-            out.add((a, b))
-        return out
+    def size(self, token: str) -> int:
+        """How many symbols a token has."""
+        return len(token) - len(self.end) if self.end and token.endswith(self.end) and len(token) > len(self.end) else len(token)
 
     def _lookahead(self, pairs: list[tuple[str, str]]) -> int:
-        """Sufficient lookahead of the merge list: symbols of the longest token, plus one to see that a neighbour pair can't join."""
-        return max((len((a + b).removesuffix(self.end)) for a, b in pairs), default=1) + 1
+        """The sufficient lookahead of the merge list (see above)."""
+        made: dict[str, tuple[str, str]] = {}
+        for a, b in pairs:
+            if any(self.size(side) > 1 and side not in made for side in (a, b)) or a + b in made:
+                raise ValueError("merges whose sides come later, or that make a token twice, have no bounded lookahead here")
+            made[a + b] = (a, b)
+        lost: dict[str, int] = {}  # by token: the most that rules seen so far (of higher rank) with it on the left edge of their right side lose
+        most = 0
+        for a, b in reversed(pairs):
+            here = self.size(a) + lost.get(a, 0)
+            most = max(most, here)
+            edge: str | None = b
+            while edge is not None:
+                if here > lost.get(edge, 0):
+                    lost[edge] = here
+                edge = made[edge][0] if edge in made else None
+        return most
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The merges applied by rank, leftmost first among equals; O(n log n) with a heap over a linked list."""
@@ -151,69 +155,45 @@ class Transducer:
                 heapq.heappush(heap, (rank[p], h, p))
         return [t for t in text if t is not None]
 
-    def symbols(self, piece: str) -> list[str]:
-        """A pre-token's symbols: one for each byte, the last with the end-of-word suffix."""
-        out = [*map(self.alphabet.__getitem__, piece.encode("utf-8"))]
-        out[-1] += self.end
-        return out
-
-    def stream(self, symbols: Iterable[str]) -> Iterator[int]:
-        """Ids of one pre-token, each emitted as soon as it is stable: before neighbours that no merge can span."""
-        held: list[str] = []
-        for s in symbols:
-            if held and (held[-1], s) not in self.joins:
-                yield from self._ids(held)
-                held = []
-            held.append(s)
-        yield from self._ids(held)
-
-    def _ids(self, held: list[str]) -> Iterator[int]:
-        for t in self.merged(held):
-            if (i := self.vocab.get(t)) is not None:
-                yield i
+    def ids(self, tokens: Iterable[str]) -> list[int]:
+        return [i for i in map(self.vocab.get, tokens) if i is not None]
+
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special tokens, in the byte alphabet."""
+        if PRINTABLE.fullmatch(text):
+            return ASCII_PIECES.findall(text.lower())
+        return [p for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def piece_ids(self, piece: str) -> list[int]:
-        """Ids of one pre-token; a short one that no split cuts is merged at once."""
-        symbols = self.symbols(piece)
-        if len(symbols) < 200 and self.joins.issuperset(zip(symbols, symbols[1:])):
-            return [*self._ids(symbols)]
-        return [*self.stream(symbols)]
+        """Ids of one pre-token."""
+        run = Run(self)
+        return run.push(piece) + run.close()
 
     def lockstep(self, pieces: Sequence[str]) -> list[list[int]]:
-        """piece_ids of many pre-tokens at once: the runs between split points step together, each merging its pair of least rank, leftmost first."""
+        """piece_ids of many short pre-tokens at once: all step together, each merging its pair of least rank, leftmost first."""
         if self._table is None:
             of = self.vocab
-            merges = [(of[a] << 32 | of[b], r, of[a + b if not a.endswith(self.end) else a + b]) for (a, b), r in self.rank.items()]
-            merges.sort()
+            merges = sorted((of[a] << 32 | of[b], r, of[a + b]) for (a, b), r in self.rank.items())
             self._table = tuple(np.array(c, np.int64) for c in zip(*merges))
-            self._single = [np.array([of.get(c + e, -1) for c in self.alphabet], np.int64) for e in ("", self.end)]
-            joins = np.zeros((256, 512), bool)
-            place = {c: i for i, c in enumerate(self.alphabet)}
-            for a, b in self.joins:
-                if a in place:
-                    joins[place[a], place[b[0]] + 256 * (len(b) > 1)] = True
-            self._joined = joins
+            self._single = np.array([[of.get(c + e, -1) for c in map(chr, range(0x200))] for e in ("", self.end)], np.int64)
         keys, ranks, made = self._table
-        raw = [p.encode("utf-8") for p in pieces]
-        data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer("".join(pieces).encode("utf-16-le"), "<u2").astype(np.int64)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         last = np.cumsum(size) - 1
-        final = np.zeros(len(data), bool)
-        final[last] = True
-        symbol = np.where(final, self._single[1][data], self._single[0][data])
-        cut = np.ones(len(data), bool)  # a run begins here: at a pre-token's start and after a split point
-        cut[1:] = final[:-1] | ~self._joined[data[:-1], data[1:] + 256 * final[1:]]
-        run = np.cumsum(cut) - 1
+        final = np.zeros(len(data), np.int64)
+        final[last] = 1
+        symbol = self._single[final, data]
+        run = np.repeat(np.arange(len(pieces)), size)
         none = np.int64(len(ranks))
 
         def rank_at(i: np.ndarray) -> np.ndarray:
-            """Rank and product of the pair at places i and i + 1 (none where they are of different runs)."""
+            """Rank of the pair at places i and i + 1 (none where they are of different runs)."""
             j = np.minimum(i + 1, len(symbol) - 1)
             pair = symbol[i] << 32 | symbol[j]
             at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
             return np.where((i + 1 < len(symbol)) & (run[j] == run[i]) & (keys[at] == pair), ranks[at], none)
 
-        out_symbol, out_run, out_place = [], [], []
+        out_symbol, out_place = [], []
         place = np.arange(len(data))
         rank = rank_at(np.arange(len(symbol)))
         while len(symbol):
@@ -223,7 +203,6 @@ class Transducer:
             if not live.all():  # stable runs leave
                 gone = np.repeat(~live, np.diff(np.append(first, len(symbol))))
                 out_symbol.append(symbol[gone])
-                out_run.append(run[gone])
                 out_place.append(place[gone])
                 symbol, run, place, rank = symbol[~gone], run[~gone], place[~gone], rank[~gone]
                 continue
@@ -244,53 +223,89 @@ class Transducer:
         ids = ids.tolist()
         return [[i for i in ids[a:b] if i >= 0] for a, b in zip([0, *cuts[:-1]], cuts)]
 
-    def normalized(self, text: str) -> str:
-        """NFC, white space to one space, and each character lower-cased by itself."""
-        text = unicodedata.normalize("NFC", text)
-        return text.lower() if text.isascii() or "Σ" not in text else "".join(c.lower() for c in text)
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def stream(self, text: str, step: int = LONG) -> Iterator[list[int]]:
+        """The ids of a text, in lists as they get stable. Text is taken about `step` characters at a time."""
         at = 0
         for m in self.special.finditer(text) if self.special else ():
-            out += self._plain(text[at : m.start()])
-            out.append(self.added[m[0]])
+            yield from self._streamed(text, at, m.start(), step)
+            yield [self.added[m[0]]]
             at = m.end()
-        return out + self._plain(text[at:] if at else text)
-
-    def _plain(self, text: str) -> list[int]:
-        return [i for piece in self.pieces.findall(self.normalized(text)) for i in self.remembered[piece]]
+        yield from self._streamed(text, at, len(text), step)
+
+    def _streamed(self, text: str, at: int, end: int, step: int) -> Iterator[list[int]]:
+        run = None
+        while at < end:
+            found = CUT.search(text, min(at + step, end), end) if end - at > step else None
+            upto = found.end() if found else end
+            pieces = self.pieces(text[at:upto])
+            for k, piece in enumerate(pieces):
+                if run is None or k:  # else the run of letters that the cut divides goes on
+                    if run is not None:
+                        yield run.close()
+                    run = Run(self)
+                for i in range(0, len(piece), BLOCK):
+                    if ready := run.push(piece[i : i + BLOCK]):
+                        yield ready
+            if not found and run is not None:
+                yield run.close()
+            at = upto
 
-    def token(self, i: int) -> str:
-        return self.text_of.get(i, "")
+    def encode(self, text: str) -> list[int]:
+        return [i for part in self.stream(text) for i in part]
+
+
+class Run:
+    """One pre-token on its way through the transducer: symbols go in, ids come out once no further symbol can change them."""
+
+    def __init__(self, transducer: Transducer):
+        self.t = transducer
+        self.held: list[str] = []
+        self.last = ""  # the last symbol: it gets the end-of-word suffix if no other follows
+
+    def push(self, symbols: str) -> list[int]:
+        if not symbols:
+            return []
+        self.held += self.last + symbols[:-1]
+        self.last = symbols[-1]
+        stable = len(self.held) - self.t.lookahead
+        if stable < BLOCK:
+            return []
+        out, at = [], 0
+        for token in self.t.merged(self.held):
+            if at + self.t.size(token) > stable:
+                break
+            at += self.t.size(token)
+            out.append(token)
+        self.held = self.held[at:]
+        return self.t.ids(out)
+
+    def close(self) -> list[int]:
+        tokens = self.t.merged([*self.held, self.last + self.t.end]) if self.last else []
+        self.held, self.last = [], ""
+        return self.t.ids(tokens)
 
 
 class TextDecoder:
-    """An incremental byte-to-text machine: token by token, text comes out as soon as its bytes form characters.
+    """An incremental machine from ids to text: text comes out as soon as its bytes form characters.
 
-    joined=True gives what a tokenizer without a decoder returns, the tokens with a space between; joined=False turns the byte alphabet back to
-    bytes and the end-of-word suffix to a space, decoding UTF-8 incrementally (bytes that form none become U+FFFD).
+    joined=True gives what a tokenizer without a decoder returns, the tokens with a space between (state: has one come yet?); joined=False
+    turns the byte alphabet back to bytes and the end-of-word suffix to a space, decoding UTF-8 incrementally (bytes that form none become U+FFFD).
     """
 
     def __init__(self, transducer: Transducer, joined: bool = True):
         self.t, self.joined, self.first = transducer, joined, True
-        self.bytes_of = transducer.bytes_of
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, i: int) -> str:
-        token = self.t.token(i)
+        token = self.t.text_of.get(i)
+        if token is None:
+            return ""
         if self.joined:
             lead, self.first = ("" if self.first else " "), False
-            return lead + token if i in self.t.text_of else ""
+            return lead + token
         ends = bool(self.t.end) and token.endswith(self.t.end)
         body = token.removesuffix(self.t.end) if ends else token
-        return self.utf8.decode(bytes(self.bytes_of[c] for c in body if c in self.bytes_of) + b" " * ends)
-
-    def feed_all(self, ids: list[int]) -> str:
-        """The rest of a sequence of known ids at once."""
-        if self.joined and self.first:
-            return " ".join([self.t.text_of[i] for i in ids if i in self.t.text_of])
-        return "".join(map(self.feed, ids)) + self.finish()
+        return self.utf8.decode(bytes(self.t.bytes_of[c] for c in body if c in self.t.bytes_of) + b" " * ends)
 
     def finish(self) -> str:
         return "" if self.joined else self.utf8.decode(b"", True)
@@ -301,71 +316,69 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-class WordCodes(dict):
-    """White-space-free chunk of a text (bytes) -> whatever `make` says of it. Pre-tokens never cross ASCII white space, so chunks can be encoded one by one."""
+class Digests:
+    """Number of ids, and SHA-256 of the decimal ids and of the decoded text, as both come out of the transducer."""
 
-    def __init__(self, make, most: int = CACHE):
-        super().__init__()
-        self.make, self.most = make, most
+    def __init__(self):
+        self.n, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
 
-    def __missing__(self, word: bytes):
-        value = self.make(word)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = value
-        return value
+    def add(self, n: int, ids: bytes, text: bytes) -> None:
+        """The next n ids, written out, and their text. Between what is added, the decoder's state is only that a token has come."""
+        if n:
+            lead = b" " * (self.n > 0)
+            self.ids.update(lead + ids)
+            self.text.update(lead + text)
+            self.n += n
 
 
 def encoded(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
     """docs with its columns and n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256 (of the decoded text)."""
-    schema = StructType([*docs.schema.fields]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    names = [free_name(docs.columns, n) for n in ("n_tokens", "ids_sha256", "decoded_sha256")]
+    schema = StructType([*docs.schema.fields])
+    for name, kind in zip(names, ("long", "string", "string"), strict=True):
+        schema = schema.add(name, kind)
     at = docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
-
-        codes: dict[bytes, tuple[int, bytes, bytes] | None] = {}
-        seen: dict[str, tuple[int, bytes, bytes] | None] = {}
+        known = memory(f"bpe:{path}", MEMORY)
 
         def shown(ids: list[int]) -> tuple[int, bytes, bytes] | None:
-            return (len(ids), " ".join(map(str, ids)).encode(), TextDecoder(t).feed_all(ids).encode()) if ids else None
+            return (len(ids), " ".join(map(str, ids)).encode(), "".join(map(TextDecoder(t).feed, ids)).encode()) if ids else None
 
         def learned(words: set[bytes]) -> None:
-            new = words.difference(codes)
-            if len(codes) + len(new) > CACHE:
-                codes.clear()
-                seen.clear()
-                new = words
-            for some in batched(new, 20_000):
+            for some in batched([w for w in known.missing(words) if len(w) <= LONG], 20_000):
                 split = []
                 for w in some:
                     text = w.decode("utf-8")
                     if t.special and t.special.search(text):
-                        codes[w] = shown(t.encode(text))
+                        known.add(w, shown(t.encode(text)))
                     else:
-                        split.append((w, t.pieces.findall(t.normalized(text))))
-                fresh = [p for p in {p for _, pieces in split for p in pieces} if p not in seen]
-                short = [p for p in fresh if len(p) <= 64]
-                for part in batched(short, 8192):
-                    seen.update(zip(part, map(shown, t.lockstep(part))))
-                seen.update((p, shown(t.piece_ids(p))) for p in fresh if len(p) > 64)
+                        split.append((w, t.pieces(text)))
+                fresh = list({p for _, pieces in split for p in pieces})
+                ids = {p: t.piece_ids(p) for p in fresh if len(p) > SHORT}
+                for part in batched([p for p in fresh if len(p) <= SHORT], 8192):
+                    ids.update(zip(part, t.lockstep(part)))
                 for w, pieces in split:
-                    if len(pieces) == 1:
-                        codes[w] = seen[pieces[0]]
-                    else:
-                        parts = [x for x in map(seen.__getitem__, pieces) if x]
-                        codes[w] = (sum(x[0] for x in parts), b" ".join([x[1] for x in parts]), b" ".join([x[2] for x in parts])) if parts else None
+                    known.add(w, shown([i for p in pieces for i in ids[p]]))
 
         for batch in batches:
-            n, ids, decoded = [], [], []
+            out: list[Digests] = []
             for words in split_texts(row_texts(batch.column(at)), learned):
-                found = [x for x in map(codes.__getitem__, words) if x]
-                counts, a, b = zip(*found) if found else ((), (), ())
-                n.append(sum(counts))
-                ids.append(hashlib.sha256(b" ".join(a)).hexdigest())
-                decoded.append(hashlib.sha256(b" ".join(b)).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[*batch.schema.names, "n_tokens", "ids_sha256", "decoded_sha256"])
+                out.append(doc := Digests())
+                for some in batched(words, 50_000):
+                    if max(map(len, some)) <= LONG:
+                        found = [x for x in map(known.young.__getitem__, some) if x]
+                        if found:
+                            counts, ids, texts = zip(*found)
+                            doc.add(sum(counts), b" ".join(ids), b" ".join(texts))
+                    else:
+                        for w in some:
+                            for x in [known.young[w]] if len(w) <= LONG else map(shown, t.stream(w.decode("utf-8"))):
+                                doc.add(*(x or (0, b"", b"")))
+            results = ([d.n for d in out], [d.ids.hexdigest() for d in out], [d.text.hexdigest() for d in out])
+            columns = [pa.array(v, k) for v, k in zip(results, (pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
