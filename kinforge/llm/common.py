@@ -6,7 +6,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -98,23 +99,30 @@ class Memory:
         self.most, self.bytes = most, 0
         self.young: dict[bytes, object] = {}
         self.old: dict[bytes, object] = {}
+        self._beside: Memory | None = None
+
+    def beside(self) -> Memory:
+        """Another memory, of half the size, that lives as long as this one."""
+        self._beside = self._beside or Memory(self.most // 2)
+        return self._beside
 
     def missing(self, words: set[bytes]) -> list[bytes]:
-        """The words that are still to be learned (by add); after that all of `words` are in `young` until the next call."""
+        """The words that are still to be learned; after that all of `words` are in `young` until the next call."""
         if self.bytes * 2 > self.most:
             self.old, self.young, self.bytes = self.young, {}, 0
         new = words.difference(self.young)
         if self.old:
-            known = [w for w in new if w in self.old]
-            for w in known:
-                self.add(w, self.old[w])
-            new.difference_update(known)
+            again = {w: self.old[w] for w in new & self.old.keys()}
+            self.learn(again, again.values())
+            new.difference_update(again)
         return list(new)
 
-    def add(self, word: bytes, value) -> None:
-        self.young[word] = value
-        size = len(value) if isinstance(value, bytes) else 16 if not isinstance(value, tuple) else 100 + sum(len(v) for v in value if isinstance(v, bytes))
-        self.bytes += 200 + len(word) + size
+    def learn(self, words: Collection[bytes], values: Collection) -> None:
+        """A value for each word: bytes, None, or a tuple (a number, bytes, bytes)."""
+        self.young.update(zip(words, values, strict=True))
+        some = list(islice(zip(words, values), 256))
+        sizes = sum(200 + len(w) + (len(v) if isinstance(v, bytes) else 150 + len(v[1]) + len(v[2]) if v else 0) for w, v in some)
+        self.bytes += len(words) * sizes // max(1, len(some))
 
 
 _memories: dict[str, Memory] = {}

@@ -17,8 +17,8 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,6 @@ BLOCK = 512
 SEGMENT_IDS = 2_000_000
 #: Bytes that a Python worker may remember words in; only speed depends on it.
 MEMORY = 128 << 20
-ARRAY = {np.uint16: "H", np.uint32: "I"}
 
 
 def pack(ids: np.ndarray, bits: int = 8) -> bytes:
@@ -120,62 +119,84 @@ class Codes:
 SEGMENTS = "part int, seq int, n_tokens long, doc_ids binary, known binary, doc_tokens binary, codes binary"
 
 
-#: What a word of only these bytes is split into after lower-casing: the file's pattern, where letters, numbers and others are ASCII.
-PLAIN = re.compile(rb"[!-~]+")
+#: What a lower-cased word of printable ASCII is split into: the file's pattern, where letters, numbers and others are ASCII.
 PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
-    """The library's ids of white-space-free words as little-endian bytes, remembered by the worker.
+    """The library's ids of white-space-free words, as little-endian bytes.
 
-    Pre-tokens never cross ASCII white space, so the ids of a text's words, one after another, are the text's. A word of printable ASCII is
-    split here and its pre-tokens go straight to the library's model; any other word takes the library's whole path.
+    Pre-tokens never cross ASCII white space, so the ids of a text's words, one after another, are the text's. A word of printable ASCII
+    without a special token's first character is split here and its pre-tokens go straight to the library's model (without a cache of its
+    own); any other word takes the library's whole path.
     """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold more memory
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.kind = np.uint16 if max(self.whole.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
-        self.marks = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        size = max(self.whole.get_vocab_size(), end_id + 1)
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        self.codes = [self.kind(i).tobytes() for i in range(size)]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
-        split = [s for s in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if s["type"] == "Split"]
+        split = [s["pattern"] for s in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if s["type"] == "Split"]
+        self.plain = None
         # The short way is right for files of this kind only.
-        self.direct = steps == ["NFC", "Replace", "Lowercase"] and [s["pattern"] for s in split] == [{"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}]
-        self.known = memory(f"dac:{path}:{self.kind.__name__}", MEMORY)
-
-    def learn(self, words: set[bytes]) -> None:
-        model, kind, add = self.whole.model, self.kind, self.known.add
-        for w in self.known.missing(words):
-            if self.direct and len(w) <= 1024 and PLAIN.fullmatch(w) and not any(m in w for m in self.marks):
-                ids = [t.id for p in PLAIN_PIECES.findall(w.decode("ascii").lower()) for t in model.tokenize(p)]
+        if spec["model"]["type"] == "BPE" and steps == ["NFC", "Replace", "Lowercase"] and split == [{"Regex": PATTERN}]:
+            given = {k: spec["model"][k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if spec["model"].get(k)}
+            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
+            self.model = models.BPE(vocab=spec["model"]["vocab"], merges=merges, cache_capacity=0, **given)
+            first = {t["content"][:1].lower() for t in spec["added_tokens"]} | {t["content"][:1].upper() for t in spec["added_tokens"]}
+            self.plain = re.compile(b"[" + b"".join(re.escape(bytes([c])) for c in range(33, 127) if chr(c) not in first) + b"]{1,1024}").fullmatch
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        codes, pieces_of = self.codes, PLAIN_PIECES.findall
+        out = []
+        for w in words:
+            if self.plain and self.plain(w):
+                tokenize, text = self.model.tokenize, w.decode("ascii").lower()
+                if text.isalpha():
+                    out.append(b"".join([codes[t.id] for t in tokenize(text)]))
+                else:
+                    out.append(b"".join([codes[t.id] for p in pieces_of(text) for t in tokenize(p)]))
             else:
-                ids = self.whole.encode(w.decode("utf-8"), add_special_tokens=False).ids
-            add(w, array(ARRAY[kind], ids).tobytes())
+                out.append(b"".join([codes[i] for i in self.whole.encode(w.decode("utf-8"), add_special_tokens=False).ids]))
+        return out
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str, end_id: int) -> WordEncoder:
+    """A worker's encoder, kept from task to task."""
+    return WordEncoder(path, end_id)
 
 
 def write_segments(docs: DataFrame, path: str, end_id: int = 1, bits: int = 8, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """The segments of docs (doc_id, text) as a table in the shared folder, read again; path: of a tokenizers file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordEncoder(path, end_id)
-        kind, known = words.kind, words.known
+        words = word_encoder(path, end_id)
+        kind, known = words.kind, memory(f"dac:{path}:{end_id}", MEMORY)
         end = np.array([end_id], kind).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         parts, ids, present, counts, held = [], [], [], [], 0
 
+        def learned(found: set[bytes]) -> None:
+            new = known.missing(found)
+            known.learn(new, words.encode(new))
+
         def closed() -> pa.RecordBatch:
             packed = pack(np.frombuffer(b"".join(parts), kind), bits)
             row = [part, seq, held, np.array(ids, "<i8").tobytes(), np.array(present, np.uint8).tobytes(), np.array(counts, "<i8").tobytes(), packed]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["part", "seq", "n_tokens", "doc_ids", "known", "doc_tokens", "codes"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), split_texts(row_texts(batch.column(1)), words.learn), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), split_texts(row_texts(batch.column(1)), learned), strict=True):
                 data = b"".join(map(known.young.__getitem__, text)) + end
                 n = len(data) // np.dtype(kind).itemsize
                 if held and held + n > segment_ids:

@@ -317,8 +317,7 @@ def identified(docs: DataFrame, names: list[str], log_probs: np.ndarray, path: s
             fresh = known.missing(words)
             for i in range(0, len(fresh), together):
                 part = fresh[i : i + together]
-                for word, row in zip(part, forward.words(part), strict=True):
-                    known.add(word, row.tobytes())
+                known.learn(part, [row.tobytes() for row in forward.words(part)])
 
         def posterior(words: list[bytes]) -> tuple[str, float]:
             total = np.zeros(n)
