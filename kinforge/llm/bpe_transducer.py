@@ -37,7 +37,7 @@ from pyspark.sql.types import StructType
 from .common import free_name, memory, row_texts, split_texts
 
 #: Bytes that a Python worker may remember words in; only speed depends on it.
-MEMORY = 96 << 20
+MEMORY = 160 << 20
 #: Symbols encoded at a time beyond the lookahead, and the characters of a word from which it is read in pieces.
 BLOCK, LONG = 4096, 1 << 16
 #: Pre-tokens up to this size step together and are remembered.
@@ -92,6 +92,7 @@ class Transducer:
         self.bytes_of = {c: b for b, c in enumerate(self.alphabet)}
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.lookahead = self._lookahead(pairs)
+        self.decimal = {i: str(i) for i in self.text_of}
         self._table = None
 
     def size(self, token: str) -> int:
@@ -160,8 +161,11 @@ class Transducer:
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of a text without special tokens, in the byte alphabet."""
-        if PRINTABLE.fullmatch(text):
-            return ASCII_PIECES.findall(text.lower())
+        if text.isascii():
+            if text.isalpha():
+                return [text.lower()]
+            if PRINTABLE.fullmatch(text):
+                return ASCII_PIECES.findall(text.lower())
         return [p for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def piece_ids(self, piece: str) -> list[int]:
@@ -307,6 +311,13 @@ class TextDecoder:
         body = token.removesuffix(self.t.end) if ends else token
         return self.utf8.decode(bytes(self.t.bytes_of[c] for c in body if c in self.t.bytes_of) + b" " * ends)
 
+    def feed_all(self, ids: list[int]) -> str:
+        """feed() of each id in turn."""
+        if not (self.joined and ids and self.t.text_of.keys() >= set(ids)):
+            return "".join(map(self.feed, ids))
+        lead, self.first = ("" if self.first else " "), False
+        return lead + " ".join([self.t.text_of[i] for i in ids])
+
     def finish(self) -> str:
         return "" if self.joined else self.utf8.decode(b"", True)
 
@@ -343,24 +354,31 @@ def encoded(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
         t = transducer(path)
         known = memory(f"bpe:{path}", MEMORY)
 
+        spelled = known.beside()
+
         def shown(ids: list[int]) -> tuple[int, bytes, bytes] | None:
-            return (len(ids), " ".join(map(str, ids)).encode(), "".join(map(TextDecoder(t).feed, ids)).encode()) if ids else None
+            return (len(ids), " ".join(map(t.decimal.__getitem__, ids)).encode(), TextDecoder(t).feed_all(ids).encode()) if ids else None
+
+        def together(parts: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes] | None:
+            return (sum([x[0] for x in parts]), b" ".join([x[1] for x in parts]), b" ".join([x[2] for x in parts])) if parts else None
 
         def learned(words: set[bytes]) -> None:
             for some in batched([w for w in known.missing(words) if len(w) <= LONG], 20_000):
-                split = []
+                split, odd = [], []
                 for w in some:
                     text = w.decode("utf-8")
                     if t.special and t.special.search(text):
-                        known.add(w, shown(t.encode(text)))
+                        odd.append((w, shown(t.encode(text))))
                     else:
                         split.append((w, t.pieces(text)))
-                fresh = list({p for _, pieces in split for p in pieces})
-                ids = {p: t.piece_ids(p) for p in fresh if len(p) > SHORT}
+                fresh = spelled.missing({p for _, pieces in split for p in pieces})
+                spelled.learn(long := [p for p in fresh if len(p) > SHORT], [shown(t.piece_ids(p)) for p in long])
                 for part in batched([p for p in fresh if len(p) <= SHORT], 8192):
-                    ids.update(zip(part, t.lockstep(part)))
-                for w, pieces in split:
-                    known.add(w, shown([i for p in pieces for i in ids[p]]))
+                    spelled.learn(part, [*map(shown, t.lockstep(part))])
+                of = spelled.young
+                values = [of[pieces[0]] if len(pieces) == 1 else together([x for p in pieces if (x := of[p])]) for _, pieces in split]
+                known.learn([w for w, _ in split], values)
+                known.learn([w for w, _ in odd], [x for _, x in odd])
 
         for batch in batches:
             out: list[Digests] = []
