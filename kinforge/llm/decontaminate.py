@@ -3,12 +3,12 @@
 A window of an item (its `window` consecutive words, or the whole of a shorter item) is a set of positioned shingles. A document that holds the
 window holds all its shingles, so the necessary prefix of each window, in the order of rarity in the documents, is its rarest shingle alone.
 Prefix shingles are joined to the documents' shingles by hash; a match fixes the alignment, so bounds on position and length (the window must
-lie inside the document's words) drop candidates before the words of the window are compared one by one.
+lie inside the document's words) drop candidates before the words of the window are compared one by one, first by hash, then by their bytes.
 
 The benchmark goes to executors in blocks of at most `block_words` words, each a pass over the documents, so what is broadcast has a fixed bound.
 
 Defined results: null or empty text has no words and no hits; items without words have no windows; repeated items count by their item_id,
-once each; null item_ids are left out. Rows of documents that repeat a doc_id are judged each by their own text.
+once each; null item_ids are left out. Rows of documents that repeat a doc_id are judged each by their own text. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes
+from .common import chunks, released, text_bytes
 from .textscan import LOWER, NOT_ALNUM, Rolling, word_hashes, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -34,17 +34,29 @@ CHUNK = 1 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, salt long"
 
 
+class Spelled:
+    """The bytes of a text's words."""
+
+    def __init__(self, raw: bytes, start: np.ndarray, end: np.ndarray):
+        self.raw, self.start, self.end = raw, start, end
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.raw[self.start[i] : self.end[i]]
+
+
 class Block:
-    """Some benchmark items' words (as hashes) and the shingles of their windows."""
+    """Some benchmark items' words (their hashes and bytes) and the shingles of their windows."""
 
     def __init__(self, items: list[tuple[str, str]], window: int, shingle: int):
         self.window, self.shingle = window, shingle
-        self.ids, rows = [], []
+        self.ids, self.spelled, rows = [], [], []
         for item, text in items:
-            data = np.frombuffer(" ".join(WORD.findall(text.translate(FOLD))).encode("utf-8"), np.uint8)
+            raw = " ".join(WORD.findall(text.translate(FOLD))).encode("utf-8")
+            data = np.frombuffer(raw, np.uint8)
             start, end, _ = words(data, np.array([0, len(data)]), NOT_ALNUM)
             if len(start):
                 self.ids.append(item)
+                self.spelled.append(Spelled(raw, start, end))
                 rows.append(word_hashes(data, start, end))
         self.words = rows
         #: Every shingle of every item that a window may choose, as (hash, item, place).
@@ -73,13 +85,13 @@ class Block:
         return out
 
 
-def _scan(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, word hashes, bounds of each row's words) for slices of the batch."""
+def _scan(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Spelled]]:
+    """(first row, end row, word hashes, bounds of each row's words, the words) for slices of the batch."""
     data, offsets = text_bytes(batch.column(column))
     for i, j in chunks(offsets, CHUNK):
         part = LOWER[data[offsets[i] : offsets[j]]]
         start, end, bounds = words(part, offsets[i : j + 1] - offsets[i], NOT_ALNUM)
-        yield i, j, word_hashes(part, start, end), bounds
+        yield i, j, word_hashes(part, start, end), bounds, Spelled(part.tobytes(), start, end)
 
 
 def shingle_counts(docs: DataFrame, block: Block) -> dict[int, int]:
@@ -90,7 +102,7 @@ def shingle_counts(docs: DataFrame, block: Block) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(known), np.int64)
         for batch in batches:
-            for _, _, hashes, _ in _scan(batch, 0):
+            for _, _, hashes, _, _ in _scan(batch, 0):
                 rolling = Rolling(hashes)
                 for k in lengths:
                     grams = rolling.grams(k)
@@ -111,13 +123,14 @@ def found(docs: DataFrame, block: Block, counts: dict[int, int]) -> DataFrame:
     tables = []
     for k, entries in sorted(block.prefixes(counts).items()):
         tables.append((k, np.array(sorted(entries), np.uint64), [entries[h] for h in sorted(entries)]))
-    shared = docs.sparkSession.sparkContext.broadcast((tables, block.words, block.ids, block.window))
+    shared = docs.sparkSession.sparkContext.broadcast((tables, block.words, block.spelled, block.ids, block.window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, item_words, ids, window = shared.value
+        released()
+        tables, item_words, spelled, ids, window = shared.value
         for batch in batches:
             n_words, hits, items = [], [], []
-            for i, j, hashes, bounds in _scan(batch, 1):
+            for i, j, hashes, bounds, own in _scan(batch, 1):
                 runs: list[list[tuple[int, int]]] = [[] for _ in range(j - i)]
                 named: list[set[str]] = [set() for _ in range(j - i)]
                 rolling = Rolling(hashes)
@@ -136,7 +149,11 @@ def found(docs: DataFrame, block: Block, counts: dict[int, int]) -> DataFrame:
                             if first > last:
                                 continue
                             same = row[first : last + length] == hashes[zero + first : zero + last + length]
-                            whole = np.flatnonzero(np.convolve(same, np.ones(length, np.int32), "valid") == length) + first
+                            whole = complete(same, length) + first
+                            if len(whole):
+                                for w in range(int(whole[0]), int(whole[-1]) + length):
+                                    same[w - first] = same[w - first] and spelled[item][w] == own[zero + w]
+                                whole = complete(same, length) + first
                             if len(whole):
                                 named[d].add(ids[item])
                                 runs[d] += [(zero + w - low, zero + w - low + length) for w in whole.tolist()]
@@ -149,6 +166,11 @@ def found(docs: DataFrame, block: Block, counts: dict[int, int]) -> DataFrame:
     return docs.select("doc_id", "text", "salt").mapInArrow(run, "doc_id long, salt long, n_words long, hit binary, items array<string>")
 
 
+def complete(same: np.ndarray, length: int) -> np.ndarray:
+    """The places from which on `length` words in a row are the same."""
+    return np.flatnonzero(np.convolve(same, np.ones(length, np.int32), "valid") == length)
+
+
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(runs):

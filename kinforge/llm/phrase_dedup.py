@@ -6,7 +6,8 @@ by word, compiled into an Aho-Corasick automaton over word numbers, and all the
 passage is found, the earliest is kept, and the others' words go.
 
 Defined results: null text has no words; a text of fewer words than `length` keeps all; rows equal in doc_id and text are the same document and
-neither is earlier; rows that share a doc_id with different texts are ordered by their texts' hashes; a null doc_id is smaller than any other.
+neither is earlier; rows that share a doc_id with different texts are ordered by their texts' hashes; a null doc_id is smaller than any other;
+other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -20,12 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import regions as R
-from .common import keyed_text, shown_id
+from .common import keyed_text, row_texts, shown_id
 from .textscan import SPACE, word_hashes, words
 
 LENGTH, GRAM = 20, 4
-HOT_CLASSES = 20_000
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_500_000
 
 
 def later(bodies: list[bytes], windows: list[int], places: list[tuple], length: int) -> list[np.ndarray]:
@@ -63,31 +63,29 @@ def later(bodies: list[bytes], windows: list[int], places: list[tuple], length:
     return marks
 
 
+def joined_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' words joined by one space each, as bytes and offsets."""
+    texts = [b" ".join(t.split()) for t in row_texts(column)]
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
 def scan(length: int, gram: int) -> R.Scan:
     def units(data: np.ndarray, offsets: np.ndarray):
         start, end, bounds = words(data, offsets, SPACE)
-        return word_hashes(data, start, end), bounds, start, end
+        return bounds, start, end, lambda a, b: word_hashes(data, start[a:b], end[a:b])
 
-    return R.Scan(units, length, gram)
+    return R.Scan(units, length, gram, joined_words)
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_classes: int = HOT_CLASSES, keep_text: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_classes: int = R.HOT_CLASSES, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) of docs (doc_id, text)."""
     texts = keyed_text(docs)
-    how = scan(length, gram)
-    found = R.repeated_anchors(texts, how)
-    kinds = R.classes(found, hot_classes)
-    bodies = R.written(R.fetched(texts, kinds, how), "bodies")
 
     def decide(rows: list[dict]) -> list[np.ndarray]:
         return later([r["body"] for r in rows], [r["n"] for r in rows], [(r["doc_id"], r["salt"], r["start"]) for r in rows], length)
 
-    marks = R.by_shard(bodies, decide, SHARD_BYTES)
-    spread = R.hot_windows(bodies).withColumn("at", F.struct("doc_id", "salt", (F.col("start") + F.col("w")).alias("start")))
-    first = spread.groupBy("a", "b").agg(F.min("at").alias("least"))
-    marks = marks.union(R.listed_marks(spread.join(first, ["a", "b"]).filter(F.col("least") < F.col("at")).select("h", "c", "n", "w")))
-    kept_first = F.struct("doc_id", "salt", "start") != F.col("first")
-    told = R.marked_windows(found, bodies.select("h", "c", "n", "times", F.struct("doc_id", "salt", "start").alias("first")), marks, kept_first)
+    not_first = lambda: F.struct("doc_id", "salt", "start") != F.col("first")
+    told = R.repeats(texts, scan(length, gram), R.Rules(decide, not_first, SHARD_BYTES, hot_classes))
     extra = ", kept string" if keep_text else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,14 @@
 
 Every window of a fixed length chooses an anchor inside itself by its contents alone (textscan.anchored), so equal windows choose equal anchors,
 at equal offsets. A region is a run of windows with one anchor. Only regions whose anchor's hash occurs again can hold a repeated window; those
-are grouped into classes of equal contents, and each class's text is fetched once, for its first region. Classes that share an anchor meet in
-one task, where the operator's own method compares them; a region that is not the first of its class is decided by its class.
-
-An anchor that more than `hot_classes` different regions share (a very common phrase with different neighbours) would gather without bound in a
-task. Its windows are spread by their own contents instead: one row for each different window of each class, counted by (two 64-bit) hash.
+are grouped into classes of equal contents (told apart by XXH3-128 of the contents' bytes), and each class's bytes are fetched once, for its
+first region. Classes that share an anchor meet in one task, where the operator's own method compares their bytes; a region that is not the
+first of its class is decided by its class.
+
+An anchor that more than `hot_classes` different classes share (a very common phrase with different neighbours) would gather without bound in a
+task. Its classes are cut again, by one more anchor that each window chooses in another order of the grams, and these parts meet by both
+anchors: the same method decides them, in more and smaller shards. What is still hot is cut once more, up to `LEVELS` times, and then into single
+windows that meet by their own contents.
 """
 
 from __future__ import annotations
@@ -16,43 +19,74 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, text_bytes, written
-from .textscan import Rolling, anchored, mixed
+from .textscan import Rolling, anchored, covered_runs, mixed
 
-CHUNK = 1 << 20
-ANCHORS = "doc_id long, salt int, start int, n int, h long, c long"
+#: Bytes scanned together, and units of a long text scanned at a time.
+CHUNK, PIECE = 1 << 20, 1 << 20
+HOT_CLASSES, LEVELS = 2000, 6
+CLASS = ["h", "c0", "c1", "n"]
+ANCHORS = "doc_id long, salt long, start int, n int, h long, c0 long, c1 long"
 
 
 @dataclass
 class Scan:
-    """How an operator sees texts: units(data, offsets) -> 64-bit units, bounds of each text's units, and bytes from/to of each unit."""
+    """How an operator sees texts: a window is `length` units, an anchor `gram` of them.
+
+    bytes_of(column) -> the texts' bytes as compared, and their n + 1 offsets. units(data, offsets) -> where each text's units begin (n + 1), the
+    bytes that each unit goes from and to, and a function (a, b) -> the 64-bit hashes of units a to b.
+    """
 
-    units: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    units: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, Callable[[int, int], np.ndarray]]]
     length: int
     gram: int
+    bytes_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]] = text_bytes
+
+
+@dataclass
+class Rules:
+    """An operator's decisions: decide(rows of a shard) -> for each row's windows, which are marked; always: the regions whose windows are all marked, of (times, first, doc_id, salt, start)."""
+
+    decide: Callable[[list[dict]], list[np.ndarray]]
+    always: Callable[[], object]
+    shard_bytes: int
+    hot_classes: int
 
 
 def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+def digests(raw: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """XXH3-128 of raw[first:last], as two 64-bit values each."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+
+
 def anchors(docs: DataFrame, scan: Scan) -> DataFrame:
-    """Each region of each document: its first window, number of windows, anchor hash, contents hash."""
+    """Each region of each document: its first window, number of windows, anchor hash, contents' digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, salts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, offsets = text_bytes(batch.column(2))
+            data, offsets = scan.bytes_of(batch.column(2))
             for i, j in chunks(offsets, CHUNK):
-                units, bounds, _, _ = scan.units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                rolling = Rolling(units)
-                doc, first, n, place = anchored(grams := rolling.grams(scan.gram), bounds, scan.length, scan.gram)
-                if len(doc):
-                    contents = rolling.of(first, first + n + scan.length - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + doc]), pa.array(salts[i + doc]), pa.array((first - bounds[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), _long(grams[place]), _long(contents)], names=["doc_id", "salt", "start", "n", "h", "c"])
+                part = data[offsets[i] : offsets[j]]
+                raw = part.tobytes()
+                bounds, low, high, units = scan.units(part, offsets[i : j + 1] - offsets[i])
+                for p in range(0, int(bounds[-1]), PIECE):  # a longer text in pieces, whose windows start in [p, p + PIECE)
+                    q = min(int(bounds[-1]), p + PIECE + scan.length - 1)
+                    grams = Rolling(units(p, q)).grams(scan.gram)
+                    doc, first, n, place = anchored(grams, np.clip(bounds, p, q) - p, scan.length, scan.gram)
+                    if len(doc):
+                        first, hashes = first + p, grams[place]
+                        c = digests(raw, low[first], high[first + n + scan.length - 2])
+                        columns = [pa.array(ids[i + doc]), pa.array(salts[i + doc]), pa.array((first - bounds[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), _long(hashes), pa.array(c[:, 0]), pa.array(c[:, 1])]
+                        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "salt", "start", "n", "h", "c0", "c1"])
 
     return docs.select("doc_id", "salt", "text").mapInArrow(run, ANCHORS)
 
@@ -62,87 +96,77 @@ def repeated_anchors(docs: DataFrame, scan: Scan) -> DataFrame:
     found = anchors(docs, scan)
     # Written, so that both sides of the join are plain exchanges and adaptive execution can split a hot anchor's rows.
     again = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h"), "again")
-    return written(found.join(again, "h").select("doc_id", "salt", "start", "n", "h", "c"), "regions")
+    return written(found.join(again, "h").select("doc_id", "salt", "start", *CLASS[3:], *CLASS[:3]), "regions")
 
 
-def classes(regions: DataFrame, hot_classes: int) -> DataFrame:
-    """(h, c, n, times, first: the least (doc_id, salt, start), hot): the different contents of each anchor."""
-    made = regions.groupBy("h", "c", "n").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "salt", "start")).alias("first"))
-    counts = made.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > hot_classes).select("h", F.lit(True).alias("hot"))
-    return made.join(counts, "h", "left").select("h", "c", "n", "times", "first", F.coalesce("hot", F.lit(False)).alias("hot"))
+def classes(regions: DataFrame) -> DataFrame:
+    """(CLASS, times, first: the least (doc_id, salt, start)): the different contents of each anchor."""
+    return regions.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "salt", "start")).alias("first"))
 
 
-FETCHED = "h long, c long, n int, times long, doc_id long, salt int, start int, hot boolean, body binary, windows binary"
+BODIES = {"h": pa.int64(), "c0": pa.int64(), "c1": pa.int64(), "n": pa.int32(), "times": pa.int64(), "doc_id": pa.int64(), "salt": pa.int64(), "start": pa.int32(), "body": pa.binary()}
+BODIES_SQL = "h long, c0 long, c1 long, n int, times long, doc_id long, salt long, start int, body binary"
 
 
 def fetched(docs: DataFrame, found: DataFrame, scan: Scan) -> DataFrame:
-    """Each class with the bytes of its first region; for hot ones, the two hashes of each window instead."""
-    wanted = found.select("first.doc_id", "first.salt", F.struct(F.col("first.start").alias("start"), "n", "h", "c", "times", "hot").alias("r")).groupBy("doc_id", "salt").agg(F.collect_list("r").alias("rs"))
+    """BODIES: each class with the place and the bytes of its first region."""
+    wanted = found.select("first.doc_id", "first.salt", F.struct(F.col("first.start").alias("start"), *CLASS, "times").alias("r")).groupBy("doc_id", "salt").agg(F.collect_list("r").alias("rs"))
     once = docs.select("doc_id", "salt", "text").join(wanted, ["doc_id", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: tuple | None = None
         for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
+            data, offsets = scan.bytes_of(batch.column(2))
             ids, salts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             lists = batch.column(3)
             flat, at = lists.flatten(), lists.offsets.to_numpy()
-            col = {name: flat.field(k).to_numpy(zero_copy_only=False) for k, name in enumerate(("start", "n", "h", "c", "times", "hot"))}
-            out: list[list] = [[] for _ in range(10)]
+            col = {name: flat.field(k).to_numpy(zero_copy_only=False) for k, name in enumerate(("start", *CLASS, "times"))}
+            out: list[list] = [[] for _ in BODIES]
             size = 0
             for d in range(batch.num_rows):
                 if (ids[d], salts[d]) == done:  # a repeated row: its text was fetched already
                     continue
                 done = (ids[d], salts[d])
                 text = data[offsets[d] : offsets[d + 1]]
-                units, _, low, high = scan.units(text, np.array([0, len(text)]))
+                _, low, high, _ = scan.units(text, np.array([0, len(text)]))
                 raw = text.tobytes()
-                rolling = None
                 for k in range(int(at[d] - at[0]), int(at[d + 1] - at[0])):
-                    start, n, hot = int(col["start"][k]), int(col["n"][k]), bool(col["hot"][k])
-                    windows = body = None
-                    if hot:
-                        if rolling is None:
-                            rolling, second = Rolling(units), Rolling(mixed(units ^ np.uint64(0xA5A5A5A55A5A5A5A)))
-                        s = start + np.arange(n)
-                        windows = np.stack([rolling.of(s, s + scan.length), second.of(s, s + scan.length)]).astype("<u8").tobytes()
-                    else:
-                        body = raw[low[start] : high[start + n + scan.length - 2]]
-                        size += len(body)
-                    for values, v in zip(out, (col["h"][k], col["c"][k], n, col["times"][k], ids[d], salts[d], start, hot, body, windows), strict=True):
+                    start, n = int(col["start"][k]), int(col["n"][k])
+                    body = raw[low[start] : high[start + n + scan.length - 2]]
+                    size += len(body)
+                    for values, v in zip(out, (col["h"][k], col["c0"][k], col["c1"][k], n, col["times"][k], ids[d], salts[d], start, body), strict=True):
                         values.append(v)
-                if size > 4 * CHUNK:
-                    yield _fetched_batch(out)
-                    out, size = [[] for _ in range(10)], 0
+                    if size > 4 * CHUNK:
+                        yield table_of(BODIES, out)
+                        out, size = [[] for _ in BODIES], 0
             if out[0]:
-                yield _fetched_batch(out)
+                yield table_of(BODIES, out)
 
     # Rows of one (doc_id, salt) come from one task of the join, side by side.
-    return once.sortWithinPartitions("doc_id", "salt").mapInArrow(run, FETCHED)
+    return once.sortWithinPartitions("doc_id", "salt").mapInArrow(run, BODIES_SQL)
 
 
-def _fetched_batch(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["h", "c", "n", "times", "doc_id", "salt", "start", "hot", "body", "windows"])
+def table_of(kinds: dict[str, pa.DataType], columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
-MARKED = "h long, c long, n int, marks binary"
+MARKED = "h long, c0 long, c1 long, n int, marks binary"
 
 
-def by_shard(rows: DataFrame, decide: Callable[[list[dict]], Iterator[np.ndarray]], most_bytes: int) -> DataFrame:
-    """(h, c, n, marks): `decide` of groups of classes, all classes of an anchor together; marks: a bit for each window of the class's first region."""
+def by_shard(bodies: DataFrame, rules: Rules) -> DataFrame:
+    """MARKED: what the operator decides of groups of classes, all classes of an anchor together; marks: a bit for each window of the class's first region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         size = 0
 
         def decided() -> pa.RecordBatch:
-            marks = [np.packbits(m).tobytes() for m in decide(held)]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], t) for k, t in (("h", pa.int64()), ("c", pa.int64()), ("n", pa.int32()))] + [pa.array(marks, pa.binary())], names=["h", "c", "n", "marks"])
+            marks = [np.packbits(m).tobytes() for m in rules.decide(held)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], BODIES[k]) for k in CLASS] + [pa.array(marks, pa.binary())], names=[*CLASS, "marks"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                if size > most_bytes and r["h"] != held[-1]["h"]:
+                if size > rules.shard_bytes and r["h"] != held[-1]["h"]:
                     yield decided()
                     held, size = [], 0
                 held.append(r)
@@ -150,47 +174,96 @@ def by_shard(rows: DataFrame, decide: Callable[[list[dict]], Iterator[np.ndarray
         if held:
             yield decided()
 
-    some = rows.filter(~F.col("hot")).select("h", "c", "n", "times", "doc_id", "salt", "start", "body")
-    return some.repartition("h").sortWithinPartitions("h").mapInArrow(run, MARKED)
+    return bodies.select(*BODIES).repartition("h").sortWithinPartitions("h").mapInArrow(run, MARKED)
+
+
+PARTS = {"ph": pa.int64(), "pc0": pa.int64(), "pc1": pa.int64(), "pn": pa.int32(), "at": pa.int32()} | BODIES
+PARTS_SQL = "ph long, pc0 long, pc1 long, pn int, at int, " + BODIES_SQL
 
 
-def hot_windows(rows: DataFrame) -> DataFrame:
-    """(h, c, n, times, doc_id, salt, start, w, a, b): each window w of the hot classes, with its two hashes."""
+def cut_again(bodies: DataFrame, scan: Scan, level: int) -> DataFrame:
+    """Each class's windows in parts that choose one more anchor each, by another order of the grams (at the last level: single windows): the class, the part's first window in it, and the part as a class."""
+    seed = mixed(np.array([level], np.uint64))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[list] = [[] for _ in PARTS]
+            size = 0
             for r in batch.to_pylist():
-                a, b = np.frombuffer(r["windows"], "<u8").reshape(2, -1)
-                same = lambda k, t: pa.array(np.full(len(a), r[k]), t)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([same("h", pa.int64()), same("c", pa.int64()), same("n", pa.int32()), same("times", pa.int64()), same("doc_id", pa.int64()), same("salt", pa.int32()), same("start", pa.int32()), pa.array(np.arange(len(a), dtype=np.int32)), _long(a.copy()), _long(b.copy())], names=["h", "c", "n", "times", "doc_id", "salt", "start", "w", "a", "b"])
+                data = np.frombuffer(r["body"], np.uint8)
+                bounds, low, high, units = scan.units(data, np.array([0, len(data)]))
+                if level >= LEVELS:
+                    first, n = np.arange(r["n"]), np.ones(r["n"], np.int64)
+                else:
+                    grams = mixed(Rolling(units(0, int(bounds[-1]))).grams(scan.gram) ^ seed)
+                    _, first, n, place = anchored(grams, bounds, scan.length, scan.gram)
+                c = digests(r["body"], low[first], high[first + n + scan.length - 2])
+                h = (c[:, 0] if level >= LEVELS else mixed(grams[place] + np.uint64(r["h"] % 2**64)).view(np.int64)).tolist()
+                for k, (a, m) in enumerate(zip(first.tolist(), n.tolist(), strict=True)):
+                    body = r["body"][low[a] : high[a + m + scan.length - 2]]
+                    size += len(body)
+                    row = (r["h"], r["c0"], r["c1"], r["n"], a, h[k], int(c[k, 0]), int(c[k, 1]), m, r["times"], r["doc_id"], r["salt"], r["start"] + a, body)
+                    for values, v in zip(out, row, strict=True):
+                        values.append(v)
+                    if size > 4 * CHUNK:
+                        yield table_of(PARTS, out)
+                        out, size = [[] for _ in PARTS], 0
+            if out[0]:
+                yield table_of(PARTS, out)
 
-    columns = ["h", "c", "n", "times", "doc_id", "salt", "start", "windows"]
-    return rows.filter("hot").select(*columns).mapInArrow(run, "h long, c long, n int, times long, doc_id long, salt int, start int, w int, a long, b long")
+    return bodies.select(*BODIES).mapInArrow(run, PARTS_SQL)
 
 
-def listed_marks(windows: DataFrame) -> DataFrame:
-    """(h, c, n, marks) of rows (h, c, n, w): those windows marked."""
+def composed(parts: DataFrame) -> DataFrame:
+    """MARKED, of rows (ph, pc0, pc1, pn, at, n, marks; null: all marked) of classes' parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = []
-            for n, ws in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for n, ps in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 bits = np.zeros(n, bool)
-                bits[ws] = True
+                for p in ps:
+                    bits[p["at"] : p["at"] + p["n"]] = True if p["marks"] is None else np.unpackbits(np.frombuffer(p["marks"], np.uint8))[: p["n"]]
                 marks.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(marks, pa.binary())], names=["h", "c", "n", "marks"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(marks, pa.binary())], names=[*CLASS, "marks"])
+
+    keys = [F.col(f"p{k}").alias(k) for k in CLASS]
+    return parts.groupBy(*keys).agg(F.collect_list(F.struct("at", "n", "marks")).alias("ps")).mapInArrow(run, MARKED)
+
 
-    return windows.groupBy("h", "c", "n").agg(F.collect_list("w").alias("ws")).mapInArrow(run, MARKED)
+def told(bodies: DataFrame, marks: DataFrame) -> DataFrame:
+    """(CLASS, times, first, marks) of each class."""
+    return written(bodies.select(*CLASS, "times", F.struct("doc_id", "salt", "start").alias("first")).join(marks, CLASS, "left"), "told")
 
 
-def marked_windows(regions: DataFrame, found: DataFrame, marks: DataFrame, always) -> DataFrame:
-    """(doc_id, salt, rs: list of (start, n, marks)) of each document with regions; marks null: all windows. `always` tells the regions that are all marked, of columns of regions and (times, first)."""
-    told = written(found.select("h", "c", "n", "times", "first").join(marks, ["h", "c", "n"], "left"), "told")
-    each = regions.join(told, ["h", "c", "n"]).select("doc_id", "salt", "start", "n", F.when(~always, F.coalesce("marks", F.lit(b""))).alias("marks"))
+def decided(bodies: DataFrame, scan: Scan, rules: Rules, level: int = 0) -> DataFrame:
+    """told() of BODIES (written): hot anchors' classes are cut again, all others go to their shards."""
+    hot = written(bodies.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > rules.hot_classes).select("h"), "hot")
+    if level >= LEVELS or hot.isEmpty():
+        return told(bodies, by_shard(bodies, rules))
+    marks = by_shard(bodies.join(hot, "h", "left_anti"), rules)
+    parts = written(cut_again(bodies.join(hot, "h", "left_semi"), scan, level + 1), "parts")
+    least = F.min(F.struct("doc_id", "salt", "start")).alias("f")
+    made = parts.groupBy(*CLASS).agg(F.sum("times").alias("times"), least, F.any_value("body").alias("body"))
+    deeper = decided(written(made.select(*CLASS, "times", "f.doc_id", "f.salt", "f.start", "body"), "bodies"), scan, rules, level + 1)
+    each = parts.drop("times").join(deeper, CLASS).withColumn("marks", F.when(~rules.always(), F.coalesce("marks", F.lit(b""))))
+    return told(bodies, marks.union(composed(each)))
+
+
+def marked_windows(regions: DataFrame, known: DataFrame, rules: Rules) -> DataFrame:
+    """(doc_id, salt, rs: list of (start, n, marks)) of each document with regions; marks null: all windows."""
+    each = regions.join(known, CLASS).select("doc_id", "salt", "start", "n", F.when(~rules.always(), F.coalesce("marks", F.lit(b""))).alias("marks"))
     kept = each.filter(F.col("marks").isNull() | (F.ltrim(F.hex("marks"), F.lit("0")) != ""))
     return kept.groupBy("doc_id", "salt").agg(F.collect_list(F.struct("start", "n", "marks")).alias("rs"))
 
 
+def repeats(docs: DataFrame, scan: Scan, rules: Rules) -> DataFrame:
+    """marked_windows() of docs (doc_id, salt, text)."""
+    found = repeated_anchors(docs, scan)
+    bodies = written(fetched(docs, classes(found), scan), "bodies")
+    return marked_windows(found, decided(bodies, scan, rules), rules)
+
+
 def window_runs(rs: list[dict] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The covered runs of units (first, end) of a document's marked windows."""
     first, last = [], []
@@ -204,6 +277,4 @@ def window_runs(rs: list[dict] | None, length: int) -> tuple[np.ndarray, np.ndar
                 cut = np.flatnonzero(np.diff(at) > 1)
                 first.append(r["start"] + at[np.concatenate(([0], cut + 1))])
                 last.append(r["start"] + at[np.append(cut, len(at) - 1)] + length)
-    from .textscan import covered_runs
-
     return covered_runs(np.concatenate(first), np.concatenate(last)) if first else (np.zeros(0, np.int64), np.zeros(0, np.int64))

@@ -6,7 +6,7 @@ successors are sorted directly, all others are induced from them by one scan ove
 neighbours are computed, and a window repeats where one reaches `length`, or where its region's contents occur more than once.
 
 Defined results: null text is empty; a text shorter than `length` keeps all; rows equal in doc_id and text are repeats of each other;
-rows that share a doc_id with different texts are documents of their own; null doc_ids stay null.
+rows that share a doc_id with different texts are documents of their own; null doc_ids stay null; other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +24,7 @@ from .common import keyed_text, shown_id
 from .textscan import byte_units, kept_bytes
 
 LENGTH, GRAM = 200, 32
-HOT_CLASSES = 20_000
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 1_500_000
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -128,26 +127,31 @@ def repeated(bodies: list[bytes], windows: list[int], times: list[int], length:
     return [np.ones(n, bool) if t > 1 else hit[a : a + n] for a, n, t in zip(first.tolist(), windows, times, strict=True)]
 
 
+class Shifted:
+    """Where the i-th byte begins (0) or ends (1)."""
+
+    def __init__(self, by: int):
+        self.by = by
+
+    def __getitem__(self, i):
+        return i + self.by
+
+
 def scan(length: int, gram: int) -> R.Scan:
-    return R.Scan(lambda data, offsets: (byte_units(data), offsets, range(len(data)), range(1, len(data) + 1)), length, gram)
+    def units(data: np.ndarray, offsets: np.ndarray):
+        return offsets, Shifted(0), Shifted(1), lambda a, b: byte_units(data[a:b])
+
+    return R.Scan(units, length, gram)
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_classes: int = HOT_CLASSES, keep_text: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_classes: int = R.HOT_CLASSES, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]) of docs (doc_id, text)."""
     texts = keyed_text(docs)
-    how = scan(length, gram)
-    found = R.repeated_anchors(texts, how)
-    kinds = R.classes(found, hot_classes)
-    bodies = R.written(R.fetched(texts, kinds, how), "bodies")
 
     def decide(rows: list[dict]) -> list[np.ndarray]:
         return repeated([r["body"] for r in rows], [r["n"] for r in rows], [r["times"] for r in rows], length)
 
-    marks = R.by_shard(bodies, decide, SHARD_BYTES)
-    spread = R.hot_windows(bodies)
-    again = spread.groupBy("a", "b").agg(F.sum("times").alias("all")).filter(F.col("all") > 1).select("a", "b")
-    marks = marks.union(R.listed_marks(spread.join(again, ["a", "b"]).select("h", "c", "n", "w")))
-    told = R.marked_windows(found, bodies.select("h", "c", "n", "times", F.lit(None).cast("int").alias("first")), marks, F.col("times") > 1)
+    told = R.repeats(texts, scan(length, gram), R.Rules(decide, lambda: F.col("times") > 1, SHARD_BYTES, hot_classes))
     extra = ", spans array<struct<start: long, end: long>>, kept binary" if keep_text else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from .common import lowered_ascii
 
@@ -76,8 +77,26 @@ def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> tuple[np.
     return start, np.flatnonzero(last) + 1, np.searchsorted(start, offsets)
 
 
+#: The first k bytes of a little-endian 64-bit load.
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return Rolling(byte_units(data)).of(start, end)
+    """64-bit hashes of the words data[start:end]: of up to 16 bytes from two scrambled loads (bijective up to 8), of longer ones XXH3."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    loads = np.ndarray((len(data) + 9,), "<u8", padded.data, strides=(1,))
+    size = end - start
+    low = loads[start] & MASK[np.minimum(size, 8)]
+    out = mixed(low + size.astype(np.uint64) * np.uint64(BASE))
+    wide = np.flatnonzero(size > 8)
+    high = loads[start[wide] + 8] & MASK[np.minimum(size[wide] - 8, 8)]
+    out[wide] = mixed(out[wide] * np.uint64(0xC2B2AE3D27D4EB4F) + mixed(high))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        digest = xxhash.xxh3_64_intdigest
+        out[long] = np.array([digest(data[a:b].tobytes(), 1) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)], np.uint64)
+    return out
 
 
 def anchored(grams: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,9 +110,9 @@ def anchored(grams: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tupl
     n = int(bounds[-1])
     if n < length:
         return none, none, none, none
-    if n >= 1 << 40:
+    if n >= 1 << 32:
         raise ValueError("sequence too long")
-    low = np.uint64(max(24, n.bit_length()))
+    low = np.uint64(32)  # the same in every call: the upper half of a hash decides, then the place
     keys = (grams[: n - k + 1] >> low << low) | np.arange(n - k + 1, dtype=np.uint64)
     span, p, least = length - k + 1, 1, keys
     while p * 2 <= span:
