@@ -6,16 +6,18 @@ failure arc to the state without the oldest word, paying that arc's weight. A te
 
 Smoothing is Bayesian (a Dirichlet prior centred on the shorter context) above an absolutely discounted unigram level, in backoff form:
   p(w | u) = (c(uw) + prior * p(w | u')) / (c(u) + prior) on an arc, and prior / (c(u) + prior) on the failure arc of u,
-with c(u) how often u goes on in training. At the root, p(w) = (c(w) - d) / N, and all d * V / N that is discounted goes to one class of unknown
-words, d = n1 / (n1 + 2 n2) from the counts of counts, so each state's distribution sums to one.
+with c(u) how often u goes on in training and a prior for each length of u. At the root, p(w) = (c(w) - d) / N, and all d * V / N that is
+discounted goes to one class of unknown words, d = n1 / (n1 + 2 n2) from the counts of counts, so each state's distribution sums to one.
 
-Scale: documents are dealt into batches of a bounded size by a hash. Each batch reports the distinct hashes of its n-grams (training counts, and
-zero for those only to be scored) to shards of the hash space as sorted arrays; a shard adds them up and answers each batch with the statistics of
-just those n-grams, in the order asked. A batch builds the part of the automaton that its texts can reach, and scores them. So nothing grows in
-one task or on the driver, and what is gathered follows the corpus. n-grams are told apart by 64-bit hashes of their words' 64-bit hashes.
+Scale: each task cuts its documents into batches of a bounded size and writes them, compressed. One length n after the other, each batch reports
+the distinct hashes of its n-grams (training counts, and zero for those only to be scored) to shards of the hash space as sorted arrays; a
+shard adds them up and answers each batch with the totals of just those, in the order asked. A batch asks only for n-grams whose first and last
+n - 1 words both occur in other batches too: all others occur in this batch alone, and its own count is the total. In the end a batch builds the part of the
+automaton that its texts can reach, and scores them. So nothing grows in one task or on the driver, whatever the ids are, and what is
+gathered follows the corpus. n-grams are told apart by 64-bit hashes of their words' 64-bit hashes.
 
 Defined results: a null or empty text has the end token alone; a null doc_id counts as the empty text in the crc32 rule; repeated rows each count
-as a document; with no training documents, N = V = 0 and every token, the one unknown class, has probability 1.
+as a document; with no training documents, N = V = 0 and every token, the one unknown class, has probability 1; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,16 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_crc32, text_bytes, total_bytes, written
+from .common import chunks, id_crc32, released, text_bytes, total_bytes, written
 from .textscan import LOWER, SPACE, mixed, word_hashes, words
 
-ORDER = 2
-#: Chosen on held-out documents of sf0.1: best of 2, 10, 50, 200, 1000 and 5000 (log10 a token: -3.34 at 1000, -3.43 at 50, -3.39 at 5000; base -4.18).
-PRIOR = 1000.0
-BATCH_BYTES = 12_000_000
+ORDER = 3
+#: Of contexts of one word, two words and so on (the last holds for longer ones too); chosen on held-out documents, see the README.
+PRIORS = (1000.0, 5.0)
+BATCH_BYTES = 8_000_000
 CHUNK = 1 << 20
 #: The end token's hash; no word's hash path leads here but by chance.
 END = np.uint64(0xE2D0_5EED_0000_0001)
@@ -119,11 +122,41 @@ class Level:
         return np.searchsorted(self.keys, grams)
 
 
-def survey(column: pa.Array, train: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, list[Level]]:
-    """Token hashes, where each text's tokens begin, and the levels 1..order."""
-    hashes, bounds = tokens(column)
-    in_train = np.repeat(train, np.diff(bounds))
-    return hashes, bounds, [Level(hashes, places, grams, in_train) for places, grams in ngrams(hashes, bounds, order)]
+class Texts:
+    """A batch's documents: token hashes, where each text's tokens begin, and the levels 1..order of their n-grams, with totals as far as they are known."""
+
+    def __init__(self, docs: pa.RecordBatch | pa.Table, order: int):
+        self.train = docs.column("train").to_numpy().astype(bool)
+        self.hashes, self.bounds = tokens(docs.column("text"))
+        in_train = np.repeat(self.train, np.diff(self.bounds))
+        self.levels = [Level(self.hashes, places, grams, in_train) for places, grams in ngrams(self.hashes, self.bounds, order)]
+        self.totals: list[np.ndarray] = []
+        self.shared: list[np.ndarray] = []  # whether another batch has the n-gram
+
+    def around(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each n-gram (n > 1): its first and its last n - 1 words, as entries of the level below."""
+        level, below = self.levels[n - 1], self.levels[n - 2]
+        return below.index(below.ending[level.place - 1]), below.index(below.ending[level.place])
+
+    def asked(self, n: int) -> np.ndarray:
+        """Which n-grams other batches may have too, by what is known of the level below."""
+        if n == 1:
+            return np.ones(len(self.levels[0].keys), bool)
+        first, last = self.around(n)
+        return self.shared[n - 2][first] & self.shared[n - 2][last]
+
+    def answered(self, answers: pa.Table) -> None:
+        """Takes the answers for the levels that were asked for, one after another."""
+        parts: dict[int, list] = {}
+        for r in answers.select(["n", "shard", "totals"]).to_pylist():
+            parts.setdefault(r["n"], []).append((r["shard"], r["totals"]))
+        for n, level in enumerate(self.levels, 1):
+            asked, total, shared = self.asked(n), level.counts.copy(), np.zeros(len(level.keys), bool)
+            if asked.any():
+                got = np.concatenate([widened(t) for _, t in sorted(parts[n])])
+                total[asked], shared[asked] = got >> 1, got & 1 == 1
+            self.totals.append(total)
+            self.shared.append(shared)
 
 
 def cut(values: np.ndarray, shards: int) -> np.ndarray:
@@ -132,45 +165,86 @@ def cut(values: np.ndarray, shards: int) -> np.ndarray:
     return np.append(np.searchsorted(values, edges), len(values))
 
 
-def flags(table: pa.Table) -> np.ndarray:
-    return table.column("train").to_numpy().astype(bool)
+REPORT = {"batch": pa.int64(), "n": pa.int32(), "shard": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+REPORT_SQL = "batch long, n int, shard int, keys binary, counts binary"
+
+
+def report(batch: int, texts: Texts, n: int, shards: int) -> list[tuple]:
+    """Rows of REPORT: the n-grams that a batch asks for, and its training counts, by shard."""
+    asked = texts.asked(n)
+    keys, counts = texts.levels[n - 1].keys[asked], texts.levels[n - 1].counts[asked]
+    edges = cut(keys, shards).tolist()
+    return [(batch, n, s, planes(keys[a:b]), narrow(counts[a:b])) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+
+
+def columns_of(rows: list[tuple], kinds: dict[str, pa.DataType]) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds.values(), strict=True)]
+
 
+def batched(batch_bytes: int, shards: int):
+    """Of documents (doc_id, text, train): rows with a batch of documents each (compressed), and the reports of their words."""
 
-REPORT = "shard int, batch int, n int, keys binary, counts binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
+        part, made = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+        size = 0
 
+        def closed() -> pa.RecordBatch:
+            docs = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(docs)
+            number = part << 32 | made
+            rows = report(number, Texts(docs, 1), 1, shards)
+            columns = columns_of([(number, None, None, None, None), *rows], REPORT)
+            return pa.RecordBatch.from_arrays([*columns, pa.array([sink.getvalue().to_pybytes()] + [None] * len(rows), pa.binary())], names=[*REPORT, "docs"])
 
-def reports(order: int, shards: int):
-    """Of a batch of documents (batch, doc_id, text, train): its n-gram hashes and training counts, by shard."""
+        for batch in batches:
+            offsets = text_bytes(batch.column(1))[1]
+            for i, j in chunks(offsets, batch_bytes):
+                if held and size + int(offsets[j] - offsets[i]) > batch_bytes:
+                    yield closed()
+                    held, size, made = [], 0, made + 1
+                held.append(batch.slice(i, j - i))
+                size += int(offsets[j] - offsets[i])
+        if held:
+            yield closed()
 
-    def run(table: pa.Table) -> pa.Table:
-        number = table.column("batch")[0].as_py()
-        rows: list[tuple] = []
-        for n, level in enumerate(survey(table.column("text"), flags(table), order)[2], 1):
-            edges = cut(level.keys, shards).tolist()
-            rows += [(s, number, n, planes(level.keys[a:b]), narrow(level.counts[a:b])) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "batch", "n", "keys", "counts"])
+    return run
+
+
+def unpacked(docs: pa.Table, order: int) -> tuple[pa.Table, Texts]:
+    table = pa.ipc.open_stream(docs.column("docs")[0].as_py()).read_all()
+    return table, Texts(table, order)
+
+
+def asking(n: int, shards: int):
+    """Of a batch and the answers to it for lengths below n: its reports for n."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = unpacked(docs, n)[1]
+        top, texts.levels = texts.levels, texts.levels[: n - 1]
+        texts.answered(answers)
+        texts.levels = top
+        return pa.table(columns_of(report(docs.column("batch")[0].as_py(), texts, n, shards), REPORT), names=list(REPORT))
 
     return run
 
 
-ANSWER = "batch int, n int, shard int, totals binary, stats array<long>"
+ANSWER = "batch long, n int, shard int, totals binary, stats array<long>"
 
 
 def answers(table: pa.Table) -> pa.Table:
-    """Of a shard's reports: the totals of each batch's n-grams, in the order asked; for n = 1 also N, V, n1, n2 of the shard's words (batch -1)."""
-    shard = table.column("shard")[0].as_py()
-    batches, ns = table.column("batch").to_pylist(), table.column("n").to_pylist()
-    rows: list[tuple] = []
-    for n in sorted(set(ns)):
-        asked = [i for i, m in enumerate(ns) if m == n]
-        keys = [unplanes(table.column("keys")[i].as_py()) for i in asked]
-        counts = np.concatenate([widened(table.column("counts")[i].as_py()) for i in asked])
-        known, totals = added(np.concatenate(keys), counts)
-        if n == 1:
-            rows.append((-1, 0, shard, None, [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())]))
-        rows += [(batches[i], n, shard, narrow(totals[np.searchsorted(known, k)]), None) for i, k in zip(asked, keys, strict=True)]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["batch", "n", "shard", "totals", "stats"])
+    """Of a shard's reports of one length: for each batch's n-grams, in the order asked, twice the total, plus one if another batch has it; for n = 1 also N, V, n1, n2 of the shard's words (batch -1)."""
+    n, shard, batches = table.column("n")[0].as_py(), table.column("shard")[0].as_py(), table.column("batch").to_pylist()
+    keys = [unplanes(k) for k in table.column("keys").to_pylist()]
+    known, totals = added(flat := np.concatenate(keys), np.concatenate([widened(c) for c in table.column("counts").to_pylist()]))
+    several = added(flat, np.ones(len(flat), np.int64))[1] > 1
+    rows: list[tuple] = [(b, n, shard, narrow(2 * totals[at := np.searchsorted(known, k)] + several[at]), None) for b, k in zip(batches, keys, strict=True)]
+    if n == 1:
+        rows.append((-1, 0, shard, None, [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())]))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["batch", "n", "shard", "totals", "stats"])
 
 
 class Automaton:
@@ -182,7 +256,8 @@ class Automaton:
 
     LANE = 256
 
-    def __init__(self, levels: list[Level], totals: list[np.ndarray], stats: tuple[int, int, int, int], prior: float):
+    def __init__(self, texts: Texts, stats: tuple[int, int, int, int], priors: tuple[float, ...]):
+        levels, totals = texts.levels, texts.totals
         self.levels, self.order = levels, len(levels)
         n_all, distinct, once, twice = stats
         discount = min(0.9, once / (once + 2 * twice)) if once else 0.5
@@ -194,19 +269,20 @@ class Automaton:
         self.fail, self.back = np.zeros(states, np.int64), np.zeros(states)
         self.lp, self.to, shorter = [], [], None
         for n, (level, c) in enumerate(zip(levels, totals, strict=True), 1):
+            prior = priors[min(n - 2, len(priors) - 1)] if n > 1 else 0.0
             with np.errstate(divide="ignore", invalid="ignore"):
                 if n == 1:
                     p, suffix = np.where(c > 0, (c - discount) / max(1, n_all), np.nan), np.zeros(len(c), np.int64)
                 else:
-                    below = levels[n - 2]
-                    context, ending = below.index(below.ending[level.place - 1]), below.index(below.ending[level.place])
+                    context, ending = texts.around(n)
                     p = np.where(c > 0, (c + prior * shorter[ending]) / (totals[n - 2][context] + prior), np.nan)
                     suffix = self.first[n - 1] + ending
             state = np.zeros(len(c), np.int64)
             if n < self.order:
                 ids = self.first[n] + np.arange(len(c))
                 self.hash[ids], self.depth[ids], self.fail[ids] = level.keys, n, suffix
-                self.back[ids] = np.log10(prior / (c + prior))
+                after = priors[min(n - 1, len(priors) - 1)]
+                self.back[ids] = np.log10(after / (c + after))
                 state = np.where(c > 0, ids, suffix)
             else:
                 state = suffix
@@ -264,39 +340,39 @@ class Automaton:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scoring(order: int, stats: tuple[int, int, int, int], prior: float):
+def scoring(order: int, stats: tuple[int, int, int, int], priors: tuple[float, ...]):
     """Of a batch's documents and the answers to it: the rows of SCORES."""
 
     def run(docs: pa.Table, answered: pa.Table) -> pa.Table:
         names = [f.strip().split()[0] for f in SCORES.split(",")]
-        if not docs.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
-        train = flags(docs)
-        hashes, bounds, levels = survey(docs.column("text"), train, order)
-        parts: list[list] = [[] for _ in range(order)]
-        for r in answered.select(["n", "shard", "totals"]).to_pylist():
-            parts[r["n"] - 1].append((r["shard"], r["totals"]))
-        totals = [np.concatenate([widened(t) for _, t in sorted(p)]) if p else np.zeros(0, np.int64) for p in parts]
+        table, texts = unpacked(docs, order)
+        texts.answered(answered)
         n_all, distinct = stats[:2]
-        count = totals[0][levels[0].index(hashes)]
+        count = texts.totals[0][texts.levels[0].index(texts.hashes)]
         base = np.log10((count + 1) / (n_all + distinct + 1))
-        sums = lambda v: np.add.reduceat(v, bounds[:-1])  # noqa: E731  every text has its end token
-        score = Automaton(levels, totals, stats, prior).scores(hashes, bounds)
-        return pa.table([docs.column("doc_id"), pa.array(~train), pa.array(np.diff(bounds)), pa.array(sums((count > 0).astype(np.int64))), pa.array(np.full(len(train), n_all)), pa.array(sums(base)), pa.array(score)], names=names)
+        sums = lambda v: np.add.reduceat(v, texts.bounds[:-1])  # noqa: E731  every text has its end token
+        score = Automaton(texts, stats, priors).scores(texts.hashes, texts.bounds)
+        return pa.table([table.column("doc_id"), pa.array(~texts.train), pa.array(np.diff(texts.bounds)), pa.array(sums((count > 0).astype(np.int64))), pa.array(np.full(len(texts.train), n_all)), pa.array(sums(base)), pa.array(score)], names=names)
 
     return run
 
 
-def scored(docs: DataFrame, train, order: int = ORDER, prior: float = PRIOR, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def scored(docs: DataFrame, train, order: int = ORDER, priors: tuple[float, ...] = PRIORS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The rows of SCORES for docs (doc_id, text), learning from those where the column `train` holds."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), train.alias("train"))
-    n = max(1, -(-total_bytes(rows) // batch_bytes))
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int").alias("batch"), "doc_id", "text", "train")
-    reported = dealt.groupBy("batch").applyInArrow(reports(order, n), REPORT)
-    answered = written(reported.groupBy("shard").applyInArrow(answers, ANSWER), "answers")
-    sums = answered.filter("batch = -1").agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).cast("long") for i in range(4)]).first()
-    back = answered.filter("batch >= 0").select("batch", "n", "shard", "totals")
-    return dealt.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(scoring(order, tuple(sums), prior), SCORES)
+    shards = max(1, -(-total_bytes(rows) // batch_bytes))
+    dealt = written(rows.mapInArrow(batched(batch_bytes, shards), f"{REPORT_SQL}, docs binary"), "batches", {"parquet.block.size": 16 << 20})
+    texts = dealt.filter("docs is not null").select("batch", "docs")
+    reports = dealt.filter("docs is null").drop("docs")
+    back, parts = None, []
+    for n in range(1, order + 1):
+        if n > 1:
+            reports = texts.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(asking(n, shards), REPORT_SQL)
+        parts.append(written(reports.groupBy("shard").applyInArrow(answers, ANSWER), "answers"))
+        some = parts[-1].filter("batch >= 0").select("batch", "n", "shard", "totals")
+        back = some if back is None else back.union(some)
+    stats = parts[0].filter("batch = -1").agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).cast("long") for i in range(4)]).first()
+    return texts.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(scoring(order, tuple(stats), tuple(priors)), SCORES)
 
 
 def op6_backoff_lm(docs: DataFrame) -> DataFrame:
