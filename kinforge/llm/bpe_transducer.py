@@ -9,7 +9,7 @@ ever be lost is the greatest sum of left sides' sizes along such chains of rules
 what was read is the same however the string goes on. This needs rules whose sides are made by lower ranks; other files are refused.
 
 Pre-tokens shorter than the lookahead end before anything in them is stable; those of many words step together as arrays, and the worker
-remembers each word's ids and text. A word above LONG characters is read in pieces, split only inside runs of plain letters. Decoding is
+remembers each word's ids. A word above LONG characters is read in pieces, split only inside runs of plain letters. Decoding is
 an incremental state machine, from ids to text.
 
 Defined results: null or empty text gives no ids and the empty decoded text; ids depend only on the text, so repeated rows agree; a document of any
@@ -26,7 +26,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
-from itertools import batched
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import free_name, memory, row_texts, split_texts
+from .common import chunks, free_name, held, text_bytes
+from .textscan import SPACE, WordTable, words
 
-#: Bytes that a Python worker may remember words in; only speed depends on it.
-MEMORY = 160 << 20
+#: Bytes that a Python worker may remember words in, and bytes of text it looks up together; only speed depends on them.
+MEMORY, SLICE = 96 << 20, 4 << 20
 #: Symbols encoded at a time beyond the lookahead, and the characters of a word from which it is read in pieces.
 BLOCK, LONG = 4096, 1 << 16
 #: Pre-tokens up to this size step together and are remembered.
@@ -93,6 +94,7 @@ class Transducer:
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.lookahead = self._lookahead(pairs)
         self.decimal = {i: str(i) for i in self.text_of}
+        self.kind = np.uint16 if max(self.text_of, default=0) < 1 << 16 else np.uint32
         self._table = None
 
     def size(self, token: str) -> int:
@@ -330,16 +332,37 @@ def transducer(path: str) -> Transducer:
 class Digests:
     """Number of ids, and SHA-256 of the decimal ids and of the decoded text, as both come out of the transducer."""
 
-    def __init__(self):
+    def __init__(self, transducer: Transducer):
+        self.decimal, self.decoder = transducer.decimal, TextDecoder(transducer)
         self.n, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
 
-    def add(self, n: int, ids: bytes, text: bytes) -> None:
-        """The next n ids, written out, and their text. Between what is added, the decoder's state is only that a token has come."""
-        if n:
-            lead = b" " * (self.n > 0)
-            self.ids.update(lead + ids)
-            self.text.update(lead + text)
-            self.n += n
+    def add(self, ids: list[int]) -> None:
+        """The next ids of the text."""
+        if ids:
+            self.ids.update((" " * (self.n > 0) + " ".join(map(self.decimal.__getitem__, ids))).encode())
+            self.text.update(self.decoder.feed_all(ids).encode())
+            self.n += len(ids)
+
+
+def word_ids(t: Transducer, words: list[bytes]) -> list[np.ndarray]:
+    """The ids of white-space-free words; pre-tokens never cross ASCII white space, so a text's are its words' one after another."""
+    out: list[list[int]] = [[]] * len(words)
+    for some in batched(enumerate(words), 20_000):
+        split = []
+        for k, w in some:
+            text = w.decode("utf-8")
+            if len(text) > LONG or t.special and t.special.search(text):
+                out[k] = t.encode(text)
+            else:
+                split.append((k, t.pieces(text)))
+        fresh = list({p for _, pieces in split for p in pieces})
+        ids = {p: t.piece_ids(p) for p in fresh if len(p) > SHORT}
+        for part in batched([p for p in fresh if len(p) <= SHORT], 8192):
+            ids.update(zip(part, t.lockstep(part)))
+        for k, pieces in split:
+            out[k] = ids[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in ids[p]]
+    sizes = np.fromiter(map(len, out), np.int64, len(out))
+    return np.split(np.fromiter(chain.from_iterable(out), t.kind, int(sizes.sum())), np.cumsum(sizes)[:-1])
 
 
 def encoded(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
@@ -352,48 +375,19 @@ def encoded(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
-        known = memory(f"bpe:{path}", MEMORY)
-
-        spelled = known.beside()
-
-        def shown(ids: list[int]) -> tuple[int, bytes, bytes] | None:
-            return (len(ids), " ".join(map(t.decimal.__getitem__, ids)).encode(), TextDecoder(t).feed_all(ids).encode()) if ids else None
-
-        def together(parts: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes] | None:
-            return (sum([x[0] for x in parts]), b" ".join([x[1] for x in parts]), b" ".join([x[2] for x in parts])) if parts else None
-
-        def learned(words: set[bytes]) -> None:
-            for some in batched([w for w in known.missing(words) if len(w) <= LONG], 20_000):
-                split, odd = [], []
-                for w in some:
-                    text = w.decode("utf-8")
-                    if t.special and t.special.search(text):
-                        odd.append((w, shown(t.encode(text))))
-                    else:
-                        split.append((w, t.pieces(text)))
-                fresh = spelled.missing({p for _, pieces in split for p in pieces})
-                spelled.learn(long := [p for p in fresh if len(p) > SHORT], [shown(t.piece_ids(p)) for p in long])
-                for part in batched([p for p in fresh if len(p) <= SHORT], 8192):
-                    spelled.learn(part, [*map(shown, t.lockstep(part))])
-                of = spelled.young
-                values = [of[pieces[0]] if len(pieces) == 1 else together([x for p in pieces if (x := of[p])]) for _, pieces in split]
-                known.learn([w for w, _ in split], values)
-                known.learn([w for w, _ in odd], [x for _, x in odd])
-
+        table = held(f"bpe:{path}", lambda: WordTable(MEMORY, t.kind))
         for batch in batches:
             out: list[Digests] = []
-            for words in split_texts(row_texts(batch.column(at)), learned):
-                out.append(doc := Digests())
-                for some in batched(words, 50_000):
-                    if max(map(len, some)) <= LONG:
-                        found = [x for x in map(known.young.__getitem__, some) if x]
-                        if found:
-                            counts, ids, texts = zip(*found)
-                            doc.add(sum(counts), b" ".join(ids), b" ".join(texts))
-                    else:
-                        for w in some:
-                            for x in [known.young[w]] if len(w) <= LONG else map(shown, t.stream(w.decode("utf-8"))):
-                                doc.add(*(x or (0, b"", b"")))
+            data, offsets = text_bytes(batch.column(at))
+            for i, j in chunks(offsets, SLICE):
+                part = data[offsets[i] : offsets[j]]
+                start, end, bounds = words(part, offsets[i : j + 1] - offsets[i], SPACE)
+                ids, sizes = table.gathered(table.rows(part, start, end, lambda new: word_ids(t, new)))
+                ends = np.concatenate(([0], np.cumsum(sizes)))[bounds].tolist()
+                for a, b in zip(ends[:-1], ends[1:]):
+                    out.append(doc := Digests(t))
+                    for k in range(a, b, BLOCK * 64):
+                        doc.add(ids[k : min(b, k + BLOCK * 64)].tolist())
             results = ([d.n for d in out], [d.ids.hexdigest() for d in out], [d.text.hexdigest() for d in out])
             columns = [pa.array(v, k) for v, k in zip(results, (pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])

@@ -6,8 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Collection, Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,58 +87,21 @@ def row_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-class Memory:
-    """What a Python worker has learned of words, kept from task to task in two generations of about half of `most` bytes each.
+_held: dict[str, object] = {}
 
-    A word that is met again moves to the young generation; when that is full it becomes the old one, and the old one is let go.
-    Only speed depends on it.
-    """
 
-    def __init__(self, most: int):
-        self.most, self.bytes = most, 0
-        self.young: dict[bytes, object] = {}
-        self.old: dict[bytes, object] = {}
-        self._beside: Memory | None = None
-
-    def beside(self) -> Memory:
-        """Another memory, of half the size, that lives as long as this one."""
-        self._beside = self._beside or Memory(self.most // 2)
-        return self._beside
-
-    def missing(self, words: set[bytes]) -> list[bytes]:
-        """The words that are still to be learned; after that all of `words` are in `young` until the next call."""
-        if self.bytes * 2 > self.most:
-            self.old, self.young, self.bytes = self.young, {}, 0
-        new = words.difference(self.young)
-        if self.old:
-            again = {w: self.old[w] for w in new & self.old.keys()}
-            self.learn(again, again.values())
-            new.difference_update(again)
-        return list(new)
-
-    def learn(self, words: Collection[bytes], values: Collection) -> None:
-        """A value for each word: bytes, None, or a tuple (a number, bytes, bytes)."""
-        self.young.update(zip(words, values, strict=True))
-        some = list(islice(zip(words, values), 256))
-        sizes = sum(200 + len(w) + (len(v) if isinstance(v, bytes) else 150 + len(v[1]) + len(v[2]) if v else 0) for w, v in some)
-        self.bytes += len(words) * sizes // max(1, len(some))
-
-
-_memories: dict[str, Memory] = {}
-
-
-def memory(name: str, most: int = 64 << 20) -> Memory:
-    """This worker's memory of that name; one of another name is let go, so a worker holds one at a time."""
-    if name not in _memories:
+def held(name: str, make: Callable[[], object]):
+    """What this worker keeps under a name from task to task; what it kept under another is let go, so a worker holds one thing at a time."""
+    if name not in _held:
         released()
-        _memories[name] = Memory(most)
-    return _memories[name]
+        _held[name] = make()
+    return _held[name]
 
 
 def released() -> None:
     """Lets go of what this worker remembers, and gives freed memory back to the system: for operators that remember nothing."""
-    if _memories:
-        _memories.clear()
+    if _held:
+        _held.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
         try:
@@ -148,14 +110,6 @@ def released() -> None:
             pass
 
 
-def split_texts(texts: list[bytes], learn: Callable[[set[bytes]], None], slice_bytes: int = 4 << 20) -> Iterator[list[bytes]]:
-    """Each text's words (apart by ASCII white space), after `learn` has got the distinct words of a slice of texts."""
-    for i, j in chunks(np.concatenate(([0], np.cumsum([len(x) for x in texts]))), slice_bytes):
-        split = [x.split() for x in texts[i:j]]
-        learn(set().union(*split))
-        yield from split
-
-
 def per_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
     """A mapInArrow function of one that maps a batch."""
 

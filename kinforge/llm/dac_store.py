@@ -26,13 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import memory, row_texts, split_texts, written
+from .common import chunks, held, text_bytes, written
+from .textscan import SPACE, WordTable, words
 
 BLOCK = 512
 #: Ids after which a segment is closed; a longer document has a segment of its own.
 SEGMENT_IDS = 2_000_000
-#: Bytes that a Python worker may remember words in; only speed depends on it.
-MEMORY = 128 << 20
+#: Bytes that a Python worker may remember words in, and bytes of text it looks up together; only speed depends on them.
+MEMORY, SLICE = 96 << 20, 4 << 20
 
 
 def pack(ids: np.ndarray, bits: int = 8) -> bytes:
@@ -155,9 +156,9 @@ class WordEncoder:
             first = {t["content"][:1].lower() for t in spec["added_tokens"]} | {t["content"][:1].upper() for t in spec["added_tokens"]}
             self.plain = re.compile(b"[" + b"".join(re.escape(bytes([c])) for c in range(33, 127) if chr(c) not in first) + b"]{1,1024}").fullmatch
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
+    def encode(self, words: list[bytes]) -> list[np.ndarray]:
         codes, pieces_of = self.codes, PLAIN_PIECES.findall
-        out = []
+        out: list[bytes] = []
         for w in words:
             if self.plain and self.plain(w):
                 tokenize, text = self.model.tokenize, w.decode("ascii").lower()
@@ -167,7 +168,7 @@ class WordEncoder:
                     out.append(b"".join([codes[t.id] for p in pieces_of(text) for t in tokenize(p)]))
             else:
                 out.append(b"".join([codes[i] for i in self.whole.encode(w.decode("utf-8"), add_special_tokens=False).ids]))
-        return out
+        return np.split(np.frombuffer(b"".join(out), self.kind), np.cumsum([len(x) // self.kind().itemsize for x in out])[:-1])
 
 
 @lru_cache(maxsize=1)
@@ -180,34 +181,37 @@ def write_segments(docs: DataFrame, path: str, end_id: int = 1, bits: int = 8, s
     """The segments of docs (doc_id, text) as a table in the shared folder, read again; path: of a tokenizers file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_encoder(path, end_id)
-        kind, known = words.kind, memory(f"dac:{path}:{end_id}", MEMORY)
-        end = np.array([end_id], kind).tobytes()
+        encoder = word_encoder(path, end_id)
+        kind, table = encoder.kind, held(f"dac:{path}:{end_id}", lambda: WordTable(MEMORY, encoder.kind))
         part, seq = TaskContext.get().partitionId(), 0
-        parts, ids, present, counts, held = [], [], [], [], 0
-
-        def learned(found: set[bytes]) -> None:
-            new = known.missing(found)
-            known.learn(new, words.encode(new))
+        parts, ids, present, counts, size = [], [], [], [], 0
 
         def closed() -> pa.RecordBatch:
-            packed = pack(np.frombuffer(b"".join(parts), kind), bits)
-            row = [part, seq, held, np.array(ids, "<i8").tobytes(), np.array(present, np.uint8).tobytes(), np.array(counts, "<i8").tobytes(), packed]
+            packed = pack(np.concatenate(parts), bits)
+            row = [part, seq, size, np.array(ids, "<i8").tobytes(), np.array(present, np.uint8).tobytes(), np.array(counts, "<i8").tobytes(), packed]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["part", "seq", "n_tokens", "doc_ids", "known", "doc_tokens", "codes"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), split_texts(row_texts(batch.column(1)), learned), strict=True):
-                data = b"".join(map(known.young.__getitem__, text)) + end
-                n = len(data) // np.dtype(kind).itemsize
-                if held and held + n > segment_ids:
-                    yield closed()
-                    seq, held = seq + 1, 0
-                    parts, ids, present, counts = [], [], [], []
-                parts.append(data)
-                ids.append(doc_id or 0)
-                present.append(doc_id is not None)
-                counts.append(n)
-                held += n
+            doc_ids = batch.column(0).to_pylist()
+            data, offsets = text_bytes(batch.column(1))
+            for i, j in chunks(offsets, SLICE):
+                chunk = data[offsets[i] : offsets[j]]
+                start, end, bounds = words(chunk, offsets[i : j + 1] - offsets[i], SPACE)
+                # Pre-tokens never cross ASCII white space: the words' ids, one after another, are the text's.
+                tokens, sizes = table.gathered(table.rows(chunk, start, end, encoder.encode))
+                ends = np.concatenate(([0], np.cumsum(sizes)))[bounds[1:]]
+                tokens = np.insert(tokens, ends, kind(end_id))
+                upto = (ends + np.arange(1, j - i + 1)).tolist()
+                for doc_id, a, b in zip(doc_ids[i:j], [0, *upto], upto):
+                    if size and size + b - a > segment_ids:
+                        yield closed()
+                        seq, size = seq + 1, 0
+                        parts, ids, present, counts = [], [], [], []
+                    parts.append(tokens[a:b])
+                    ids.append(doc_id or 0)
+                    present.append(doc_id is not None)
+                    counts.append(b - a)
+                    size += b - a
         if ids:
             yield closed()
 

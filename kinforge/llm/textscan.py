@@ -81,24 +81,86 @@ def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> tuple[np.
 MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
     """64-bit hashes of the words data[start:end]: of up to 16 bytes from two scrambled loads (bijective up to 8), of longer ones XXH3."""
     padded = np.zeros(len(data) + 16, np.uint8)
     padded[: len(data)] = data
     loads = np.ndarray((len(data) + 9,), "<u8", padded.data, strides=(1,))
     size = end - start
     low = loads[start] & MASK[np.minimum(size, 8)]
-    out = mixed(low + size.astype(np.uint64) * np.uint64(BASE))
+    out = mixed(low + size.astype(np.uint64) * np.uint64(BASE) + np.uint64(seed * 0x5851F42D4C957F2D % 2**64))
     wide = np.flatnonzero(size > 8)
     high = loads[start[wide] + 8] & MASK[np.minimum(size[wide] - 8, 8)]
     out[wide] = mixed(out[wide] * np.uint64(0xC2B2AE3D27D4EB4F) + mixed(high))
     long = np.flatnonzero(size > 16)
     if len(long):
         digest = xxhash.xxh3_64_intdigest
-        out[long] = np.array([digest(data[a:b].tobytes(), 1) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)], np.uint64)
+        out[long] = np.array([digest(data[a:b].tobytes(), seed) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)], np.uint64)
     return out
 
 
+class WordTable:
+    """What a worker has learned of words: a row of values for each (of any length), in arrays, at most about `most` bytes of them.
+
+    Words are told apart by two 64-bit hashes: one finds the row, the other confirms it. Should it ever fail to, the table starts again with
+    other hashes. When it is full, only the words of the slice at hand stay.
+    """
+
+    def __init__(self, most: int, kind):
+        self.most, self.kind, self.seed = most, np.dtype(kind), 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.sure, self.row = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begin, self.values = np.zeros(1, np.int64), np.zeros(0, self.kind)
+
+    def rows(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, learn) -> np.ndarray:
+        """The row of each word; learn(list of words) gives the values, as arrays, of those that aren't known."""
+        if not len(start):
+            return np.zeros(0, np.int64)
+        while True:
+            hashes, sure = word_hashes(data, start, end, self.seed), word_hashes(data, start, end, self.seed + 1)
+            found, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            at = np.searchsorted(self.keys, found)
+            at[at == len(self.keys)] = 0
+            known = self.keys[at] == found if len(self.keys) else np.zeros(len(found), bool)
+            if (sure == sure[first][inverse]).all() and (self.sure[at[known]] == sure[first][known]).all():
+                break
+            self.seed += 2
+            self.clear()
+        row = np.zeros(len(found), np.int64)
+        row[known] = self.row[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = data.tobytes()
+            made = learn([raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            if self.values.nbytes + 32 * len(self.keys) > self.most:
+                self.keep(found[known], sure[first][known], row[known])
+                row[known] = np.arange(int(known.sum()))
+            row[new] = len(self.begin) - 1 + np.arange(len(new))
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(sizes)))
+            self.values = np.concatenate((self.values, *made)) if len(made) < 64 else np.concatenate((self.values, np.concatenate(made)))
+            place = np.searchsorted(self.keys, found[new])
+            self.keys, self.sure = np.insert(self.keys, place, found[new]), np.insert(self.sure, place, sure[first[new]])
+            self.row = np.insert(self.row, place, row[new])
+        return row[inverse]
+
+    def keep(self, keys: np.ndarray, sure: np.ndarray, row: np.ndarray) -> None:
+        """Only these (sorted) keys, in this order."""
+        values, sizes = self.gathered(row)
+        self.keys, self.sure, self.row = keys, sure, np.arange(len(keys))
+        self.begin, self.values = np.concatenate(([0], np.cumsum(sizes))), values
+
+    def gathered(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the rows, one after another, and how many each has."""
+        first = self.begin[row]
+        sizes = self.begin[row + 1] - first
+        at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+        at += np.arange(len(at))
+        return self.values[at], sizes
+
+
 def anchored(grams: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Regions of windows that choose one anchor.
 

@@ -28,7 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import chunks, free_name, id_crc32, memory, row_texts, written
+from .common import chunks, free_name, held, id_crc32, row_texts, text_bytes, written
+from .textscan import SPACE as SPACES
+from .textscan import WordTable
+from .textscan import words as text_words
 
 SAMPLE_PER_LANG, MAX_LANGS, ROUNDS = 1000, 64, 2
 #: Document hashes are taken modulo this; a language's share of it below which a document is in the sample follows from its count.
@@ -310,32 +313,31 @@ def identified(docs: DataFrame, names: list[str], log_probs: np.ndarray, path: s
         names, shape, table = model.value
         n = len(names)
         forward = forward_of(path, shape, table) if names else None
-        known = memory(f"langid:{path}:{xxhash.xxh3_128_hexdigest(table)}", MEMORY)
+        known = held(f"langid:{path}:{xxhash.xxh3_128_hexdigest(table)}", lambda: WordTable(MEMORY, np.float64))
         together = max(64, 16384 // max(n, 4))
 
-        def learned(words: set[bytes]) -> None:
-            fresh = known.missing(words)
-            for i in range(0, len(fresh), together):
-                part = fresh[i : i + together]
-                known.learn(part, [row.tobytes() for row in forward.words(part)])
-
-        def posterior(words: list[bytes]) -> tuple[str, float]:
-            total = np.zeros(n)
-            for i in range(0, len(words), 65536):
-                total += np.frombuffer(b"".join(map(known.young.__getitem__, words[i : i + 65536]))).reshape(-1, n).sum(0)
-            best = int(total.argmax())
-            return names[best], float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum())
+        def learned(words: list[bytes]) -> list[np.ndarray]:
+            return [row for i in range(0, len(words), together) for row in forward.words(words[i : i + together])]
 
         for batch in batches:
             preds, scores = [], []
-            texts = row_texts(batch.column(at))
-            for i, j in chunks(np.concatenate(([0], np.cumsum([len(t) for t in texts]))), SLICE):
-                split = [t.split() if forward and has_letter(t) else None for t in texts[i:j]]
-                learned(set().union(*filter(None, split)))
-                for words in split:
-                    pred, score = posterior(words) if words else ("und", 0.0)
-                    preds.append(pred)
-                    scores.append(score)
+            data, offsets = text_bytes(batch.column(at))
+            for i, j in chunks(offsets, SLICE):
+                part = data[offsets[i] : offsets[j]]
+                start, end, bounds = text_words(part, offsets[i : j + 1] - offsets[i], SPACES)
+                if forward:
+                    rows = known.rows(part, start, end, learned)
+                    each = known.values.reshape(-1, n)
+                for d in range(j - i):
+                    a, b = int(bounds[d]), int(bounds[d + 1])
+                    if not (forward and a < b and has_letter(part[start[a] : end[b - 1]].tobytes())):
+                        preds.append("und")
+                        scores.append(0.0)
+                        continue
+                    total = sum(each[rows[k : min(b, k + 65536)]].sum(0) for k in range(a, b, 65536))
+                    best = int(total.argmax())
+                    preds.append(names[best])
+                    scores.append(float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum()))
             columns = batch.columns if keep else [batch.column(0)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema.fields])
 

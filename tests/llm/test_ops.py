@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from kinforge.llm import backoff_lm, bpe_transducer, common, dac_store, decontaminate, feistel_pii, hamming_search, phrase_dedup, simhash_index, suffix_dedup, unigram_langid
+from kinforge.llm import backoff_lm, bpe_transducer, common, dac_store, decontaminate, feistel_pii, hamming_search, phrase_dedup, simhash_index, suffix_dedup, textscan, unigram_langid
 from kinforge.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -235,19 +235,34 @@ def test_op7_long_word(spark, monkeypatch):
         assert tuple(got[i])[1:] == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(model.decode(ids, skip_special_tokens=False).encode())), i
 
 
-def test_memory():
-    """Two generations: what is met again stays, the rest goes, and all words of one call are there."""
-    m = common.Memory(2500)
-    for k in range(40):
-        words = {b"often", b"w%d" % k, b"w%d" % (k + 1)}
-        new = m.missing(words)
-        m.learn(new, [w.upper() for w in new])
-        assert all(m.young[w] == w.upper() for w in words) and len(m.young) + len(m.old) < 16
-    assert common.memory("a") is common.memory("a")
-    common.memory("b")
-    assert list(common._memories) == ["b"]
+@pytest.mark.parametrize("hashes", [None, 3])
+def test_word_table(monkeypatch, hashes):
+    """Values of words, whatever the table forgets, and whether or not its first hash tells words apart."""
+    if hashes:
+        whole = textscan.word_hashes
+        monkeypatch.setattr(textscan, "word_hashes", lambda d, s, e, seed=1: whole(d, s, e, seed) % (8 if seed == 1 else 2**63))
+    table, r, asked = textscan.WordTable(3000, np.uint16), random.Random(4), []
+
+    def learn(new):
+        asked.extend(new)
+        return [np.frombuffer(w.upper(), np.uint8).astype(np.uint16) for w in new]
+
+    for k in range(60):
+        ws = [b"often", *(b"w%d" % r.randrange(k, k + 30) for _ in range(r.randrange(40)))]
+        data = np.frombuffer(b" ".join(ws), np.uint8)
+        start, end, _ = textscan.words(data, np.array([0, len(data)]), textscan.SPACE)
+        values, sizes = table.gathered(table.rows(data, start, end, learn))
+        assert bytes(values.astype(np.uint8)) == b"".join(ws).upper() and sizes.tolist() == [*map(len, ws)]
+        assert table.values.nbytes + 32 * len(table.keys) < 3000 + 41 * 40
+    assert asked.count(b"often") < 5 and (hashes is None or table.seed == 3)
+
+
+def test_held():
+    assert common.held("a", dict) is common.held("a", dict)
+    common.held("b", dict)
+    assert list(common._held) == ["b"]
     common.released()
-    assert not common._memories
+    assert not common._held
 
 
 @settings(max_examples=60, deadline=None)
@@ -287,7 +302,7 @@ def test_op6(docs):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     toks = [[*word.findall((t or "").translate(fold)), None] for t in rows]
     train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(rows))]
-    for order in (2, 3):
+    for order in (3, 2, 4):
         c = Counter()
         for t, used in zip(toks, train):
             for n in range(1, order + 1):
@@ -300,11 +315,11 @@ def test_op6(docs):
         def p(g):
             if len(g) == 1:
                 return (c[g] - d) / n_all if c[g] else d * kinds / n_all
-            low = p(g[1:])
-            return (c[g] + backoff_lm.PRIOR * low) / (c[g[:-1]] + backoff_lm.PRIOR) if c[g[:-1]] else low
+            low, prior = p(g[1:]), backoff_lm.PRIORS[min(len(g) - 2, 1)]
+            return (c[g] + prior * low) / (c[g[:-1]] + prior) if c[g[:-1]] else low
 
         assert abs(sum(p((w,)) for w in ones) + d * kinds / n_all - 1) < 1e-9
-        got = by_id(backoff_lm.op6_backoff_lm(docs) if order == 2 else backoff_lm.scored(docs, backoff_lm.id_crc32(backoff_lm.F.col("doc_id")) % 7 != 2, order=3, batch_bytes=700))
+        got = by_id(backoff_lm.op6_backoff_lm(docs) if order == 3 else backoff_lm.scored(docs, backoff_lm.id_crc32(backoff_lm.F.col("doc_id")) % 7 != 2, order=order, batch_bytes=700))
         for i, t in enumerate(toks):
             r = got[i]
             assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (not train[i], len(t), sum(w in ones for w in t), n_all)
