@@ -1,17 +1,21 @@
 """Operator 5: format-preserving Feistel pseudonyms of personal data.
 
-E-mail addresses, IPv4 addresses, phone, card and social security numbers, IBANs, dates and quoted secrets are found by pattern and validated
-(Luhn, modulo 97, number ranges, calendar). Each valid value is ranked in the finite set of values of its format, moved by a keyed permutation
-of that set, and written back in the same format, so equal values get equal pseudonyms in all documents and the original never stays:
-the permutation is a Feistel network E conjugating a keyed shift, x -> E'(E(x) + s), which has no fixed point.
-
-Defined results: null text stays null, with no values found; text without values is returned as it is, whatever its length.
+E-mail addresses, IPv4 and IPv6 addresses, phone, card and social security numbers, IBANs, dates (numeric, or with an English month), quoted secrets and
+settings of keys and passwords are found by pattern and validated (Luhn, modulo 97, number ranges, calendar). Each valid value is ranked in the
+finite set of values of its format, moved by a keyed permutation of that set, and written back in the same format, so equal values get equal
+pseudonyms in all documents and the original never stays: the permutation is a Feistel network E conjugating a keyed shift, x -> E'(E(x) + s),
+which has no fixed point.
+
+Defined results: null text stays null, with no values found; text without values is returned as it is, whatever its length; a place that several
+formats fit is of the first in the order of `FOUND`; repeated rows are replaced alike. Other columns stay (the counts then get a `_` if one has their
+name). Ten digits in a row without any mark are left alone: most such numbers are no phone numbers.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,23 +24,31 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, MapType, StringType, StructType
+
+from .common import chunks, free_name, released, text_bytes
 
-#: Stands in where no key is given; production passes its own secret.
+#: For tests and the driver's query; production passes its own secret.
 DEMO_KEY = b"replace this key"
-ROUNDS = 8
+ROUNDS, SLICE = 8, 4 << 20
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: English names, in calendar order.
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 
 FOUND = re.compile(
-    r"""
-    (?P<secret>(?<=")(?:[0-9a-f]{32,64}|[A-Za-z0-9_\-]{24,64})(?="))
-  | (?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,})
-  | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-  | (?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
-  | (?P<date>(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?P<mark>[./])[0-9]{1,2}(?P=mark)[0-9]{4})(?![0-9]|[./\-][0-9]))
-  | (?P<ssn>(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-]))
-  | (?P<phone>(?<![0-9])(?:\+?1[ .\-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9]))
-  | (?P<intl>(?<![0-9A-Za-z])\+[0-9]{2,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9]))
-  | (?P<card>(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9]))
+    rf"""
+    (?P<secret>(?<=")(?:[0-9a-f]{{32,64}}|[A-Za-z0-9_\-]{{24,64}})(?="))
+  | (?P<setting>(?<![A-Za-z0-9])(?i:api[_\-]?key|access[_\-]?key|secret|token|password|passwd)[ ]?[=:][ ]?[A-Za-z0-9_\-]{{16,64}}(?![A-Za-z0-9_\-]))
+  | (?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[\w\-]+\.)+[^\W\d_]{{2,}})
+  | (?P<iban>(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?|[a-z]{{2}}[0-9]{{2}}[a-z0-9]{{11,30}})(?![A-Za-z0-9]))
+  | (?P<ipv6>(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{{0,4}}:){{2,7}}[0-9A-Fa-f]{{0,4}}(?![0-9A-Za-z:.]))
+  | (?P<ip>(?<![0-9.])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?![0-9]|\.[0-9]))
+  | (?P<date>(?<![0-9./\-])(?:[0-9]{{4}}(?P<dash>[\-/])[0-9]{{2}}(?P=dash)[0-9]{{2}}|[0-9]{{1,2}}(?P<mark>[./])[0-9]{{1,2}}(?P=mark)[0-9]{{4}})(?![0-9]|[./\-][0-9]))
+  | (?P<named>(?<![0-9A-Za-z])(?:[0-9]{{1,2}}[ ](?:{"|".join(MONTHS)})|(?:{"|".join(MONTHS)})[ ][0-9]{{1,2}},)[ ][0-9]{{4}}(?![0-9]))
+  | (?P<ssn>(?<![0-9\-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9\-]))
+  | (?P<phone>(?<![0-9])(?:\+?1[ .\-]?)?(?:\([0-9]{{3}}\)[ ]?|[0-9]{{3}}[ .\-])[0-9]{{3}}[ .\-][0-9]{{4}}(?![0-9]))
+  | (?P<intl>(?<![0-9A-Za-z])\+[0-9]{{2,3}}(?:[ .\-]?[0-9]{{2,4}}){{2,5}}(?![0-9]))
+  | (?P<card>(?<![0-9])[0-9](?:[ \-]?[0-9]){{12,18}}(?![0-9]))
     """,
     re.VERBOSE,
 )
@@ -135,6 +147,11 @@ class Pseudonyms:
             return f"{self._number(f'hex:{len(s)}', int(s, 16), 16 ** len(s)):0{len(s)}x}"
         return self._classes("secret", s)
 
+    def setting(self, s: str) -> str | None:
+        name, value = re.fullmatch(r"([^=:]*[=:][ ]?)(.*)", s).groups()
+        new = self.secret(value)
+        return new and name + new
+
     def email(self, s: str) -> str | None:
         local, _, domain = s.partition("@")
         return f"{self._classes('email:' + domain.lower(), local)}@{domain}"
@@ -144,10 +161,23 @@ class Pseudonyms:
         if max(octets) > 255:
             return None
         x = self._number("ip", int.from_bytes(bytes(octets), "big"), 1 << 32)
-        return ".".join(map(str, x.to_bytes(4, "big")))
+        width = 3 if len(s) == 15 and any(p[0] == "0" for p in s.split(".")) else 1  # padded octets stay padded
+        return ".".join(f"{o:0{width}d}" for o in x.to_bytes(4, "big"))
+
+    def ipv6(self, s: str) -> str | None:
+        try:
+            address = ipaddress.IPv6Address(s)
+        except ValueError:
+            return None
+        if not int(address) >> 16:  # unspecified, loopback: nobody's
+            return None
+        new = ipaddress.IPv6Address(self._number("ipv6", int(address), 1 << 128))
+        text = str(new) if "::" in s or len(s) < 39 else new.exploded
+        return text.upper() if s != s.lower() else text
 
     def date(self, s: str) -> str | None:
         parts = re.split(r"[./-]", s)
+        mark = s[len(parts[0])]
         try:
             if len(parts[0]) == 4:
                 order, day = "ymd", datetime.date(*map(int, parts))
@@ -157,16 +187,32 @@ class Pseudonyms:
                 day = datetime.date(y, b, a) if order == "dmy" else datetime.date(y, a, b)
         except ValueError:
             return None
-        if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
+        new = self._day(day)
+        if new is None:
             return None
-        new = datetime.date.fromordinal(FIRST_DAY + self._number("date", day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
         if order == "ymd":
-            return new.isoformat()
+            return new.isoformat().replace("-", mark)
         two = 2 if len(parts[0]) == len(parts[1]) == 2 else 1
         first, second = (new.day, new.month) if order == "dmy" else (new.month, new.day)
-        mark = s[len(parts[0])]
         return f"{first:0{two}d}{mark}{second:0{two}d}{mark}{new.year:04d}"
 
+    def _day(self, day: datetime.date) -> datetime.date | None:
+        if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
+            return None
+        return datetime.date.fromordinal(FIRST_DAY + self._number("date", day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
+
+    def named(self, s: str) -> str | None:
+        a, b, year = s.replace(",", "").split(" ")
+        number, month = (a, b) if a.isdigit() else (b, a)
+        try:
+            new = self._day(datetime.date(int(year), MONTHS.index(month) + 1, int(number)))
+        except ValueError:
+            return None
+        if new is None:
+            return None
+        month, number = MONTHS[new.month - 1], f"{new.day:0{2 if number[0] == '0' else 1}d}"
+        return f"{number} {month} {new.year}" if a.isdigit() else f"{month} {number}, {new.year}"
+
     def ssn(self, s: str) -> str | None:
         area, group, serial = map(int, s.split("-"))
         if area in (0, 666) or area >= 900 or not group or not serial:
@@ -225,27 +271,33 @@ class Pseudonyms:
         return FOUND.sub(one, text)
 
 
-def pseudonymised(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
-    """docs with text replaced and pii_kinds: a map of kind -> number of values replaced."""
+def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
+    """docs with text replaced and, last, pii_kinds: a map of kind -> number of values replaced. key: the secret that all documents share."""
+    if not key:
+        raise ValueError("a secret key is needed")
     at = docs.columns.index("text")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, pii_kinds map<string, long>"
+    name = free_name(docs.columns, "pii_kinds")
+    schema = StructType([*docs.schema.fields]).add(name, MapType(StringType(), LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         names = Pseudonyms(key)
         for batch in batches:
-            texts, kinds = [], []
-            for text in batch.column(at).to_pylist():
-                counts: Counter = Counter()
-                texts.append(text if text is None else names.replace(text, counts))
-                kinds.append(sorted(counts.items()))
-            columns = [*batch.columns, pa.array(kinds, pa.map_(pa.string(), pa.int64()))]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "pii_kinds"])
+            for i, j in chunks(text_bytes(batch.column(at))[1], SLICE):
+                part = batch.slice(i, j - i)
+                texts, kinds = [], []
+                for text in part.column(at).to_pylist():
+                    counts: Counter = Counter()
+                    texts.append(text if text is None else names.replace(text, counts))
+                    kinds.append(sorted(counts.items()))
+                columns = [*part.columns, pa.array(kinds, pa.map_(pa.string(), pa.int64()))]
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
 
-def op5_pii(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
+def op5_pii(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with pseudonyms, n_values, kinds (name:count, in order of name)."""
     done = pseudonymised(docs.select("doc_id", "text"), key)
     pairs = F.transform(F.map_entries("pii_kinds"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
