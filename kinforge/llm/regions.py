@@ -28,7 +28,7 @@ from .textscan import Rolling, anchored, covered_runs, mixed
 
 #: Bytes scanned together, and units of a long text scanned at a time.
 CHUNK, PIECE = 1 << 20, 1 << 20
-HOT_CLASSES, LEVELS = 2000, 6
+HOT_CLASSES, LEVELS = 1000, 6
 CLASS = ["h", "c0", "c1", "n"]
 ANCHORS = "doc_id long, salt long, start int, n int, h long, c0 long, c1 long"
 
@@ -67,8 +67,8 @@ def digests(raw: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]), "<i8").reshape(-1, 2)
 
 
-def anchors(docs: DataFrame, scan: Scan) -> DataFrame:
-    """Each region of each document: its first window, number of windows, anchor hash, contents' digest."""
+def anchors(docs: DataFrame, scan: Scan, hashes_only: bool = False) -> DataFrame:
+    """Each region of each document: its first window, number of windows, anchor hash, contents' digest (or the anchor hash alone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,21 +82,22 @@ def anchors(docs: DataFrame, scan: Scan) -> DataFrame:
                     q = min(int(bounds[-1]), p + PIECE + scan.length - 1)
                     grams = Rolling(units(p, q)).grams(scan.gram)
                     doc, first, n, place = anchored(grams, np.clip(bounds, p, q) - p, scan.length, scan.gram)
-                    if len(doc):
+                    if len(doc) and hashes_only:
+                        yield pa.RecordBatch.from_arrays([_long(grams[place])], names=["h"])
+                    elif len(doc):
                         first, hashes = first + p, grams[place]
                         c = digests(raw, low[first], high[first + n + scan.length - 2])
                         columns = [pa.array(ids[i + doc]), pa.array(salts[i + doc]), pa.array((first - bounds[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), _long(hashes), pa.array(c[:, 0]), pa.array(c[:, 1])]
                         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "salt", "start", "n", "h", "c0", "c1"])
 
-    return docs.select("doc_id", "salt", "text").mapInArrow(run, ANCHORS)
+    return docs.select("doc_id", "salt", "text").mapInArrow(run, "h long" if hashes_only else ANCHORS)
 
 
 def repeated_anchors(docs: DataFrame, scan: Scan) -> DataFrame:
     """The regions whose anchor hash occurs in another region too, written to the shared folder."""
-    found = anchors(docs, scan)
     # Written, so that both sides of the join are plain exchanges and adaptive execution can split a hot anchor's rows.
-    again = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h"), "again")
-    return written(found.join(again, "h").select("doc_id", "salt", "start", *CLASS[3:], *CLASS[:3]), "regions")
+    again = written(anchors(docs, scan, hashes_only=True).groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h"), "again")
+    return written(anchors(docs, scan).join(again, "h").select("doc_id", "salt", "start", *CLASS[3:], *CLASS[:3]), "regions")
 
 
 def classes(regions: DataFrame) -> DataFrame:
