@@ -38,7 +38,7 @@ from .common import chunks, free_name, held, text_bytes
 from .textscan import SPACE, WordTable, words
 
 #: Bytes that a Python worker may remember words in, and bytes of text it looks up together; only speed depends on them.
-MEMORY, SLICE = 96 << 20, 4 << 20
+MEMORY, SLICE = 64 << 20, 2 << 20
 #: Symbols encoded at a time beyond the lookahead, and the characters of a word from which it is read in pieces.
 BLOCK, LONG = 4096, 1 << 16
 #: Pre-tokens up to this size step together and are remembered.
@@ -365,11 +365,12 @@ def word_ids(t: Transducer, words: list[bytes]) -> list[np.ndarray]:
     return np.split(np.fromiter(chain.from_iterable(out), t.kind, int(sizes.sum())), np.cumsum(sizes)[:-1])
 
 
-def encoded(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
-    """docs with its columns and n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256 (of the decoded text)."""
-    names = [free_name(docs.columns, n) for n in ("n_tokens", "ids_sha256", "decoded_sha256")]
+def encoded(docs: DataFrame, path: str, column: str = "text", keep_ids: bool = False) -> DataFrame:
+    """docs with its columns and n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256 (of the decoded text)[, ids]."""
+    own = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if keep_ids else {})
+    names = [free_name(docs.columns, n) for n in own]
     schema = StructType([*docs.schema.fields])
-    for name, kind in zip(names, ("long", "string", "string"), strict=True):
+    for name, kind in zip(names, own.values(), strict=True):
         schema = schema.add(name, kind)
     at = docs.columns.index(column)
 
@@ -377,20 +378,21 @@ def encoded(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
         t = transducer(path)
         table = held(f"bpe:{path}", lambda: WordTable(MEMORY, t.kind))
         for batch in batches:
-            out: list[Digests] = []
             data, offsets = text_bytes(batch.column(at))
             for i, j in chunks(offsets, SLICE):
                 part = data[offsets[i] : offsets[j]]
                 start, end, bounds = words(part, offsets[i : j + 1] - offsets[i], SPACE)
                 ids, sizes = table.gathered(table.rows(part, start, end, lambda new: word_ids(t, new)))
-                ends = np.concatenate(([0], np.cumsum(sizes)))[bounds].tolist()
-                for a, b in zip(ends[:-1], ends[1:]):
+                ends = np.concatenate(([0], np.cumsum(sizes)))[bounds]
+                out: list[Digests] = []
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
                     out.append(doc := Digests(t))
                     for k in range(a, b, BLOCK * 64):
                         doc.add(ids[k : min(b, k + BLOCK * 64)].tolist())
-            results = ([d.n for d in out], [d.ids.hexdigest() for d in out], [d.text.hexdigest() for d in out])
-            columns = [pa.array(v, k) for v, k in zip(results, (pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
+                columns = [pa.array([d.n for d in out], pa.int64()), pa.array([d.ids.hexdigest() for d in out], pa.string()), pa.array([d.text.hexdigest() for d in out], pa.string())]
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *columns], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 

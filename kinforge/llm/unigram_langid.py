@@ -43,7 +43,7 @@ MULTIPLY = 0x9E3779B97F4A7C15
 #: The log-likelihood, a character, of a word that a language can't make.
 IMPOSSIBLE = -745.0
 #: Bytes that a worker may remember words in, and the bytes of text it looks up together; only speed depends on them.
-MEMORY, SLICE = 64 << 20, 4 << 20
+MEMORY, SLICE = 64 << 20, 2 << 20
 #: Words up to this size step together; longer ones go one by one, by the same sums.
 TOGETHER = 256
 
@@ -320,9 +320,9 @@ def identified(docs: DataFrame, names: list[str], log_probs: np.ndarray, path: s
             return [row for i in range(0, len(words), together) for row in forward.words(words[i : i + together])]
 
         for batch in batches:
-            preds, scores = [], []
             data, offsets = text_bytes(batch.column(at))
             for i, j in chunks(offsets, SLICE):
+                preds, scores = [], []
                 part = data[offsets[i] : offsets[j]]
                 start, end, bounds = text_words(part, offsets[i : j + 1] - offsets[i], SPACES)
                 if forward:
@@ -338,8 +338,8 @@ def identified(docs: DataFrame, names: list[str], log_probs: np.ndarray, path: s
                     best = int(total.argmax())
                     preds.append(names[best])
                     scores.append(float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum()))
-            columns = batch.columns if keep else [batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema.fields])
+                columns = batch.slice(i, j - i).columns[: None if keep else 1]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema.fields])
 
     return docs.mapInArrow(run, schema)
 

@@ -416,7 +416,7 @@ def test_op10(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     bench = spark.createDataFrame([], "item_id long, text string")
-    for got in (suffix_dedup.op1_suffix(none), phrase_dedup.op2_phrases(none), decontaminate.op3_decontaminate(none, bench), dac_store.op4_dac(none, BPE), feistel_pii.op5_pii(none), backoff_lm.op6_backoff_lm(none), bpe_transducer.op7_bpe(none, BPE), simhash_index.op8_simhash(none), unigram_langid.op9_langid(none, vocabulary("piece_bpe_32k.model")), hamming_search.op10_search(spark.createDataFrame([], "vec_id long, embedding array<float>"))):
+    for got in (suffix_dedup.op1_suffix(none), phrase_dedup.op2_phrases(none), decontaminate.op3_decontaminate(none, bench), dac_store.op4_dac(none, BPE), feistel_pii.op5_pii(none, b"k"), backoff_lm.op6_backoff_lm(none), bpe_transducer.op7_bpe(none, BPE), simhash_index.op8_simhash(none), unigram_langid.op9_langid(none, vocabulary("piece_bpe_32k.model")), hamming_search.op10_search(spark.createDataFrame([], "vec_id long, embedding array<float>"))):
         assert got.collect() == []
 
 
@@ -440,6 +440,41 @@ def test_phones():
     assert p.replace("+1 (017) 555-7713", Counter())[1:2] == "1" and len({re.sub(r"\D", "", p.phone(v))[-10:] for v in ("0175557713", "(017) 555-7713", "+1 017.555.7713")}) == 1
 
 
+def test_more_formats():
+    p = feistel_pii.Pseudonyms(b"key")
+    for v, shape in (("2020/02/29", r"\d{4}/\d\d/\d\d"), ("3 March 1984", r"\d+ [A-Z][a-z]+ \d{4}"), ("March 3, 1984", r"[A-Z][a-z]+ \d+, \d{4}"), ("gb82west12345698765432", r"gb\d\d[a-z]{4}\d{14}"), ("2001:db8::8a2e:370:7334", r"[0-9a-f:]+"), ("192.168.001.010", r"(\d{3}\.){3}\d{3}"), ("ann@bücher.example", r"[a-z]{3}@bücher\.example"), ("api_key=a8f3Kd93jfk2LQ0x", r"api_key=\w{16}"), ("password: hunter2hunter2hunter2", r"password: \w{21}")):
+        new = p.replace(f"see {v} here", Counter())
+        assert v not in new and re.fullmatch(f"see {shape} here", new), (v, new)
+    assert p.date("2020/02/29").replace("/", "-") == p.date("2020-02-29") and p.named("29 February 2020").split()[-1] == p.date("2020-02-29")[:4]
+    for clean in ("at 12:30:45 today", "::1", "token: word", "31 February 2020", "ab12 some words that follow here", "5551234567"):
+        assert p.replace(clean, Counter()) == clean
+    with pytest.raises(ValueError):
+        feistel_pii.pseudonymised(None, b"")
+
+
+def test_op5_query_brute_force(spark):
+    """The query's rows, value by value, from lists of what each text holds; equal values get equal pseudonyms in all documents."""
+    r = random.Random(2)
+    kinds = {"email": "u{}@mail.example", "ssn": "2{:02d}-45-6789", "date": "19{:02d}-07-14", "ip": "10.0.0.{}", "phone": "(743) 555-00{:02d}"}
+    plans = [[(k := r.choice(sorted(kinds)), kinds[k].format(r.randrange(10, 30))) for _ in range(r.randrange(6))] for _ in range(60)] + [[], None]
+    rows = [(i, None if plan is None else " ".join(["and", *(f"w{n} {v}, then" for n, (_, v) in enumerate(plan))])) for i, plan in enumerate(plans)]
+    rows += [(3, rows[3][1]), (None, rows[4][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = feistel_pii.op5_pii(docs, b"key").collect()
+    assert len(got) == len(rows)
+    p, images = feistel_pii.Pseudonyms(b"key"), {}
+    for row, (i, text) in zip(sorted(got, key=lambda x: (x["doc_id"] is None, x["doc_id"] or 0)), sorted(rows, key=lambda x: (x[0] is None, x[0] or 0))):
+        plan = plans[4 if i is None else i] or []
+        want = text
+        for kind, v in plan:
+            images.setdefault((kind, v), getattr(p, kind)(v))
+        if text is not None:
+            want = " ".join(["and", *(f"w{n} {images[kind, v]}, then" for n, (kind, v) in enumerate(plan))])
+        counts = Counter(k for k, _ in plan)
+        assert (row["doc_id"], row["text"], row["n_values"], row["kinds"]) == (i, want, len(plan), ",".join(f"{k}:{counts[k]}" for k in sorted(counts)))
+    assert len(set(images.values())) == len(images) and all(x != v for (_, v), x in images.items())
+
+
 def test_forward_long_words():
     """A language that falls twice as fast mustn't stop at a floor, whether a word is short or long."""
     path = vocabulary("piece_bpe_32k.model")

@@ -65,14 +65,44 @@ def test_near_dedup_finds_all_copies(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == sorted(set(want))
 
 
+def groups_of(found, docs):
+    """Sorted groups of doc_ids, of (node, root) and docs."""
+    root = {r["node"]: r["root"] for r in found.collect()}
+    out = {}
+    for r in docs.select("doc_id", near_copies.node_of().alias("node")).collect():
+        out.setdefault(root.get(r["node"], r["node"]), set()).add(r["doc_id"])
+    return sorted(map(sorted, out.values()))
+
+
+def wanted_groups(texts):
+    out = {}
+    for i, r in enumerate(jaccard_components(texts)):
+        out.setdefault(r, set()).add(i)
+    return sorted(map(sorted, out.values()))
+
+
 def test_linked_components(spark):
-    rows = near_copies.with_nodes(spark.createDataFrame([(i, t) for i, t in enumerate(near_texts(9))], "doc_id long, text string")).cache()
-    found = {r["node"]: r["root"] for r in near_copies.linked(rows).collect()}
-    want = jaccard_components(near_texts(9))
-    groups = {}
-    for r in rows.collect():
-        groups.setdefault(found.get(r["_node"], r["_node"]), set()).add(r["doc_id"])
-    assert sorted(min(g) for g in groups.values()) == sorted(set(want))
+    texts = near_texts(9)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert groups_of(near_copies.linked(docs), docs) == wanted_groups(texts)
+
+
+def test_large_groups(spark):
+    """Long posting lists: copies around a few bases, many pairs just below and above the limit."""
+    r = random.Random(3)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(3):
+        base = [r.choice(vocab) for _ in range(100)]
+        for _ in range(70):
+            copy = list(base)
+            for _ in range(r.randint(0, 3)):
+                copy[r.randrange(100)] = r.choice(vocab)
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = wanted_groups(texts)
+    assert 3 < len(want) < 60
+    assert groups_of(near_copies.linked(docs), docs) == want
 
 
 def test_rows_not_ids_decide(spark, tmp_path):
