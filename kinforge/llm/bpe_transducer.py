@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .common import chunks, free_name, held, text_bytes
 from .textscan import SPACE, WordTable, words
@@ -367,7 +367,7 @@ def word_ids(t: Transducer, words: list[bytes]) -> list[np.ndarray]:
 
 def encoded(docs: DataFrame, path: str, column: str = "text", keep_ids: bool = False) -> DataFrame:
     """docs with its columns and n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256 (of the decoded text)[, ids]."""
-    own = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if keep_ids else {})
+    own = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": ArrayType(IntegerType())} if keep_ids else {})
     names = [free_name(docs.columns, n) for n in own]
     schema = StructType([*docs.schema.fields])
     for name, kind in zip(names, own.values(), strict=True):

@@ -1,5 +1,6 @@
 """The pipeline's stages on a small table: what goes, what stays, and the columns."""
 
+import hashlib
 import os
 import random
 
@@ -20,6 +21,7 @@ def test_stages(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     ids = [r["doc_id"] for r in out]
     assert len(ids) == len(set(ids)) and 100 < len(ids) < docs.count() and {"n_tokens", "ids_sha256", "decoded_sha256"} <= set(out[0].asDict())
+    assert all(len(r["ids"]) == r["n_tokens"] and hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest() == r["ids_sha256"] for r in out)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "decontamination", "pii", "encoding"]
 
 
@@ -116,3 +118,34 @@ def test_rows_not_ids_decide(spark, tmp_path):
     spark.createDataFrame([(1, texts[0]), (2, texts[2])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
     assert sorted(map(tuple, clean), key=str) == sorted([rows[i] for i in (1, 2, 4, 5, 6)], key=str)
+
+
+def test_stages_brute_force(spark, tmp_path):
+    """All five stages on a small table with nulls, repeats, empty texts and clashing columns, against each stage's definition."""
+    r = random.Random(5)
+    vocab = [f"word{i}" for i in range(300)]
+    line = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    leak, base = line(30), line(120)
+    near = base.split()
+    near[7], near[90] = "other", "another"
+    texts = [line(40), base, " ".join(near), base, leak, line(50) + " mail ann@site.example now", None, "", "12 34 !!", line(20), line(20) + " " + leak]
+    rows = [(i if i != 9 else None, t, ["en", "de", None][i % 3], "s", None if t is None else len(t), "k", "p", 1, "x") for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", len(texts[0]), "k", "p", 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key string, pii_kinds string, n_tokens long, lang_pred string")
+    spark.createDataFrame([("i", leak)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    sf = str(tmp_path)
+    ids = lambda df: sorted((x["doc_id"] for x in df.collect()), key=str)
+    assert ids(stage["language"](spark, docs, sf)) == sorted([0, 0, 1, 2, 3, 4, 5, None, 10], key=str)
+    assert all(x["lang"] for x in stage["language"](spark, docs, sf).collect())
+    kept = wanted_groups([t for t in texts])
+    assert ids(stage["near_dedup"](spark, docs, sf)) == sorted([0, 1, 4, 5, 6, 8, None, 10], key=str) and len(kept) == 8
+    assert ids(stage["decontamination"](spark, docs, sf)) == sorted([0, 0, 1, 2, 3, 5, 6, 7, 8, None], key=str)
+    masked = {x["doc_id"]: x for x in stage["pii"](spark, docs, sf).collect()}
+    assert "ann@" not in masked[5]["text"] and masked[5]["text"].endswith("@site.example now") and masked[1]["text"] == base and masked[6]["text"] is None
+    out = stage["encoding"](spark, docs, sf)
+    assert out.columns[: len(docs.columns)] == docs.columns and "n_tokens_" in out.columns and len(out.collect()) == len(rows)
+    whole = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((x["doc_id"] for x in whole), key=str) == sorted([0, 1, 5, None], key=str)
+    none = docs.filter("false")
+    assert all(s(spark, none, sf).collect() == [] for s in stage.values())
