@@ -9,10 +9,11 @@ Smoothing is Bayesian (a Dirichlet prior centred on the shorter context) above a
 with c(u) how often u goes on in training and a prior for each length of u. At the root, p(w) = (c(w) - d) / N, and all d * V / N that is
 discounted goes to one class of unknown words, d = n1 / (n1 + 2 n2) from the counts of counts, so each state's distribution sums to one.
 
-Scale: each task cuts its documents into batches of a bounded size and writes them, compressed. One length n after the other, each batch reports
-the distinct hashes of its n-grams (training counts, and zero for those only to be scored) to shards of the hash space as sorted arrays; a
-shard adds them up and answers each batch with the totals of just those, in the order asked. A batch asks only for n-grams whose first and last
-n - 1 words both occur in other batches too: all others occur in this batch alone, and its own count is the total. In the end a batch builds the part of the
+Scale: each task cuts its documents into batches of a bounded size and writes them, compressed. Each batch reports the distinct hashes of its
+n-grams (training counts, and zero for those only to be scored) to shards of the hash space as sorted arrays; a shard adds them up and
+answers each batch with the totals of just those, in the order asked. Words and pairs of words go at once; of longer n-grams, one length after
+the other, a batch asks only for those whose first and last n - 1 words both occur in other batches too: all others occur in this batch alone,
+and its own count is the total. In the end a batch builds the part of the
 automaton that its texts can reach, and scores them. So nothing grows in one task or on the driver, whatever the ids are, and what is
 gathered follows the corpus. n-grams are told apart by 64-bit hashes of their words' 64-bit hashes.
 
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ ORDER = 3
 #: Of contexts of one word, two words and so on (the last holds for longer ones too); chosen on held-out documents, see the README.
 PRIORS = (1000.0, 5.0)
 BATCH_BYTES = 8_000_000
+#: Up to this length a batch asks for all its n-grams, at once: fewer would not be worth another pass over the texts.
+FREE = 2
 CHUNK = 1 << 20
 #: The end token's hash; no word's hash path leads here but by chance.
 END = np.uint64(0xE2D0_5EED_0000_0001)
@@ -106,20 +110,18 @@ def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Level:
-    """The distinct n-grams of a batch for one n: sorted hashes, training counts, the place of one occurrence; and the hash that ends at each place."""
+    """The distinct n-grams of a batch for one n: sorted hashes, training counts, the place of one occurrence; and which of them ends at each place (-1: none)."""
 
-    def __init__(self, hashes: np.ndarray, places: np.ndarray, grams: np.ndarray, in_train: np.ndarray):
+    def __init__(self, size: int, places: np.ndarray, grams: np.ndarray, in_train: np.ndarray):
         at = np.argsort(grams)
-        ordered = grams[at]
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(at) else np.zeros(0, np.int64)
-        self.keys = ordered[first]
-        self.counts = np.add.reduceat(in_train[places][at].astype(np.int64), first) if len(at) else np.zeros(0, np.int64)
-        self.place = places[at[first]]
-        self.ending = np.zeros(len(hashes), np.uint64)
-        self.ending[places] = grams
-
-    def index(self, grams: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.keys, grams)
+        ordered, where = grams[at], places[at]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(at) else np.zeros(0, bool)
+        rank = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        first = np.flatnonzero(new)
+        self.keys, self.place = ordered[first], where[first]
+        self.counts = np.bincount(rank[in_train[where]], minlength=len(first)).astype(np.int64)
+        self.entry = np.full(size, -1, np.int32)
+        self.entry[where] = rank
 
 
 class Texts:
@@ -129,19 +131,19 @@ class Texts:
         self.train = docs.column("train").to_numpy().astype(bool)
         self.hashes, self.bounds = tokens(docs.column("text"))
         in_train = np.repeat(self.train, np.diff(self.bounds))
-        self.levels = [Level(self.hashes, places, grams, in_train) for places, grams in ngrams(self.hashes, self.bounds, order)]
+        self.levels = [Level(len(self.hashes), places, grams, in_train) for places, grams in ngrams(self.hashes, self.bounds, order)]
         self.totals: list[np.ndarray] = []
         self.shared: list[np.ndarray] = []  # whether another batch has the n-gram
 
     def around(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each n-gram (n > 1): its first and its last n - 1 words, as entries of the level below."""
         level, below = self.levels[n - 1], self.levels[n - 2]
-        return below.index(below.ending[level.place - 1]), below.index(below.ending[level.place])
+        return below.entry[level.place - 1], below.entry[level.place]
 
     def asked(self, n: int) -> np.ndarray:
         """Which n-grams other batches may have too, by what is known of the level below."""
-        if n == 1:
-            return np.ones(len(self.levels[0].keys), bool)
+        if n <= FREE:
+            return np.ones(len(self.levels[n - 1].keys), bool)
         first, last = self.around(n)
         return self.shared[n - 2][first] & self.shared[n - 2][last]
 
@@ -181,8 +183,8 @@ def columns_of(rows: list[tuple], kinds: dict[str, pa.DataType]) -> list[pa.Arra
     return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds.values(), strict=True)]
 
 
-def batched(batch_bytes: int, shards: int):
-    """Of documents (doc_id, text, train): rows with a batch of documents each (compressed), and the reports of their words."""
+def batched(batch_bytes: int):
+    """Of documents (doc_id, text, train): a row for each batch of documents, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         released()
@@ -195,10 +197,7 @@ def batched(batch_bytes: int, shards: int):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_table(docs)
-            number = part << 32 | made
-            rows = report(number, Texts(docs, 1), 1, shards)
-            columns = columns_of([(number, None, None, None, None), *rows], REPORT)
-            return pa.RecordBatch.from_arrays([*columns, pa.array([sink.getvalue().to_pybytes()] + [None] * len(rows), pa.binary())], names=[*REPORT, "docs"])
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "docs"])
 
         for batch in batches:
             offsets = text_bytes(batch.column(1))[1]
@@ -214,16 +213,29 @@ def batched(batch_bytes: int, shards: int):
     return run
 
 
-def unpacked(docs: pa.Table, order: int) -> tuple[pa.Table, Texts]:
-    table = pa.ipc.open_stream(docs.column("docs")[0].as_py()).read_all()
+def unpacked(docs: bytes, order: int) -> tuple[pa.Table, Texts]:
+    table = pa.ipc.open_stream(docs).read_all()
     return table, Texts(table, order)
 
 
+def asking_first(order: int, shards: int):
+    """Of batches: their reports for all lengths up to FREE."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, docs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                texts = unpacked(docs.as_py(), min(order, FREE))[1]
+                for n in range(1, min(order, FREE) + 1):
+                    yield pa.RecordBatch.from_arrays(columns_of(report(number, texts, n, shards), REPORT), names=list(REPORT))
+
+    return run
+
+
 def asking(n: int, shards: int):
     """Of a batch and the answers to it for lengths below n: its reports for n."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = unpacked(docs, n)[1]
+        texts = unpacked(docs.column("docs")[0].as_py(), n)[1]
         top, texts.levels = texts.levels, texts.levels[: n - 1]
         texts.answered(answers)
         texts.levels = top
@@ -236,14 +248,17 @@ ANSWER = "batch long, n int, shard int, totals binary, stats array<long>"
 
 
 def answers(table: pa.Table) -> pa.Table:
-    """Of a shard's reports of one length: for each batch's n-grams, in the order asked, twice the total, plus one if another batch has it; for n = 1 also N, V, n1, n2 of the shard's words (batch -1)."""
-    n, shard, batches = table.column("n")[0].as_py(), table.column("shard")[0].as_py(), table.column("batch").to_pylist()
-    keys = [unplanes(k) for k in table.column("keys").to_pylist()]
-    known, totals = added(flat := np.concatenate(keys), np.concatenate([widened(c) for c in table.column("counts").to_pylist()]))
-    several = added(flat, np.ones(len(flat), np.int64))[1] > 1
-    rows: list[tuple] = [(b, n, shard, narrow(2 * totals[at := np.searchsorted(known, k)] + several[at]), None) for b, k in zip(batches, keys, strict=True)]
-    if n == 1:
-        rows.append((-1, 0, shard, None, [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())]))
+    """Of a shard's reports: for each batch's n-grams, in the order asked, twice the total, plus one if another batch has it; for n = 1 also N, V, n1, n2 of the shard's words (batch -1)."""
+    rows: list[tuple] = []
+    shard = table.column("shard")[0].as_py()
+    for n in sorted(set(table.column("n").to_pylist())):
+        some = table.filter(pc.equal(table.column("n"), n))
+        batches, keys = some.column("batch").to_pylist(), [unplanes(k) for k in some.column("keys").to_pylist()]
+        known, totals = added(flat := np.concatenate(keys), np.concatenate([widened(c) for c in some.column("counts").to_pylist()]))
+        several = added(flat, np.ones(len(flat), np.int64))[1] > 1
+        rows += [(b, n, shard, narrow(2 * totals[at := np.searchsorted(known, k)] + several[at]), None) for b, k in zip(batches, keys, strict=True)]
+        if n == 1:
+            rows.append((-1, 0, shard, None, [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())]))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["batch", "n", "shard", "totals", "stats"])
 
 
@@ -251,22 +266,21 @@ class Automaton:
     """The part of the backoff automaton that a batch's texts can reach.
 
     State 0 is the root; the context that is entry i of level n is state first[n] + i. lp[n][i] is the weight of the arc that reads the
-    last word of n-gram i (nan: no arc), `to[n][i]` the state it leads to; fail and back are each state's failure arc and its weight.
+    last word of entry i of level n + 1 (nan: no arc), `to[n][i]` the state it leads to; fail and back are each state's failure arc and its weight.
     """
 
     LANE = 256
 
     def __init__(self, texts: Texts, stats: tuple[int, int, int, int], priors: tuple[float, ...]):
         levels, totals = texts.levels, texts.totals
-        self.levels, self.order = levels, len(levels)
+        self.entries, self.order = [level.entry for level in levels], len(levels)
         n_all, distinct, once, twice = stats
         discount = min(0.9, once / (once + 2 * twice)) if once else 0.5
         self.unknown = np.log10(discount * distinct / n_all) if n_all else 0.0
         sizes = [len(level.keys) for level in levels]
         self.first = [0, *(1 + np.concatenate(([0], np.cumsum(sizes)))[: self.order]).tolist()]
         states = 1 + sum(sizes[:-1])
-        self.hash, self.depth = np.zeros(states, np.uint64), np.zeros(states, np.int8)
-        self.fail, self.back = np.zeros(states, np.int64), np.zeros(states)
+        self.depth, self.fail, self.back = np.zeros(states, np.int8), np.zeros(states, np.int64), np.zeros(states)
         self.lp, self.to, shorter = [], [], None
         for n, (level, c) in enumerate(zip(levels, totals, strict=True), 1):
             prior = priors[min(n - 2, len(priors) - 1)] if n > 1 else 0.0
@@ -277,47 +291,40 @@ class Automaton:
                     context, ending = texts.around(n)
                     p = np.where(c > 0, (c + prior * shorter[ending]) / (totals[n - 2][context] + prior), np.nan)
                     suffix = self.first[n - 1] + ending
-            state = np.zeros(len(c), np.int64)
             if n < self.order:
-                ids = self.first[n] + np.arange(len(c))
-                self.hash[ids], self.depth[ids], self.fail[ids] = level.keys, n, suffix
                 after = priors[min(n - 1, len(priors) - 1)]
-                self.back[ids] = np.log10(after / (c + after))
-                state = np.where(c > 0, ids, suffix)
-            else:
-                state = suffix
+                ids = self.first[n] + np.arange(len(c))
+                self.depth[ids], self.fail[ids], self.back[ids] = n, suffix, np.log10(after / (c + after))
+                suffix = np.where(c > 0, ids, suffix)
             self.lp.append(np.log10(p))
-            self.to.append(state)
+            self.to.append(suffix)
             shorter = p
 
-    def read(self, state: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One step of many walks: the weights paid and the states reached."""
-        paid, state, reached = np.zeros(len(words)), state.copy(), np.zeros(len(words), np.int64)
-        todo = np.arange(len(words))
+    def read(self, state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One step of many walks, each reading the word at its place: the weights paid and the states reached. A state's arc for that word is the n-gram that ends there."""
+        paid, reached, state = np.zeros(len(at)), np.zeros(len(at), np.int64), state.copy()
+        todo = np.arange(len(at))
         for depth in range(self.order - 1, -1, -1):
-            here = todo[self.depth[state[todo]] == depth]
+            here = todo[self.depth[state[todo]] == depth] if depth else todo
             if not len(here):
                 continue
-            s, level = state[here], self.levels[depth]
-            grams = words[here] if depth == 0 else longer(self.hash[s], words[here])
-            at = level.index(grams)
-            at[at == len(level.keys)] = 0
-            weight = np.where(level.keys[at] == grams, self.lp[depth][at], np.nan)
+            arc = self.entries[depth][at[here]]
+            weight = self.lp[depth][arc]
             has = ~np.isnan(weight)
             paid[here[has]] += weight[has]
-            reached[here[has]] = self.to[depth][at[has]]
+            reached[here[has]] = self.to[depth][arc[has]]
+            lacks = here[~has]
             if depth:
-                lacks = here[~has]
                 paid[lacks] += self.back[state[lacks]]
                 state[lacks] = self.fail[state[lacks]]
+                done = np.zeros(len(at), bool)
+                done[here[has]] = True
+                todo = todo[~done[todo]]
             else:
-                paid[here[~has]] += self.unknown
-            done = np.zeros(len(words), bool)
-            done[here[has]] = True
-            todo = todo[~done[todo]]
+                paid[lacks] += self.unknown
         return paid, reached
 
-    def scores(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def scores(self, bounds: np.ndarray) -> np.ndarray:
         """Each text's log10 probability. Walks run side by side; a long text is cut into lanes, each brought to its first state by the words before it."""
         sizes = np.diff(bounds)
         lanes = -(-sizes // self.LANE)
@@ -327,12 +334,12 @@ class Automaton:
         state, total = np.zeros(len(text), np.int64), np.zeros(len(text))
         for ago in range(self.order - 1, 0, -1):
             lead = np.flatnonzero(start - ago >= bounds[text])
-            state[lead] = self.read(state[lead], hashes[start[lead] - ago])[1]
+            state[lead] = self.read(state[lead], start[lead] - ago)[1]
         order = np.argsort(start - end, kind="stable")
         start, end, state, text = start[order], end[order], state[order], text[order]
         for t in range(int((end - start).max()) if len(start) else 0):
             live = int(np.searchsorted(start - end, -t, "left"))
-            paid, state[:live] = self.read(state[:live], hashes[start[:live] + t])
+            paid, state[:live] = self.read(state[:live], start[:live] + t)
             total[:live] += paid
         return np.bincount(text, total, len(sizes))
 
@@ -345,13 +352,13 @@ def scoring(order: int, stats: tuple[int, int, int, int], priors: tuple[float, .
 
     def run(docs: pa.Table, answered: pa.Table) -> pa.Table:
         names = [f.strip().split()[0] for f in SCORES.split(",")]
-        table, texts = unpacked(docs, order)
+        table, texts = unpacked(docs.column("docs")[0].as_py(), order)
         texts.answered(answered)
         n_all, distinct = stats[:2]
-        count = texts.totals[0][texts.levels[0].index(texts.hashes)]
+        count = texts.totals[0][texts.levels[0].entry]
         base = np.log10((count + 1) / (n_all + distinct + 1))
         sums = lambda v: np.add.reduceat(v, texts.bounds[:-1])  # noqa: E731  every text has its end token
-        score = Automaton(texts, stats, priors).scores(texts.hashes, texts.bounds)
+        score = Automaton(texts, stats, priors).scores(texts.bounds)
         return pa.table([table.column("doc_id"), pa.array(~texts.train), pa.array(np.diff(texts.bounds)), pa.array(sums((count > 0).astype(np.int64))), pa.array(np.full(len(texts.train), n_all)), pa.array(sums(base)), pa.array(score)], names=names)
 
     return run
@@ -361,12 +368,11 @@ def scored(docs: DataFrame, train, order: int = ORDER, priors: tuple[float, ...]
     """The rows of SCORES for docs (doc_id, text), learning from those where the column `train` holds."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), train.alias("train"))
     shards = max(1, -(-total_bytes(rows) // batch_bytes))
-    dealt = written(rows.mapInArrow(batched(batch_bytes, shards), f"{REPORT_SQL}, docs binary"), "batches", {"parquet.block.size": 16 << 20})
-    texts = dealt.filter("docs is not null").select("batch", "docs")
-    reports = dealt.filter("docs is null").drop("docs")
+    texts = written(rows.mapInArrow(batched(batch_bytes), "batch long, docs binary"), "batches", {"parquet.block.size": 16 << 20})
+    reports = texts.mapInArrow(asking_first(order, shards), REPORT_SQL)
     back, parts = None, []
-    for n in range(1, order + 1):
-        if n > 1:
+    for n in range(min(order, FREE), order + 1):
+        if n > FREE:
             reports = texts.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(asking(n, shards), REPORT_SQL)
         parts.append(written(reports.groupBy("shard").applyInArrow(answers, ANSWER), "answers"))
         some = parts[-1].filter("batch >= 0").select("batch", "n", "shard", "totals")
