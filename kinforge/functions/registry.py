@@ -62,6 +62,28 @@ SCALAR_APPROXIMATE = set(CODES) - SCALAR_EXACT
 DISTINCT_DIVERGENT = {r.code for r in REGISTRY if r.distinct_diverges}
 
 
+class EngineSupport(NamedTuple):
+    """What the counters beside the exact one make of a category."""
+
+    streaming_exact: bool
+    bfs_diverges_under_inbreeding: bool
+
+
+REL_PLAN = {r.code: EngineSupport(r.scalar_exact, r.distinct_diverges) for r in REGISTRY}
+
+
+def streaming_exact_codes() -> frozenset[str]:
+    return frozenset(SCALAR_EXACT)
+
+
+def streaming_approximate_codes() -> frozenset[str]:
+    return frozenset(SCALAR_APPROXIMATE)
+
+
+def bfs_divergent_codes() -> frozenset[str]:
+    return frozenset(DISTINCT_DIVERGENT)
+
+
 def check_degree(max_degree: int) -> int:
     if not isinstance(max_degree, int) or isinstance(max_degree, bool) or not 0 <= max_degree <= 5:
         raise ValueError(f"max_degree must be in 0..5, not {max_degree!r}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.registry import check_degree
@@ -15,7 +15,6 @@ from .pairs import COLLATERAL, LINEAL, PairRules, SUBTRACT, canonical, rules, wi
 from .reach import reach
 
 
-
 def count_pairs_scalar(ped: Pedigree, max_degree: int = 2, scope: str = "full") -> DataFrame:
     """(code, n) by group-by sums alone: exact for ten categories, estimates for the others."""
     if scope not in ("full", "subsample"):
@@ -23,32 +22,32 @@ def count_pairs_scalar(ped: Pedigree, max_degree: int = 2, scope: str = "full")
     check_degree(max_degree)
     if scope == "subsample" and ped.sample is not None:
         raise NotImplementedError("the scalar counter can't count a from_subsample pedigree's sample")
-    people = ped.people
-    # d1..d4: distinct descendants k links down; needed up to the degree's depth.
-    deep = {2: 1, 3: 2, 4: 3, 5: 4}.get(max_degree, 0)
-    base = people.select("row", "tw", F.col("orig_mother").alias("mo"), F.col("orig_father").alias("fa"))
-    for k in range(1, 5):
-        if k <= deep:
-            down = reach(ped, k).groupBy(F.col("anc").alias("row")).agg(F.count(F.lit(1)).alias(f"d{k}"))
-            base = base.join(down, "row", "left").withColumn(f"d{k}", F.coalesce(f"d{k}", F.lit(0)))
-        else:
-            base = base.withColumn(f"d{k}", F.lit(0).cast("long"))
-    base = kept(base)
-    single = base.filter("tw IS NULL")
-    families = single.dropna(subset=["mo", "fa"]).groupBy("mo", "fa").agg(F.count(F.lit(1)).alias("k"), *[F.sum(f"d{i}").alias(f"s{i}") for i in range(1, 5)], F.sum(F.expr("d1 * d1")).alias("q1"))
-    total = lambda e, name: F.coalesce(F.sum(F.expr(e)), F.lit(0)).cast("long").alias(name)
-    fam = families.agg(
-        total("k * (k - 1) div 2", "fs"), total("(k - 1) * s1", "av"), total("(k - 1) * s2", "gav"), total("(k - 1) * s3", "ggav"), total("(k - 1) * s4", "g3av"),
-        total("(s1 * s1 - q1) div 2", "c1"), total("s1 * s2", "s12"), total("s1 * s3", "s13"), total("s2 * (s2 - 1) div 2", "c2"),
-    )
+    # d1..d5: distinct descendants k links down; the largest needed is the degree itself.
+    deep = max_degree if max_degree >= 2 else 0
+    sums = lambda e, name: F.coalesce(F.sum(F.expr(e)), F.lit(0)).cast("long").alias(name)
+    people = ped.people.select("row", "m", "f", "tw", F.col("orig_mother").alias("mo"), F.col("orig_father").alias("fa"))
+    if deep:
+        down = reduce(DataFrame.union, [reach(ped, k).select(F.col("anc").alias("row"), F.lit(k).alias("k")) for k in range(1, deep + 1)])
+        people = people.join(down.groupBy("row").agg(*[F.count_if(F.col("k") == k).alias(f"d{k}") for k in range(1, 6)]), "row", "left")
+        people = people.select(*people.columns[:6], *[F.coalesce(f"d{k}", F.lit(0)).cast("long").alias(f"d{k}") for k in range(1, 6)])
+    else:
+        people = people.select("*", *[F.lit(0).cast("long").alias(f"d{k}") for k in range(1, 6)])
+    base = kept(people)
+    # Families (both parents known), and each parent's offspring, in one pass of grouping sets.
+    made = base.filter("tw IS NULL").groupingSets([["mo", "fa"], ["mo"], ["fa"]], "mo", "fa").agg(F.grouping_id().alias("by"), F.count(F.lit(1)).alias("k"), *[F.sum(f"d{i}").alias(f"s{i}") for i in range(1, 5)], F.sum(F.expr("d1 * d1")).alias("q1"))
+    total = lambda e, name, by, known: sums(f"CASE WHEN by = {by} AND {known} THEN {e} END", name)
+    family = lambda e, name: total(e, name, 0, "mo IS NOT NULL AND fa IS NOT NULL")
     sides = []
-    for parent, name in (("mo", "m"), ("fa", "p")):
-        per = single.dropna(subset=[parent]).groupBy(parent).agg(F.count(F.lit(1)).alias("k"), *[F.sum(f"d{i}").alias(f"w{i}") for i in (1, 2, 3)])
-        sides.append(per.agg(total("k * (k - 1) div 2", f"{name}sib"), *[total(f"greatest(k - 1, 0) * w{i}", f"{name}w{i}") for i in (1, 2, 3)]))
-    own = base.agg(total("d2 * (d2 - 1) div 2", "dd2"), total("d2 * d3", "d23"))
-    simple = people.agg(F.count_if(F.expr("tw > row")).alias("mz"), F.count("m").alias("mother"), F.count("f").alias("father"))
-    lineal = [reach(ped, k).agg(F.count(F.lit(1)).alias(c.lower())) for c, k in LINEAL.items() if k <= max_degree]
-    one = reduce(lambda a, b: a.crossJoin(b), [simple, fam, *sides, own, *lineal])  # one row each
+    for by, known, name in ((1, "mo IS NOT NULL", "m"), (2, "fa IS NOT NULL", "p")):
+        sides += [total("k * (k - 1) div 2", f"{name}sib", by, known), *[total(f"greatest(k - 1, 0) * s{i}", f"{name}w{i}", by, known) for i in (1, 2, 3)]]
+    fam = made.agg(
+        family("k * (k - 1) div 2", "fs"), family("(k - 1) * s1", "av"), family("(k - 1) * s2", "gav"), family("(k - 1) * s3", "ggav"), family("(k - 1) * s4", "g3av"),
+        family("(s1 * s1 - q1) div 2", "c1"), family("s1 * s2", "s12"), family("s1 * s3", "s13"), family("s2 * (s2 - 1) div 2", "c2"), *sides,
+    )
+    own = base.agg(
+        F.count_if(F.expr("tw > row")).alias("mz"), F.count("m").alias("mother"), F.count("f").alias("father"), sums("d2 * (d2 - 1) div 2", "dd2"), sums("d2 * d3", "d23"), *[sums(f"d{k}", c.lower()) for c, k in LINEAL.items()],
+    )
+    one = fam.crossJoin(F.broadcast(own))  # one row each
     formulas = {"MZ": "mz", "MO": "mother", "FO": "father", "FS": "fs", "MHS": "msib - fs", "PHS": "psib - fs"}
     if max_degree >= 2:
         formulas |= {"GP": "gp", "Av": "av"}
@@ -87,8 +86,8 @@ class DistinctRules(PairRules):
         return self.made[name]
 
 
-def count_pairs_distinct(ped: Pedigree, max_degree: int = 5) -> DataFrame:
-    """(code, n) by distinct shared ancestors; all categories at once."""
+def count_pairs_distinct(ped: Pedigree, max_degree: int = 5, n_threads: int | None = None) -> DataFrame:
+    """(code, n) by distinct shared ancestors; all categories at once. n_threads is accepted for callers' sake: Spark spreads the joins itself."""
     warnings.warn("count_pairs_distinct is experimental and may change", FutureWarning, stacklevel=2)
     if max_degree != 5:
         raise NotImplementedError("count_pairs_distinct counts max_degree=5 only")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.registry import check_degree, registry
-from ..plans.store import cut, kept
+from ..plans.store import kept
 from ..sources.pedigree import Pedigree
-from .reach import contributions, depth
+from .reach import contributions, depth, grows, levels, lineage, lineage_of
 
 
 def threshold(min_kinship: float = 0.0, max_degree: int | None = None) -> float:
@@ -16,71 +18,69 @@ def threshold(min_kinship: float = 0.0, max_degree: int | None = None) -> float:
     return min_kinship if max_degree is None else max(min_kinship, 0.5 ** (check_degree(max_degree) + 1) - 1e-9)
 
 
-def kinship(ped: Pedigree, min_kinship: float = 0.0, max_degree: int | None = None) -> DataFrame:
-    """(i, j, phi): both triangles and the diagonal, level by level of the supplied generation.
+def kinship(ped: Pedigree, min_kinship: float = 0.0, max_degree: int | None = None, derive_levels: bool = False) -> DataFrame:
+    """(i, j, phi): both triangles and the diagonal, level by level of the supplied generation (derive_levels: of the depth instead).
 
-    Identical twins share their genome from generation 1 on. Links must lead to a lower generation; others raise ValueError.
+    Identical twins share their genome from level 1 on. Supplied generations must grow along every link; others raise ValueError.
+    Each level's part is written once; a level reads the parts before it and joins them with its own links alone.
     """
     bound = threshold(min_kinship, max_degree)
     cache = ped.__dict__.setdefault("_kinship", {})
-    if bound in cache:
-        return cache[bound]
-    gens = ped.people.select("row", "generation")
-    links = kept(ped.edges.join(gens.toDF("child", "g"), "child").join(gens.toDF("parent", "pg"), "parent").select("child", "parent", "g", "pg"))
-    if not links.filter("pg >= g").limit(1).isEmpty():
-        raise ValueError("kinship needs generations that grow along every parent link")
-    founders = ped.people.join(ped.edges.select(F.col("child").alias("row")).distinct(), "row", "left_anti")
-    kin = cut(founders.select(F.col("row").alias("i"), F.col("row").alias("j"), F.lit(0.5).alias("phi")))
-    for g in range(1, ped.last_generation + 1):
+    if (bound, derive_levels) not in cache:
+        if not derive_levels and not grows(ped):
+            raise ValueError("kinship needs generations that grow along every parent link")
+        order = depth(ped).select("row", F.col("depth").alias("level")) if derive_levels else ped.people.select("row", F.col("generation").alias("level"))
+        cache[bound, derive_levels] = _kinship(ped, kept(order), bound)
+    return cache[bound, derive_levels]
+
+
+def _kinship(ped: Pedigree, order: DataFrame, bound: float) -> DataFrame:
+    links = kept(ped.edges.select("child", "parent").join(order.toDF("child", "g"), "child"))
+    people = kept(ped.people.select("row", "m", "f", "tw").join(order, "row"))
+    founders = people.filter("m IS NULL AND f IS NULL")
+    parts = [kept(founders.select(F.col("row").alias("i"), F.col("row").alias("j"), F.lit(0.5).alias("phi")))]
+    swapped = lambda d: d.select(F.col("j").alias("i"), F.col("i").alias("j"), "phi")
+    for g in range(1, (order.agg(F.max("level")).first()[0] or 0) + 1):
+        kin = reduce(DataFrame.union, parts)
         here = links.filter(F.col("g") == g).select("child", "parent")
         # With earlier rows: the mean over the child's parents of each one's kinship.
-        old = cut(here.join(kin, here["parent"] == kin["i"]).groupBy(F.col("child").alias("i"), "j").agg((F.sum("phi") / 2).alias("phi")).filter(F.col("phi") > bound))
+        old = kept(here.join(kin, here["parent"] == kin["i"]).groupBy(F.col("child").alias("i"), "j").agg((F.sum("phi") / 2).alias("phi")).filter(F.col("phi") > bound))
         # With rows of this level: the lower row's kinship with the higher row's parents.
         low, high = old.select(F.col("i").alias("k"), F.col("j").alias("parent"), "phi"), here.select(F.col("child").alias("i"), "parent")
         new = low.join(high, "parent").filter("k < i").groupBy("i", F.col("k").alias("j")).agg((F.sum("phi") / 2).alias("phi")).filter(F.col("phi") > bound)
-        level = ped.people.filter(F.col("generation") == g)
+        level = people.filter(F.col("level") == g)
         bred = level.filter("m IS NOT NULL OR f IS NOT NULL").select(F.col("row").alias("i"), "m", "f")
         parents = kin.select(F.col("i").alias("m"), F.col("j").alias("f"), F.col("phi").alias("pphi"))
         own = bred.join(parents, ["m", "f"], "left").select("i", F.col("i").alias("j"), ((1 + F.coalesce("pphi", F.lit(0.0))) / 2).alias("phi"))
         twins = level.filter("tw IS NOT NULL").select(F.col("row").alias("i"), F.col("tw").alias("t"))
         shared = twins.join(own.select("i", "phi"), "i").select(F.least("i", "t").alias("i"), F.greatest("i", "t").alias("j"), "phi", F.col("i").alias("by")).groupBy("i", "j").agg(F.max_by("phi", "by").alias("phi"))
-        off = new.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "phi").join(shared.select("i", "j"), ["i", "j"], "left_anti").union(shared)
-        swapped = lambda d: d.select(F.col("j").alias("i"), F.col("i").alias("j"), "phi")
-        kin = cut(kin.union(old).union(swapped(old)).union(off).union(swapped(off)).union(own))
-    cache[bound] = kin
-    return kin
+        off = kept(new.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "phi").join(shared.select("i", "j"), ["i", "j"], "left_anti").union(shared).union(own))
+        parts += [old.union(swapped(old)), off.union(swapped(off.filter("i <> j")))]
+    return reduce(DataFrame.union, parts)
 
 
-def inbreeding_of(people: DataFrame, edges: DataFrame, levels: DataFrame) -> DataFrame:
+def inbreeding_of(people: DataFrame, lines: dict[int, DataFrame]) -> DataFrame:
     """(row, f, d): F = sum over ancestors of t * t * D, less 1, and each row's within-family variance D.
 
-    people: row, m, f; levels: row, depth. t, the genome share a row has of an ancestor, is a sum over paths; levels are settled one by one.
+    people: row, m, f; lines: of lineage_of(). t, the genome share a row has of an ancestor, is a sum over paths. Each level is settled by a
+    step that reads its own part of the lineage alone.
     """
-    share = here = cut(people.select(F.col("row").alias("i"), F.col("row").alias("a"), F.lit(1.0).alias("t")))
-    while True:
-        here = cut(here.join(edges, here["a"] == edges["child"]).groupBy("i", F.col("parent").alias("a")).agg(F.sum(F.col("t") * 0.5).alias("t")))
-        if here.isEmpty():
-            break
-        share = share.union(here)
-    share = kept(share.groupBy("i", "a").agg(F.sum("t").alias("t")))
-    deep = cut(levels.select("row", "depth"))
-    last = deep.agg(F.max("depth")).first()[0] or 0
-    known = cut(people.join(deep.filter("depth = 0"), "row").select("row", F.lit(0.0).alias("f"), F.lit(1.0).alias("d")))
-    for level in range(1, last + 1):
-        rows = people.join(deep.filter(F.col("depth") == level).select("row"), "row").select("row", F.col("m").alias("pm"), F.col("f").alias("pf"))
+    parts = [people.filter("m IS NULL AND f IS NULL").select("row", F.lit(0.0).alias("f"), F.lit(1.0).alias("d"))]
+    both = F.col("pm").isNotNull() & F.col("pf").isNotNull()
+    for line in lines.values():
+        known = reduce(DataFrame.union, parts)
         fm, ff = known.select(F.col("row").alias("pm"), F.col("f").alias("fm")), known.select(F.col("row").alias("pf"), F.col("f").alias("ff"))
         one, two = 0.75 - F.coalesce("fm", "ff") / 4, 0.5 - (F.col("fm") + F.col("ff")) / 4
-        with_d = rows.join(fm, "pm", "left").join(ff, "pf", "left").select("row", "pm", "pf", F.when(F.col("pm").isNotNull() & F.col("pf").isNotNull(), two).otherwise(one).alias("d"))
-        above = share.join(known.select(F.col("row").alias("a"), "d"), "a").groupBy(F.col("i").alias("row")).agg(F.sum(F.col("t") * F.col("t") * F.col("d")).alias("s"))
-        new = with_d.join(above, "row", "left").select("row", F.when(F.col("pm").isNotNull() & F.col("pf").isNotNull(), F.col("s") + F.col("d") - 1).otherwise(0.0).alias("f"), "d")
-        known = cut(known.union(new))
-    return known
+        above = line.join(known.select(F.col("row").alias("a"), "d"), "a").groupBy(F.col("i").alias("row")).agg(F.sum(F.col("t") * F.col("t") * F.col("d")).alias("s"))
+        rows = people.join(above, "row").select("row", F.col("m").alias("pm"), F.col("f").alias("pf"), "s").join(fm, "pm", "left").join(ff, "pf", "left").withColumn("d", F.when(both, two).otherwise(one))
+        parts.append(kept(rows.select("row", F.when(both, F.col("s") + F.col("d") - 1).otherwise(0.0).alias("f"), "d")))
+    return reduce(DataFrame.union, parts)
 
 
 def inbreeding(ped: Pedigree) -> DataFrame:
     """(row, id, f): Wright's F; identical twins count as full sibs here."""
     if "_inbreeding" not in ped.__dict__:
-        found = inbreeding_of(ped.people.select("row", "m", "f"), ped.edges, depth(ped))
+        found = inbreeding_of(ped.people.select("row", "m", "f"), lineage(ped))
         ped._inbreeding = kept(ped.people.select("row", "id").join(found.select("row", "f"), "row"))
     return ped._inbreeding
 
@@ -116,12 +116,21 @@ def theta_per_generation(ped: Pedigree, min_kinship: float = 0.0) -> DataFrame:
 
 
 def _theta_by_pairs(ped: Pedigree, min_kinship: float) -> DataFrame:
+    return _pair_sums(ped, kinship(ped, min_kinship))
+
+
+def _pair_sums(ped: Pedigree, table: DataFrame) -> DataFrame:
     people = ped.people.select("row", "generation", "tw")
     first, second = people.toDF("i", "generation", "tw"), people.select(F.col("row").alias("j"), F.col("generation").alias("gj"))
-    pairs = kinship(ped, min_kinship).filter("i < j").join(first, "i").join(second, "j").filter("generation = gj AND NOT (tw IS NOT NULL AND tw = j)")
+    pairs = table.filter("i < j").join(first, "i").join(second, "j").filter("generation = gj AND NOT (tw IS NOT NULL AND tw = j)")
     return pairs.groupBy("generation").agg(F.sum("phi").alias("total"))
 
 
+def mean_kinship(ped: Pedigree, table: DataFrame) -> DataFrame:
+    """(generation, theta) of a kinship table (i, j, phi) made before; pairs that it lacks count as 0."""
+    return _theta(ped, _pair_sums(ped, table))
+
+
 def _plain_twins(ped: Pedigree) -> bool:
     """All twin links mutual, within a generation, and (after generation 0) of the same parents."""
     other = ped.people.select(F.col("row").alias("tw"), F.col("tw").alias("back"), F.col("m").alias("m2"), F.col("f").alias("f2"), F.col("generation").alias("g2"))
@@ -138,8 +147,10 @@ def _theta_by_shares(ped: Pedigree) -> DataFrame:
         single = single.join(reps.toDF(side, f"{side}r"), side, "left").drop(side).withColumnRenamed(f"{side}r", side)
     single = kept(single.select("row", "generation", "m", "f"))
     edges = kept(single.select(F.col("row").alias("child"), F.explode(F.array("m", "f")).alias("parent")).dropna())
-    deep = depth(ped).select("row", "depth")
-    solved = kept(inbreeding_of(single.select("row", "m", "f"), edges, deep.join(single.select("row"), "row")))
+    # Without twins to put together, the single genomes are the people.
+    alone = people.filter("row <> rep").limit(1).isEmpty()
+    lines = lineage(ped) if alone else lineage_of(edges, levels(ped).join(single.select("row"), "row"))
+    solved = kept(inbreeding_of(single.select("row", "m", "f"), lines))
     start = people.groupBy("generation", F.col("rep").alias("row")).agg(F.count(F.lit(1)).cast("double").alias("w"))
     w = contributions(ped, edges, start)
     whole = w.join(solved.select("row", "d"), "row").groupBy("generation").agg((F.sum(F.col("w") * F.col("w") * F.col("d")) / 2).alias("all"))

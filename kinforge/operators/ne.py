@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass, field
 from functools import reduce
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +11,8 @@ from pyspark.sql import functions as F
 from ..plans.store import kept
 from ..sources.pedigree import Pedigree
 from . import cohort as C
-from .kinship import inbreeding, spine, theta_per_generation
+from . import results as N
+from .kinship import inbreeding, mean_kinship, spine, theta_per_generation
 from .reach import ancestors, contributions, eqg
 
 
@@ -113,9 +112,9 @@ def founder_means(ped: Pedigree) -> DataFrame:
     return ped._founder_means
 
 
-def long_term_summary(ped: Pedigree, tol: float = 1e-6) -> DataFrame:
-    """One row (ne, asymptote_reached, n_iterations, max_delta_final, sum_c_squared)."""
-    means = founder_means(ped)
+def long_term_summary(ped: Pedigree, tol: float = 1e-6, mean_contributions: DataFrame | None = None) -> DataFrame:
+    """One row (ne, asymptote_reached, n_iterations, max_delta_final, sum_c_squared). mean_contributions: founder_means() made before."""
+    means = founder_means(ped) if mean_contributions is None else mean_contributions
     before = means.select((F.col("generation") + 1).alias("generation"), "founder", F.col("mean").alias("before"))
     steps = means.join(before, ["generation", "founder"]).groupBy("generation").agg(F.max(F.abs(F.col("mean") - F.col("before"))).alias("delta"))
     told = steps.agg(F.min(F.when(F.col("delta") < tol, F.col("generation"))).alias("stop"), F.max("generation").alias("last"))
@@ -138,9 +137,9 @@ def caballero_toro_accumulators(ped: Pedigree) -> DataFrame:
     return ped._ct
 
 
-def caballero_toro_series(ped: Pedigree) -> DataFrame:
-    """(generation, ne, mean_self_coancestry, n_founders): from generation 1 on; before it 0.5 stands."""
-    told = caballero_toro_accumulators(ped).filter("generation > 0").groupBy("generation").agg(F.avg(F.col("sums") / F.col("n")).alias("mean_self_coancestry"), F.count(F.lit(1)).alias("n_founders"))
+def caballero_toro_series(ped: Pedigree, ct_accumulators: DataFrame | None = None) -> DataFrame:
+    """(generation, ne, mean_self_coancestry, n_founders): from generation 1 on; before it 0.5 stands. ct_accumulators: caballero_toro_accumulators() made before."""
+    told = (caballero_toro_accumulators(ped) if ct_accumulators is None else ct_accumulators).filter("generation > 0").groupBy("generation").agg(F.avg(F.col("sums") / F.col("n")).alias("mean_self_coancestry"), F.count(F.lit(1)).alias("n_founders"))
     full = spine(ped).join(told, "generation", "left").select("generation", "mean_self_coancestry", F.coalesce("n_founders", F.lit(0)).cast("long").alias("n_founders"))
     return rate_series(full, "mean_self_coancestry", 0.5).join(full.select("generation", "n_founders"), "generation")
 
@@ -177,87 +176,90 @@ def warn_uniform_sex(ped: Pedigree, name: str) -> None:
         warnings.warn(f"{name}: sex is uniform ({r['a']}); was sex left out?", RuntimeWarning, stacklevel=3)
 
 
-@dataclass(frozen=True)
-class NeResult:
-    """An estimator's scalar, its other scalars, and its series as a list of dicts by generation or cohort."""
-
-    estimator: str
-    ne: float | None
-    scalars: dict[str, Any] = field(default_factory=dict)
-    series: list[dict[str, Any]] = field(default_factory=list)
-
-    def to_dict(self) -> dict[str, Any]:
-        return {"ne": self.ne, **self.scalars, "series": self.series}
-
-
-def _result(name: str, summary: DataFrame, series: DataFrame | None, key: str = "generation") -> NeResult:
-    one = summary.first().asDict()
-    rows = [r.asDict() for r in series.orderBy(key).collect()] if series is not None else []
-    return NeResult(name, one.pop("ne"), one, rows)
-
-
 def _harmonic_summary(series: DataFrame) -> DataFrame:
     return series.agg(harmonic(F.col("ne")).alias("ne"))
 
 
-def ne_inbreeding(ped: Pedigree) -> NeResult:
+def _told(summary: DataFrame, series: DataFrame, key: str = "generation") -> tuple[dict, dict[str, list]]:
+    """The summary's one row, and the series' columns in order of its key: as many rows as generations or cohorts."""
+    rows = [r.asDict() for r in series.orderBy(key).collect()]
+    return summary.first().asDict(), {c: [r[c] for r in rows] for c in series.columns}
+
+
+def ne_inbreeding(ped: Pedigree) -> N.NeInbreedingResult:
     s = inbreeding_series(ped)
-    return _result("ne_inbreeding", rate_summary(s, "mean_f"), s)
+    one, by = _told(rate_summary(s, "mean_f"), s)
+    return N.NeInbreedingResult(one["ne"], by["ne"], by["mean_f"], one["slope"], one["n_generations_used"])
 
 
-def ne_coancestry(ped: Pedigree, theta_per_gen: DataFrame | None = None) -> NeResult:
+def ne_coancestry(ped: Pedigree, K: DataFrame | None = None, theta_per_gen: DataFrame | None = None) -> N.NeCoancestryResult:
+    """theta_per_gen (generation, theta), else K, a kinship table made before, else mean kinship computed without one."""
+    if theta_per_gen is None and K is not None:
+        theta_per_gen = mean_kinship(ped, K)
     s = coancestry_series(ped, theta_per_gen)
-    return _result("ne_coancestry", rate_summary(s, "theta"), s)
+    one, by = _told(rate_summary(s, "theta"), s)
+    return N.NeCoancestryResult(one["ne"], by["ne"], by["theta"], one["slope"], one["n_generations_used"])
 
 
-def ne_individual_delta_f(ped: Pedigree) -> NeResult:
+def ne_individual_delta_f(ped: Pedigree) -> N.NeIndividualDeltaFResult:
     s = delta_f_series(ped)
-    return _result("ne_individual_delta_f", _harmonic_summary(s), s)
+    one, by = _told(_harmonic_summary(s), s)
+    return N.NeIndividualDeltaFResult(one["ne"], by["ne"], by["mean_eqg"], by["n_used"])
 
 
-def ne_variance_family_size(ped: Pedigree) -> NeResult:
+def ne_variance_family_size(ped: Pedigree) -> N.NeVarianceResult:
     warn_uniform_sex(ped, "ne_variance_family_size")
     s = variance_series(ped)
-    return _result("ne_variance_family_size", _harmonic_summary(s), s)
+    one, by = _told(_harmonic_summary(s), s)
+    return N.NeVarianceResult(one["ne"], by["ne"], *[by[c] for c in ("v_mm", "v_mf", "v_fm", "v_ff", "cov_m", "cov_f")])
 
 
-def ne_sex_ratio(ped: Pedigree) -> NeResult:
+def ne_sex_ratio(ped: Pedigree) -> N.NeSexRatioResult:
     warn_uniform_sex(ped, "ne_sex_ratio")
     s = sex_ratio_series(ped)
-    return _result("ne_sex_ratio", _harmonic_summary(s), s)
+    one, by = _told(_harmonic_summary(s), s)
+    return N.NeSexRatioResult(one["ne"], by["ne"], by["n_male"], by["n_female"])
 
 
-def ne_long_term_contributions(ped: Pedigree, tol: float = 1e-6) -> NeResult:
-    return _result("ne_long_term_contributions", long_term_summary(ped, tol), None)
+def ne_long_term_contributions(ped: Pedigree, mean_contributions: DataFrame | None = None, tol: float = 1e-6) -> N.NeLTCResult:
+    return N.NeLTCResult(**long_term_summary(ped, tol, mean_contributions).first().asDict())
 
 
-def ne_hill_overlapping(ped: Pedigree, vk_scale: bool = False) -> NeResult:
+def ne_hill_overlapping(ped: Pedigree, vk_scale: bool = False) -> N.NeHillResult:
     """Without birth years, or where a side has no dated links, this is ne_variance_family_size with an interval of 1."""
     if not ped.has_birth_year or C.generation_interval_record(ped) is None:
-        v = ne_variance_family_size(ped)
-        return NeResult("ne_hill_overlapping", v.ne, {"generation_interval": 1.0, "collapses_to_ne_v": True})
-    out = _result("ne_hill_overlapping", hill_summary(ped, vk_scale), hill_cohorts(ped, vk_scale), "cohort")
-    ages = [r.asDict() for r in C.age_table(ped).orderBy("side", "age").collect()]
-    return NeResult(out.estimator, out.ne, out.scalars | {"collapses_to_ne_v": False, "vk_scaled": vk_scale, "generation_interval": out.scalars["t"], "age_table": ages}, out.series)
-
-
-def ne_caballero_toro(ped: Pedigree) -> NeResult:
-    s = caballero_toro_series(ped)
-    return _result("ne_caballero_toro", rate_summary(s, "mean_self_coancestry"), s)
+        return N.NeHillResult(ne_variance_family_size(ped).ne, 1.0, True)
+    one, by = _told(hill_summary(ped, vk_scale), hill_cohorts(ped, vk_scale), "cohort")
+    ages: dict[str, list[int]] = {"ages_m": [], "offspring_count_m": [], "ages_f": [], "offspring_count_f": []}
+    for r in C.age_table(ped).orderBy("side", "age").collect():  # distinct ages; the links' side names mothers m, the record male parents
+        sex = "f" if r["side"] == "m" else "m"
+        ages[f"ages_{sex}"].append(r["age"])
+        ages[f"offspring_count_{sex}"].append(r["n"])
+    means = {name: one[name.lower()] for name in ("N1_m", "N1_f", "Vk_m", "Vk_f", "kbar_m", "kbar_f", "Ne_m", "Ne_f")}
+    series = {f"{name}_per_cohort": by[name.lower()] for name in ("ne", "Ne_m", "Ne_f", "Vk_m", "Vk_f", "N1_m", "N1_f")}
+    return N.NeHillResult(
+        one["ne"], one["t"], False, one["t_m"], one["t_f"], **means, vk_scaled=vk_scale, cohort_window=C.CohortWindow(one["c_min"], one["c_max"], one["reproductive_age_p95"]), n_eligible_cohorts=one["n_eligible_cohorts"],
+        n_excluded_right_censored=one["n_right"], n_excluded_left_censored=one["n_left"], n_unknown_birth_year=one["n_unknown"], cohort_years=by["cohort"], **series, age_table=ages, n_offspring_pairs=one["n_edges"],
+    )
+
+
+def ne_caballero_toro(ped: Pedigree, ct_accumulators: DataFrame | None = None) -> N.NeCaballeroToroResult:
+    s = caballero_toro_series(ped, ct_accumulators)
+    one, by = _told(rate_summary(s, "mean_self_coancestry"), s)
+    return N.NeCaballeroToroResult(one["ne"], by["ne"], by["mean_self_coancestry"], by["n_founders"], one["slope"])
 
 
 ESTIMATORS = [ne_inbreeding, ne_coancestry, ne_variance_family_size, ne_sex_ratio, ne_individual_delta_f, ne_long_term_contributions, ne_hill_overlapping, ne_caballero_toro]
 
 
-def compute_all_ne(ped: Pedigree, skip_ne_coancestry: bool = False, n_threads: int = 1, hill_vk_scale: bool = False) -> dict[str, NeResult]:
+def compute_all_ne(ped: Pedigree, skip_ne_coancestry: bool = False, n_threads: int = 1, hill_vk_scale: bool = False) -> dict[str, N.Record]:
     """All estimators over the same kept tables. n_threads is accepted for callers' sake: Spark runs each job's tasks side by side itself."""
     if n_threads < 1:
         raise ValueError("n_threads must be >= 1")
-    out = {}
+    out: dict[str, N.Record] = {}
     for estimate in ESTIMATORS:
         if estimate is ne_coancestry and skip_ne_coancestry:
-            empty = [{"generation": g, "ne": None, "theta": None} for g in range(ped.last_generation + 1)]
-            out["ne_coancestry"] = NeResult("ne_coancestry", None, {"slope": None, "n_generations_used": 0}, empty)
+            out["ne_coancestry"] = N.NeCoancestryResult.empty(ped.last_generation)
         else:
             out[estimate.__name__] = estimate(ped, hill_vk_scale) if estimate is ne_hill_overlapping else estimate(ped)
     return out

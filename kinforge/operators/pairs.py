@@ -184,5 +184,37 @@ def count_pairs(ped: Pedigree, max_degree: int = 2, scope: str = "subsample", mi
     """(code, n) of extract_pairs; scope 'full' counts before the sample's mask."""
     if scope not in ("full", "subsample"):
         raise ValueError(f"scope must be 'full' or 'subsample', not {scope!r}")
-    pairs = extract_pairs(ped, max_degree, min_kinship, scope=scope)
-    return with_all_codes(ped, pairs.groupBy("code").agg(F.count(F.lit(1)).alias("n")))
+    chosen = wanted_codes(check_degree(max_degree), min_kinship)
+    parts = []
+    if scope == "full" or ped.sample is None:
+        parts.append(_counted_in_groups(ped, chosen))
+        chosen = [c for c in chosen if c not in IN_GROUPS]
+    if chosen:
+        listed = extract_pairs(ped, max_degree, min_kinship, chosen, scope)
+        parts.append(listed.groupBy("code").agg(F.count(F.lit(1)).alias("n")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return with_all_codes(ped, out)
+
+
+#: Categories whose pairs are links, or all pairs within groups: their number follows from the groups' sizes.
+IN_GROUPS = {"MZ", "MO", "FO", "FS", "MHS", "PHS", *LINEAL}
+
+
+def _counted_in_groups(ped: Pedigree, codes: Iterable[str]) -> DataFrame:
+    """(code, n) of those of `codes` that need no list of pairs."""
+    links = ped.people.agg(F.count_if(F.expr("tw > row")).alias("MZ"), F.count("m").alias("MO"), F.count("f").alias("FO"))
+    single = ped.people.filter("tw IS NULL").select(F.col("orig_mother").alias("mo"), F.col("orig_father").alias("fa"))
+    sizes = single.groupingSets([["mo", "fa"], ["mo"], ["fa"]], "mo", "fa").agg(F.grouping_id().alias("by"), F.count(F.lit(1)).alias("k"))
+    pairs = lambda by, known: F.coalesce(F.sum(F.expr(f"CASE WHEN by = {by} AND {known} THEN k * (k - 1) div 2 END")), F.lit(0)).cast("long")
+    sibs = sizes.agg(pairs(0, "mo IS NOT NULL AND fa IS NOT NULL").alias("FS"), pairs(1, "mo IS NOT NULL").alias("MS"), pairs(2, "fa IS NOT NULL").alias("PS"))
+    sibs = sibs.select("FS", (F.col("MS") - F.col("FS")).alias("MHS"), (F.col("PS") - F.col("FS")).alias("PHS"))
+    out = None
+    for table in (links, sibs):
+        told = table.select(F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("n")) for c in table.columns])).alias("r")).select("r.code", "r.n")
+        out = told if out is None else out.unionByName(told)
+    for code, k in LINEAL.items():
+        if code in codes:
+            out = out.unionByName(reach(ped, k).agg(F.count(F.lit(1)).alias("n")).select(F.lit(code).alias("code"), "n"))
+    return out.filter(F.col("code").isin([c for c in codes if c in IN_GROUPS]))

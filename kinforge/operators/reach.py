@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.store import cut, kept
+from ..plans.store import kept
 from ..sources.pedigree import Pedigree
 
 
@@ -30,29 +31,72 @@ def reach(ped: Pedigree, k: int) -> DataFrame:
     return paths(ped, k).select("desc", "anc")
 
 
+def grows(ped: Pedigree) -> bool:
+    """Whether generations grow along every link, from 0 on."""
+    if "_grows" not in ped.__dict__:
+        gens = ped.people.select("row", "generation")
+        flat = ped.edges.join(gens.toDF("child", "g"), "child").join(gens.toDF("parent", "pg"), "parent").filter("pg >= g OR pg < 0")
+        ped._grows = flat.limit(1).isEmpty()
+    return ped._grows
+
+
 def height(ped: Pedigree) -> int:
     """A bound on the links of any line: the last generation where generations grow along every link, else counted link by link."""
     if "_height" not in ped.__dict__:
-        gens = ped.people.select("row", "generation")
-        flat = ped.edges.join(gens.toDF("child", "g"), "child").join(gens.toDF("parent", "pg"), "parent").filter("pg >= g OR pg < 0")
-        if flat.limit(1).isEmpty():
+        if grows(ped):
             ped._height = ped.last_generation
         else:
-            links, here = 0, cut(ped.edges.select(F.col("child").alias("row")).distinct())
+            links, here = 0, kept(ped.edges.select(F.col("child").alias("row")).distinct())
             while not here.isEmpty():
                 links += 1
-                here = cut(ped.edges.join(here, ped.edges["parent"] == here["row"]).select(F.col("child").alias("row")).distinct())
+                here = kept(ped.edges.join(here, ped.edges["parent"] == here["row"]).select(F.col("child").alias("row")).distinct())
             ped._height = links
     return ped._height
 
 
+def levels(ped: Pedigree) -> DataFrame:
+    """(row, level): a number that grows along every link: the generation if it does, else the depth."""
+    if "_levels" not in ped.__dict__:
+        ped._levels = ped.people.select("row", F.col("generation").alias("level")) if grows(ped) else kept(depth(ped).select("row", F.col("depth").alias("level")))
+    return ped._levels
+
+
+def lineage_of(edges: DataFrame, levels: DataFrame) -> dict[int, DataFrame]:
+    """By level: (i, a, t) of the level's rows with parents: each distinct ancestor, and the genome share that goes down all paths from it.
+
+    One step a level: a child's ancestors are its parents and theirs, so each pair is made once for each parent that has it, and a step reads
+    only the levels at which its parents are.
+    """
+    child, parent = levels.toDF("child", "g"), levels.toDF("parent", "pg")
+    links = kept(edges.select("child", "parent").join(child, "child").join(parent, "parent"))
+    at: dict[int, set[int]] = {}
+    for r in links.select("g", "pg").distinct().collect():  # levels squared at most
+        at.setdefault(r["g"], set()).add(r["pg"])
+    out: dict[int, DataFrame] = {}
+    for g in sorted(at):
+        here = links.filter(F.col("g") == g).select("child", "parent")
+        rows = here.select(F.col("child").alias("i"), F.col("parent").alias("a"), F.lit(0.5).alias("t"))
+        above = [out[p] for p in sorted(at[g]) if p in out]
+        if above:
+            far = reduce(DataFrame.union, above).withColumnRenamed("i", "parent").join(here, "parent")
+            rows = rows.union(far.select(F.col("child").alias("i"), "a", F.col("t") * 0.5))
+        out[g] = kept(rows.groupBy("i", "a").agg(F.sum("t").alias("t")))
+    return out
+
+
+def lineage(ped: Pedigree) -> dict[int, DataFrame]:
+    if "_lineage" not in ped.__dict__:
+        ped._lineage = lineage_of(ped.edges, levels(ped))
+    return ped._lineage
+
+
 def settled(ped: Pedigree, start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """start after as many steps as the longest line has links: one plan of joins with the links, cut every few steps."""
     here = start
     for k in range(1, height(ped) + 1):
         here = step(here)
         if k % 5 == 0:
-            here = cut(here)
+            here = kept(here)
     return here
 
 
@@ -73,8 +117,10 @@ def depth(ped: Pedigree) -> DataFrame:
 
 
 def n_descendants(ped: Pedigree) -> DataFrame:
-    """(row, id, value): descending paths; sums beyond 64 bits raise (ANSI)."""
-    return _along(ped, "child", "parent", F.sum(F.col("v") + 1), F.lit(0).cast("long"))
+    """(row, id, value): descending paths, each counted; where they exceed 64 bits the query fails and says so."""
+    total = F.try_sum(F.try_add(F.col("v"), F.lit(1)))
+    whole = F.count(F.col("v")) == F.count(F.try_add(F.col("v"), F.lit(1)))
+    return _along(ped, "child", "parent", F.when(total.isNotNull() & whole, total).otherwise(F.raise_error(F.lit("n_descendants: the number of paths exceeds 64 bits"))), F.lit(0).cast("long"))
 
 
 def eqg(ped: Pedigree) -> DataFrame:
@@ -84,15 +130,8 @@ def eqg(ped: Pedigree) -> DataFrame:
 
 def ancestors(ped: Pedigree) -> DataFrame:
     """(desc, anc): all distinct strict ancestors."""
-    if "_ancestors" not in ped.__dict__:
-        up = ped.edges.select(F.col("child").alias("anc"), "parent").distinct()
-        front = cut(reach(ped, 1))
-        seen = front
-        while not front.isEmpty():
-            front = cut(front.join(up, "anc").select("desc", F.col("parent").alias("anc")).distinct().join(seen, ["desc", "anc"], "left_anti"))
-            seen = seen.union(front)
-        ped._ancestors = kept(seen)
-    return ped._ancestors
+    parts = [t.select(F.col("i").alias("desc"), F.col("a").alias("anc")) for t in lineage(ped).values()]
+    return reduce(DataFrame.union, parts) if parts else ped.spark.createDataFrame([], "desc long, anc long")
 
 
 def n_ancestors(ped: Pedigree) -> DataFrame:
@@ -104,7 +143,7 @@ def n_ancestors(ped: Pedigree) -> DataFrame:
 def contributions(ped: Pedigree, edges: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
     """(generation, row, w): the summed genome shares that a generation's members have from each row (itself included): an adjoint sweep of links."""
     edges = ped.edges if edges is None else edges
-    start = cut(start if start is not None else ped.people.select("generation", "row", F.lit(1.0).alias("w")))
+    start = kept(start if start is not None else ped.people.select("generation", "row", F.lit(1.0).alias("w")))
 
     def step(here: DataFrame) -> DataFrame:
         up = here.join(edges, here["row"] == edges["child"]).select("generation", F.col("parent").alias("row"), (F.col("w") * 0.5).alias("w"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.store import cut, kept
+from ..plans.store import dropped, kept
 
 REQUIRED = ["id", "mother", "father", "twin", "sex", "generation"]
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -25,7 +25,7 @@ def _known(column: str):
 
 def numbered(df: DataFrame, column: str) -> DataFrame:
     """df with `row`: the rank of `column` from 0, by range partitions and their offsets (no single-task window)."""
-    dealt = cut(df.repartitionByRange(column).sortWithinPartitions(column).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    dealt = kept(df.repartitionByRange(column).sortWithinPartitions(column).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     sizes = sorted((r["_part"], r["n"], r["least"]) for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("least")).collect())
     rows, before = [], 0
     for part, n, least in sizes:
@@ -46,10 +46,10 @@ class Pedigree:
         raw = _as_frame(data, spark)
         missing = [c for c in REQUIRED if c not in raw.columns]
         if "id" in missing:
-            raise ValueError("input is missing the required 'id' column")
+            raise ValueError("there is no 'id' column, which every pedigree needs")
         _check_ids(raw, validate)
         if missing:
-            raise ValueError(f"input is missing required columns: {', '.join(missing)}")
+            raise ValueError(f"columns that every pedigree needs are absent: {', '.join(missing)}")
         self.spark = raw.sparkSession
         self.has_birth_year = "birth_year" in raw.columns
         if "row" not in raw.columns:
@@ -95,7 +95,7 @@ class Pedigree:
         """The full pedigree (raw, or made already), whose pairs are limited to and numbered by the rows of `part`."""
         rows = _as_frame(part, spark)
         if "id" not in rows.columns:
-            raise ValueError("from_subsample: df is missing the required 'id' column")
+            raise ValueError("the subsample needs an 'id' column")
         _check_ids(rows, validate)
         made = copy(full) if isinstance(full, Pedigree) else cls(full, spark, validate=validate)
         made.full = full if isinstance(full, Pedigree) else made
@@ -110,6 +110,12 @@ class Pedigree:
         made.sample = kept(made.people.select("row", "id").join(wanted, "id").select("row", "caller_row"))
         return made
 
+    def release(self) -> int:
+        """Deletes the tables kept beyond individuals, links and the sample, and forgets them; they are made anew when asked for. Returns how many went."""
+        own = {"spark", "has_birth_year", "people", "sample", "full", "edges", "last_generation", "age_edges"}
+        gone = [self.__dict__.pop(name) for name in [*self.__dict__] if name not in own]
+        return sum(map(dropped, gone))
+
     @cached_property
     def edges(self) -> DataFrame:
         """(child, parent, side): one row for each resolved parent link; selfing has two."""
@@ -148,7 +154,7 @@ def _as_frame(data: Any, spark: SparkSession | None) -> DataFrame:
     spark = spark or SparkSession.getActiveSession()
     columns = {k: list(data[k]) for k in [*REQUIRED, "birth_year"] if k in data}
     if "id" not in columns:
-        raise ValueError("input is missing the required 'id' column")
+        raise ValueError("there is no 'id' column, which every pedigree needs")
     ids = columns["id"]
     if any(isinstance(v, (list, tuple)) or getattr(v, "ndim", 0) for v in ids):
         raise ValueError("id must be 1-D")

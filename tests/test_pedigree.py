@@ -1,12 +1,15 @@
 """The model: validation, id resolution, subsamples; hand-made pedigrees with known relationships."""
 
+import json
+
 import pytest
 
 from kinforge.functions import registry as G
-from kinforge.operators import cohort, counts, kinship, ne, pairs, reach
+from kinforge.operators import cohort, counts, kinship, ne, pairs, reach, results
 from kinforge.sources.pedigree import Pedigree
 
 U = -1
+# Small pedigrees with known answers, the same arrays as recorded in FIXTURES.md.
 TINY = dict(mother=[U, U, U, U, 0, 0, 2, 2, 4, 5, 4], father=[U, U, U, U, 1, 1, 3, 3, 6, 7, 6], sex=[0, 1, 0, 1, 0, 0, 1, 1, 0, 0, 0], generation=[0, 0, 0, 0, 1, 1, 1, 1, 2, 2, 2])
 INBRED = dict(mother=[U] * 6 + [0, 0, 0, 6, 3, 9, 10], father=[U] * 6 + [1, 1, 2, 7, 8, 4, 5], sex=[0, 1, 1, 0, 1, 1, 0, 1, 1, 0, 0, 0, 0], generation=[0] * 6 + [1, 1, 1, 2, 2, 3, 3])
 SKIP = dict(mother=[U, U, U, U, 1, 1, 5, 3, 3, 7], father=[U, U, U, U, 0, 0, 4, 2, 6, 6], sex=[1, 0, 1, 0, 1, 0, 1, 0, 1, 0], generation=[0, 0, 0, 0, 1, 1, 2, 1, 3, 3])
@@ -89,6 +92,30 @@ def test_twins_children(spark):
     assert {(r["i"], r["j"]): r["phi"] for r in kinship.kinship(ped).collect()}[4, 4] == 0.75
 
 
+def test_plan_records():
+    assert len(G.REL_PLAN) == 23 and G.REL_PLAN["2C"] == G.EngineSupport(False, True) and G.REL_PLAN["FS"].streaming_exact
+    assert G.streaming_exact_codes() | G.streaming_approximate_codes() == set(G.CODES) and not G.streaming_exact_codes() & G.streaming_approximate_codes()
+    assert G.bfs_divergent_codes() == {c for c, p in G.REL_PLAN.items() if p.bfs_diverges_under_inbreeding} and len(G.bfs_divergent_codes()) == 4
+
+
+def test_flat_generations(spark):
+    """Supplied generations that don't grow: refused, unless levels are to be derived."""
+    flat = made(spark, mother=[U, U, 0, 0, 2], father=[U, U, 1, 1, 3], generation=[0] * 5)
+    with pytest.raises(ValueError, match="grow"):
+        kinship.kinship(flat)
+    k = {(r["i"], r["j"]): r["phi"] for r in kinship.kinship(flat, derive_levels=True).collect()}
+    assert k[4, 4] == 0.625 and k[2, 3] == 0.25 and values(kinship.inbreeding(flat), value="f")[4] == 0.25
+
+
+def test_too_many_paths(spark):
+    """Selfing doubles the paths at each step; beyond 64 bits the query says so."""
+    n = 70
+    ped = made(spark, mother=[U, *range(n - 1)], father=[U, *range(n - 1)], generation=list(range(n)))
+    with pytest.raises(Exception, match="exceeds 64 bits"):
+        reach.n_descendants(ped).collect()
+    assert values(reach.n_ancestors(made(spark, mother=[U, 0, 1], father=[U, 0, 1], generation=[0, 1, 2]))) == {0: 0, 1: 1, 2: 2}
+
+
 def test_threshold(spark):
     ped = made(spark, mother=[U, 0, 1, 2], father=[U] * 4, generation=[0, 1, 2, 3])
     k = {(r["i"], r["j"]): r["phi"] for r in kinship.kinship(ped, max_degree=2).collect()}
@@ -157,9 +184,22 @@ def test_closed_line(spark):
     c = [r["mean_self_coancestry"] for r in ne.caballero_toro_series(ped).orderBy("generation").collect()]
     assert c[0] is None and c[1:] == [0.5, 0.625, 0.6875, 0.75, 0.796875]
     long = ne.ne_long_term_contributions(ped)
-    assert (long.ne, long.scalars["n_iterations"], long.scalars["sum_c_squared"]) == (1, 1, 0.5)
+    assert (long.ne, long.n_iterations, long.sum_c_squared) == (1, 1, 0.5)
     every = ne.compute_all_ne(ped)
-    assert len(every) == 8 and every["ne_hill_overlapping"].scalars["collapses_to_ne_v"]
+    assert len(every) == 8 and every["ne_hill_overlapping"].collapses_to_ne_v
+    assert every["ne_inbreeding"].mean_f_per_gen == f and every["ne_caballero_toro"].n_founders_with_descendants_per_gen[1:] == [2] * 5
+    for r in every.values():
+        assert json.loads(json.dumps(r.to_dict()))["ne"] == r.ne
+    # What was made before is taken instead of made again.
+    k = kinship.kinship(ped)
+    by_k, by_theta = ne.ne_coancestry(ped, K=k), ne.ne_coancestry(ped, theta_per_gen=kinship.theta_per_generation(ped))
+    assert by_k.mean_theta_per_gen == pytest.approx(by_theta.mean_theta_per_gen, nan_ok=True) and by_k.ne == pytest.approx(every["ne_coancestry"].ne)
+    assert ne.ne_long_term_contributions(ped, mean_contributions=ne.founder_means(ped)) == every["ne_long_term_contributions"]
+    assert ne.ne_caballero_toro(ped, ct_accumulators=ne.caballero_toro_accumulators(ped)) == every["ne_caballero_toro"]
+    skipped = ne.compute_all_ne(ped, skip_ne_coancestry=True)["ne_coancestry"]
+    assert skipped == results.NeCoancestryResult.empty(5) and skipped.to_dict()["mean_theta_per_gen"] == [None] * 6
+    assert ped.release() > 5 and not [x for x in ped.__dict__ if x.startswith("_")]
+    assert [r["mean_f"] for r in ne.mean_f(ped).orderBy("generation").collect()] == f
 
 
 def test_hill(spark):
@@ -168,7 +208,8 @@ def test_hill(spark):
     assert ne.ne_hill_overlapping(balanced).ne == pytest.approx(80)
     skewed = made(spark, father=[U] * 4 + [0] * 4, mother=[U] * 4 + [2] * 4, **base)
     r = ne.ne_hill_overlapping(skewed)
-    assert r.ne == pytest.approx(16) and r.series[0]["vk_m"] == 8
+    assert r.ne == pytest.approx(16) and r.Vk_m_per_cohort[0] == 8 and r.cohort_years[0] == 1900
+    assert r.to_dict()["age_table"] == {"ages_m": [10], "offspring_count_m": [4], "ages_f": [10], "offspring_count_f": [4]} and r.cohort_window.c_min == 1900 and r.n_offspring_pairs == 8
     with pytest.warns(RuntimeWarning):
         assert ne.ne_sex_ratio(made(spark, father=[U, U, 1], mother=[U, U, 0], generation=[0, 0, 1])).ne is None
 
