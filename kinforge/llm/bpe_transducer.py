@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import chunks, free_name, held, text_bytes
+from .common import chunks, free_name, held, text_bytes, trimmed
 from .textscan import SPACE, WordTable, words
 
 #: Bytes that a Python worker may remember words in, and bytes of text it looks up together; only speed depends on them.
-MEMORY, SLICE = 64 << 20, 2 << 20
+MEMORY, SLICE = 32 << 20, 1 << 20
 #: Symbols encoded at a time beyond the lookahead, and the characters of a word from which it is read in pieces.
 BLOCK, LONG = 4096, 1 << 16
 #: Pre-tokens up to this size step together and are remembered.
@@ -393,6 +393,7 @@ def encoded(docs: DataFrame, path: str, column: str = "text", keep_ids: bool = F
                 if keep_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *columns], names=[*batch.schema.names, *names])
+        trimmed()
 
     return docs.mapInArrow(run, schema)
 

@@ -103,11 +103,16 @@ def released() -> None:
     if _held:
         _held.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # not glibc
-            pass
+        trimmed()
+
+
+def trimmed() -> None:
+    """Gives freed memory back to the system: an executor has more workers than tasks at times, and idle ones should be small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def per_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:

@@ -5,10 +5,12 @@ grows the radius of its segment searches one segment at a time: with radius r do
 within m * (r + 1) + j - 1 bits has been met. It stops once the k-th verified distance is at most that bound, so the answer is exact, ties included.
 
 All rows are indexed: each task indexes slices of at most `slice_rows` rows and answers a block of queries on it; the best k of all slices are
-merged. Queries (ids divisible by `every`) come in blocks of at most `block` codes, so what is broadcast has a fixed bound.
+merged. Queries (ids divisible by `every`) come in blocks of at most `block` codes, so what is broadcast at a time has a fixed bound; a search
+touches only the rows that its probes meet, never the whole slice.
 
 Defined results: rows with a null or empty vector or a null id have no code and take no part; missing or null dimensions are unset bits;
-a row is no neighbour of its own id; equal distances rank by id; repeated rows count once. With fewer than k others, all are returned.
+a row is no neighbour of its own id; equal distances rank by id; repeated rows count once. With fewer than k others, all are returned. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -55,12 +57,16 @@ class Slice:
         self.m = self.parts.shape[1]
         self.order = [np.argsort(self.parts[:, s], kind="stable") for s in range(self.m)]
         self.first = [np.searchsorted(self.parts[o, s], np.arange((1 << SEGMENT_BITS) + 1)) for s, o in enumerate(self.order)]
+        self.by_id = np.argsort(ids, kind="stable")
+        self.sorted_ids = ids[self.by_id]
+        self.seen, self.turn = np.zeros(len(ids), np.int64), 0  # a row counts as seen in the query whose turn it names
         self.masks = [np.array([sum(1 << b for b in c) for c in combinations(range(SEGMENT_BITS), r)] or [0], np.int64) for r in range(SEGMENT_BITS + 1)]
 
     def search(self, own: int, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the k nearest other ids by (distance, id)."""
-        seen = np.zeros(len(self.ids), bool)
-        seen[self.ids == own] = True
+        self.turn += 1
+        seen, turn = self.seen, self.turn
+        seen[self.by_id[np.searchsorted(self.sorted_ids, own, "left") : np.searchsorted(self.sorted_ids, own, "right")]] = turn
         near_ids, near_d = np.zeros(0, np.int64), np.zeros(0, np.int64)
         parts = code.view(">u2").astype(np.int64)
         for radius in range(SEGMENT_BITS + 1):
@@ -71,9 +77,9 @@ class Slice:
                 if size.any():
                     at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
                     rows = self.order[s][at]
-                    rows = rows[~seen[rows]]
+                    rows = rows[seen[rows] != turn]
                     if len(rows):
-                        seen[rows] = True
+                        seen[rows] = turn
                         d = np.bitwise_count(self.packed[rows] ^ code).sum(1, dtype=np.int64)
                         near_ids, near_d = np.append(near_ids, self.ids[rows]), np.append(near_d, d)
                         best = np.lexsort((near_ids, near_d))[:k]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from .common import chunks, free_name, released, row_texts, text_bytes, written
+from .common import chunks, free_name, released, text_bytes, trimmed, written
 from .simhash_index import components, fingerprint, links
 from .textscan import LOWER, SPACE, Rolling, mixed, word_hashes, words
 
@@ -70,10 +70,14 @@ def surveyed(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         released()
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1)))
-            fps = np.array([fingerprint(t, SHINGLE) for t in row_texts(batch.column(1))], np.uint64).view(np.int64)
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps), pa.array(map(parity_bits, sets), pa.binary())]
+            sizes, bits = [], []
+            for s in shingle_sets(batch.column(1)):
+                sizes.append(len(s))
+                bits.append(parity_bits(s))
+            fps = np.fromiter((fingerprint(t.as_py() or b"", SHINGLE) for t in batch.column(1).cast(pa.binary())), np.uint64, batch.num_rows).view(np.int64)
+            columns = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(fps), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "fp", "bits"])
+        trimmed()
 
     return texts.mapInArrow(run, "node long, n int, fp long, bits binary").dropDuplicates(["node"])
 
@@ -117,6 +121,7 @@ def posted(texts: DataFrame, known: np.ndarray, often: np.ndarray) -> DataFrame:
             if tokens:
                 columns = [np.concatenate(tokens).view(np.int64), np.concatenate(nodes), np.concatenate(places)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "place"])
+        trimmed()
 
     return texts.mapInArrow(run, "token long, node long, place long")
 
@@ -235,6 +240,7 @@ def candidates(lists: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
             bits.append(raw[cut:])
         if tables:
             yield from found(tables, bits)
+        trimmed()
 
     rows = lists.join(nodes, "node").select("token", "node", "place", "root", "bits")
     return rows.repartition("token").sortWithinPartitions("token", "place", "node").mapInArrow(run, "a long, b long").distinct()

@@ -3,14 +3,18 @@
 A 64-bit fingerprint is 8 bytes, each a token (position, value). Two fingerprints that differ in at most `max_bits` bits share at least
 8 - max_bits of these tokens. The index posts each distinct fingerprint under combinations of `probe` positional bytes taken from its first
 8 - (needed - probe) positions: a pair that shares `needed` bytes shares at least `probe` of them there. In each posting list the shared
-bytes of a pair are tallied, pairs that reach the guaranteed minimum are kept and verified by their Hamming distance. Lists longer than
-`list_limit` are not compared pair by pair: two fingerprints differ in at most 2r bits just if some 64-bit value is within r bits of both,
-so those fingerprints are linked through all values near them instead, which is linear in the list.
+bytes of a pair are tallied, pairs that reach the guaranteed minimum are kept and verified by their Hamming distance.
+
+A list of k fingerprints costs k * k / 2 tallies, so lists longer than `list_limit` (a dense cluster: by chance three bytes are shared by one pair in
+2 ** 24) are decided exactly in another way, linear in the list: two fingerprints differ in at most 2r bits just if some 64-bit value is within
+r bits of both, so these are linked through all values near them. For 4 bits that is 1 + 64 + 2016 = 2,081 rows a fingerprint; going on with
+count filtering over finer positions would take more, 70 combinations of four bytes times 70 of the other eight half bytes = 4,900 rows. Both ways
+give the links of the definition, whatever the limit is.
 
 Links run between distinct fingerprints; rows with the same fingerprint only share a node. Components come from star contraction.
 
 Defined results: null or empty text has fingerprint zero, linked like any other; rows with a null doc_id get the component of their fingerprint and
-don't name it unless all its rows are null (then component_id is null).
+don't name it unless all its rows are null (then component_id is null); repeated rows share a fingerprint; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_texts, written
@@ -122,16 +126,15 @@ def links(fps: DataFrame, max_bits: int = 4, probe: int = 3, list_limit: int = 4
     needed = 8 - max_bits
     if not 0 < probe <= needed:
         raise ValueError("max_bits leaves too few shared bytes for this probe")
-    postings = posted(fps, max_bits, probe)
-    sizes = postings.groupBy("combo", "bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    some = postings.join(sizes, ["combo", "bytes"])
+    if max_bits % 2:  # an odd bound: the two balls of radius r and r - 1 would be needed; tell them apart by parity
+        raise ValueError("max_bits must be even")
+    by_key = Window.partitionBy("combo", "bytes")
+    some = written(posted(fps, max_bits, probe).withColumn("n", F.count(F.lit(1)).over(by_key)).filter("n > 1"), "postings")
     lists = some.filter(F.col("n") <= list_limit).groupBy("combo", "bytes").agg(F.collect_list("fp").alias("fps")).select("fps")
     stars = lists.mapInArrow(_stars(max_bits, needed), "a long, b long")
     radius = (max_bits + 1) // 2
     hot = some.filter(F.col("n") > list_limit).select("fp").distinct()
     points = hot.mapInArrow(_balls(radius), "point long, fp long")
-    if max_bits % 2:  # an odd bound: the two balls of radius r and r - 1 would be needed; tell them apart by parity
-        raise ValueError("max_bits must be even")
     centres = points.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).filter("b < top")
     near = points.join(centres, "point").filter("fp != b").select(F.col("fp").alias("a"), "b").distinct()
     return stars.union(near)
@@ -171,8 +174,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, shingle: int = 4, seed:
     prints = written(fingerprints(docs, shingle, seed), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(nodes.select("fp"), max_bits, list_limit=list_limit))
-    rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join on root is of plain exchanges and a large component's rows can be split.
+    rooted = written(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     by_fp = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 

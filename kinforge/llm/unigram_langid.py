@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import chunks, free_name, held, id_crc32, row_texts, text_bytes, written
+from .common import chunks, free_name, held, id_crc32, row_texts, text_bytes, trimmed, written
 from .textscan import SPACE as SPACES
 from .textscan import WordTable
 from .textscan import words as text_words
@@ -43,7 +43,7 @@ MULTIPLY = 0x9E3779B97F4A7C15
 #: The log-likelihood, a character, of a word that a language can't make.
 IMPOSSIBLE = -745.0
 #: Bytes that a worker may remember words in, and the bytes of text it looks up together; only speed depends on them.
-MEMORY, SLICE = 64 << 20, 2 << 20
+MEMORY, SLICE = 32 << 20, 1 << 20
 #: Words up to this size step together; longer ones go one by one, by the same sums.
 TOGETHER = 256
 
@@ -340,6 +340,7 @@ def identified(docs: DataFrame, names: list[str], log_probs: np.ndarray, path: s
                     scores.append(float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum()))
                 columns = batch.slice(i, j - i).columns[: None if keep else 1]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema.fields])
+        trimmed()
 
     return docs.mapInArrow(run, schema)
 
