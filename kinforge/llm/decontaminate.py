@@ -118,8 +118,8 @@ def shingle_counts(docs: DataFrame, block: Block) -> dict[int, int]:
     return {r["h"] % 2**64: r["n"] for r in rows}
 
 
-def found(docs: DataFrame, block: Block, counts: dict[int, int]) -> DataFrame:
-    """doc_id, salt, n_words, hit (bytes of (first, end) int64 runs of hit words), items (those with occurring windows)."""
+def found(docs: DataFrame, block: Block, counts: dict[int, int], alone: bool) -> DataFrame:
+    """doc_id, salt, n_words, hit (bytes of (first, end) int64 runs of hit words), items (those with occurring windows); of a block that is alone, the rows of RESULT at once."""
     tables = []
     for k, entries in sorted(block.prefixes(counts).items()):
         tables.append((k, np.array(sorted(entries), np.uint64), [entries[h] for h in sorted(entries)]))
@@ -129,7 +129,7 @@ def found(docs: DataFrame, block: Block, counts: dict[int, int]) -> DataFrame:
         released()
         tables, item_words, spelled, ids, window = shared.value
         for batch in batches:
-            n_words, hits, items = [], [], []
+            n_words, hits, items, told = [], [], [], [[], [], [], []]
             for i, j, hashes, bounds, own in _scan(batch, 1):
                 runs: list[list[tuple[int, int]]] = [[] for _ in range(j - i)]
                 named: list[set[str]] = [set() for _ in range(j - i)]
@@ -159,11 +159,18 @@ def found(docs: DataFrame, block: Block, counts: dict[int, int]) -> DataFrame:
                                 runs[d] += [(zero + w - low, zero + w - low + length) for w in whole.tolist()]
                 for d in range(j - i):
                     n_words.append(int(bounds[d + 1] - bounds[d]))
-                    hits.append(np.array(merged(runs[d]), "<i8").tobytes())
-                    items.append(sorted(named[d]))
+                    if alone:
+                        for values, v in zip(told, verdict(runs[d], named[d], n_words[-1]), strict=True):
+                            values.append(v)
+                    else:
+                        hits.append(np.array(merged(runs[d]), "<i8").tobytes())
+                        items.append(sorted(named[d]))
+            if alone:
+                yield told_batch(batch.column(0), pa.array(n_words, pa.int64()), told, batch.column(2))
+                continue
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "salt", "n_words", "hit", "items"])
 
-    return docs.select("doc_id", "text", "salt").mapInArrow(run, "doc_id long, salt long, n_words long, hit binary, items array<string>")
+    return docs.select("doc_id", "text", "salt").mapInArrow(run, RESULT if alone else "doc_id long, salt long, n_words long, hit binary, items array<string>")
 
 
 def complete(same: np.ndarray, length: int) -> np.ndarray:
@@ -181,18 +188,26 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def verdicts(batches: Iterator[pa.RecordBatch], share: int = 20) -> Iterator[pa.RecordBatch]:
+def verdict(runs: list[tuple[int, int]], items: set[str], n_words: int, share: int = 20) -> tuple[int, int, str, bool]:
+    """n_hit, n_items, items_sha256, contaminated."""
+    n_hit = sum(b - a for a, b in merged(runs))
+    return n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n_hit > 0 and share * n_hit >= n_words
+
+
+def told_batch(doc_id: pa.Array, n_words: pa.Array, told: list[list], salt: pa.Array) -> pa.RecordBatch:
+    columns = [pa.array(v, t) for v, t in zip(told, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
+    return pa.RecordBatch.from_arrays([doc_id, n_words, *columns, salt], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "salt"])
+
+
+def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (doc_id, n_words, hits, items: lists over the blocks; salt)."""
     for batch in batches:
-        rows = batch.to_pylist()
-        out: list[list] = [[], [], [], []]
-        for r in rows:
-            runs = merged([tuple(x) for h in r["hits"] for x in np.frombuffer(h, "<i8").reshape(-1, 2).tolist()])
-            items = sorted(set(r["items"]))
-            n_hit = sum(b - a for a, b in runs)
-            for values, v in zip(out, (n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0 and share * n_hit >= r["n_words"]), strict=True):
+        told: list[list] = [[], [], [], []]
+        for r in batch.to_pylist():
+            runs = [tuple(x) for h in r["hits"] for x in np.frombuffer(h, "<i8").reshape(-1, 2).tolist()]
+            for values, v in zip(told, verdict(runs, set(r["items"]), r["n_words"]), strict=True):
                 values.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], batch.column(4)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "salt"])
+        yield told_batch(batch.column(0), batch.column(1), told, batch.column(4))
 
 
 def blocks_of(benchmark: DataFrame, window: int, shingle: int, block_words: int) -> Iterator[Block]:
@@ -213,16 +228,16 @@ def blocks_of(benchmark: DataFrame, window: int, shingle: int, block_words: int)
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = 500_000) -> DataFrame:
     """contamination() with salt, the text's xxhash64: rows that share a doc_id have each their own verdict."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("salt"))
-    parts = [found(docs, b, shingle_counts(docs, b)) for b in blocks_of(benchmark, window, shingle, block_words)]
+    blocks = list(blocks_of(benchmark, window, shingle, block_words))
+    parts = [found(docs, b, shingle_counts(docs, b), len(blocks) == 1) for b in blocks]
     if len(parts) == 1:
-        rows = parts[0].select("doc_id", "n_words", F.array("hit").alias("hits"), "items", "salt")
-    else:
-        # One pass a block over the same rows: put each row's parts together by its id and text; equal rows come back as often as they were.
-        both = parts[0].withColumn("first", F.lit(1))
-        for p in parts[1:]:
-            both = both.union(p.withColumn("first", F.lit(0)))
-        found_all = both.groupBy("doc_id", "salt", "n_words").agg(F.collect_list("hit").alias("hits"), F.flatten(F.collect_list("items")).alias("items"), F.sum("first").cast("int").alias("times"))
-        rows = found_all.withColumn("time", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("doc_id", "n_words", "hits", "items", "salt")
+        return parts[0]
+    # One pass a block over the same rows: put each row's parts together by its id and text; equal rows come back as often as they were.
+    both = parts[0].withColumn("first", F.lit(1))
+    for p in parts[1:]:
+        both = both.union(p.withColumn("first", F.lit(0)))
+    found_all = both.groupBy("doc_id", "salt", "n_words").agg(F.collect_list("hit").alias("hits"), F.flatten(F.collect_list("items")).alias("items"), F.sum("first").cast("int").alias("times"))
+    rows = found_all.withColumn("time", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("doc_id", "n_words", "hits", "items", "salt")
     return rows.mapInArrow(verdicts, RESULT)
 
 

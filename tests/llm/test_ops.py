@@ -427,8 +427,87 @@ def test_null_ids_and_repeated_rows(spark):
     assert len(one) == 5 and sorted(r["n_removed"] for r in one) == [0, 0] + [len(long)] * 3
     two = phrase_dedup.op2_phrases(docs).collect()
     assert len(two) == 5 and sorted((r["doc_id"] or -1, r["n_removed"]) for r in two) == [(-1, 0), (-1, 0), (7, 0), (7, 60), (7, 60)]
-    assert len(simhash_index.op8_simhash(docs).collect()) == 5 and len(backoff_lm.op6_backoff_lm(docs).collect()) == 5
-    assert [r["start"] for r in dac_store.op4_dac(docs, BPE).orderBy("start").collect()][0] == 0
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
+    bench = spark.createDataFrame([(None, long), ("i", "other"), ("i", "other")], "item_id string, text string")
+    three = decontaminate.op3_decontaminate(docs, bench).collect()
+    assert sorted((*key(r), r["n_words"], r["n_hit"], r["n_items"]) for r in three) == [(False, 7, 1, 1, 1), (False, 7, 60, 0, 0), (False, 7, 60, 0, 0), (True, 0, 0, 0, 0), (True, 0, 60, 0, 0)]
+    model = Tokenizer.from_file(BPE)
+    sizes = [len(model.encode(t, add_special_tokens=False).ids) for t in (long, "other", "")]
+    four = dac_store.op4_dac(docs, BPE).collect()
+    assert sorted((*key(r), r["n_tokens"]) for r in four) == sorted([(True, 0, sizes[0] + 1), (False, 7, sizes[0] + 1), (False, 7, sizes[0] + 1), (False, 7, sizes[1] + 1), (True, 0, 1)])
+    starts = sorted((r["start"], r["n_tokens"], r["doc_id"] is None) for r in four)
+    assert [a for a, _, _ in starts] == [0, *np.cumsum([n for _, n, _ in starts])[:-1].tolist()] and [x for _, _, x in starts] == [True, True, False, False, False]
+    five = feistel_pii.op5_pii(docs, b"k").collect()
+    assert sorted((*key(r), r["text"] or "", r["n_values"]) for r in five) == sorted([(True, 0, long, 0), (False, 7, long, 0), (False, 7, long, 0), (False, 7, "other", 0), (True, 0, "", 0)])
+    six = backoff_lm.op6_backoff_lm(docs).collect()
+    trained = [zlib.crc32(b"") % 7 != 2, zlib.crc32(b"7") % 7 != 2]
+    assert sorted((*key(r), r["n_tokens"], r["held_out"]) for r in six) == sorted([(True, 0, 61, not trained[0]), (False, 7, 61, not trained[1]), (False, 7, 61, not trained[1]), (False, 7, 2, not trained[1]), (True, 0, 1, not trained[0])])
+    seven = bpe_transducer.op7_bpe(docs, BPE).collect()
+    assert sorted((*key(r), r["n_tokens"]) for r in seven) == sorted([(True, 0, sizes[0]), (False, 7, sizes[0]), (False, 7, sizes[0]), (False, 7, sizes[1]), (True, 0, 0)])
+    eight = simhash_index.op8_simhash(docs).collect()
+    assert sorted((*key(r), r["component_id"]) for r in eight if r["component_id"] is not None) == [(False, 7, 7), (False, 7, 7), (False, 7, 7), (True, 0, 7)] and len(eight) == 5
+    nine = unigram_langid.op9_langid(docs, vocabulary("piece_bpe_32k.model")).collect()
+    assert sorted((*key(r), r["held_out"]) for r in nine) == sorted([(k is None, k or 0, zlib.crc32(str(k or "").encode()) % 3 == 1) for k in (None, 7, 7, 7, None)])
+
+
+def test_segments(spark):
+    """Several segments a task, documents longer than one, and ids by chunks of other sizes."""
+    rows = texts()
+    model = Tokenizer.from_file(BPE)
+    want, start = {}, 0
+    for i, t in enumerate(rows):
+        ids = [*model.encode(t or "", add_special_tokens=False).ids, 1]
+        want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    for bits in (5, 12):
+        segments = dac_store.write_segments(table(spark, rows), BPE, bits=bits, segment_ids=150)
+        assert segments.count() > 20 and segments.groupBy("part").count().agg({"count": "max"}).first()[0] > 3
+        assert {i: tuple(r)[1:] for i, r in by_id(dac_store.read_documents(segments)).items()} == want
+
+
+def test_langid_brute_force(spark):
+    """The whole query on a small table: learning by enumerated segmentations, then scores; ties go to the first language; many languages."""
+    path = vocabulary("piece_bpe_32k.model")
+    ids, fallback, _ = unigram_langid.pieces(path)
+    rows = [(i, t, l) for i, (t, l) in enumerate([("ab cab", "x"), ("bad cab", "y"), ("ab cab", "x"), ("dab bad", "y"), ("cab", None), ("éa b", "x"), ("7 7", "y"), (None, "x"), ("ab bad ab", "y"), ("dab", "x")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = by_id(unigram_langid.op9_langid(docs, path))
+
+    def segmentations(t):
+        if not t:
+            yield []
+        for k in range(1, len(t) + 1):
+            if (p := ids.get(t[:k])) is not None:
+                yield from ([p, *r] for r in segmentations(t[k:]))
+            elif k == 1:
+                yield from ([*(fallback[b] for b in t[0].encode()), *r] for r in segmentations(t[1:]))
+
+    size = max([*ids.values(), *fallback]) + 1
+    p = {l: Counter() for l in "xy"}
+    prob = lambda l, i: (p[l][i] + 0.1) / (sum(p[l].values()) + 0.1 * size) if p[l] else 1 / size
+    for _ in range(unigram_langid.ROUNDS):
+        counts = {l: Counter() for l in "xy"}
+        for i, t, l in rows:
+            if t and l and zlib.crc32(str(i).encode()) % 3 != 1:
+                for w in t.split():
+                    every = [(s, np.prod([prob(l, x) for x in s])) for s in segmentations("▁" + w)]
+                    total = sum(v for _, v in every)
+                    for s, v in every:
+                        for x in s:
+                            counts[l][x] += v / total
+        p = counts
+    for i, t, _ in rows:
+        if not t or not any(map(str.isalpha, t)):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        ll = {l: sum(log10(sum(np.prod([prob(l, x) for x in s]) for s in segmentations("▁" + w))) for w in t.split()) for l in "xy"}
+        best = max(sorted(ll), key=ll.get)
+        assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(1 / sum(10 ** (v - ll[best]) for v in ll.values()), rel=1e-6), i
+    same = spark.createDataFrame([(i, "one two", l) for i in range(12) for l in ("b", "a")], "doc_id long, text string, lang string")
+    assert {(r["lang_pred"], round(r["score"], 9)) for r in unigram_langid.op9_langid(same, path).collect()} == {("a", 0.5)}
+    dirty = spark.range(3000).selectExpr("id doc_id", "'some text here' text", "concat('l', id) lang").unionByName(docs.select((docs["doc_id"] + 9000).alias("doc_id"), "text", docs["lang"]))
+    names, _ = unigram_langid.learn(dirty, path)
+    assert len(names) == unigram_langid.MAX_LANGS and {"x", "y"} <= set(names)
 
 
 def test_phones():
