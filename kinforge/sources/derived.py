@@ -33,6 +33,15 @@ def pedigree(spark: SparkSession, sf_dir: str) -> Pedigree:
     return known[sf_dir]
 
 
+def tiled(spark: SparkSession, sf_dir: str, individuals: int) -> Pedigree:
+    """At least so many individuals: the derived pedigree side by side with copies of itself, for timing at the sizes of the baseline."""
+    one = rows(spark, sf_dir)
+    n = one.count()
+    copies = spark.range(-(-individuals // n)).select((F.col("id") * n).alias("shift"))
+    moved = [F.when(F.col(c) >= 0, F.col(c) + F.col("shift")).otherwise(F.col(c)).alias(c) if c in ("row", "id", "mother", "father", "twin") else F.col(c) for c in one.columns]
+    return Pedigree(one.crossJoin(F.broadcast(copies)).select(*moved), validate=False)  # broadcast: one row a copy
+
+
 def subsample(spark: SparkSession, sf_dir: str) -> Pedigree:
     """Limited to two individuals of three, numbered by descending id."""
     known = spark.__dict__.setdefault("_kinforge_samples", {})
