@@ -33,9 +33,19 @@ def written(df: DataFrame, label: str, options: dict | None = None) -> DataFrame
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **(options or {})).parquet(path)
+    spark.__dict__.setdefault("_llm_written", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(spark: SparkSession) -> int:
+    """Deletes the tables that this session has written, once no result that reads them is wanted any more; their number."""
+    paths = spark.__dict__.pop("_llm_written", [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

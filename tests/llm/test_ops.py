@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from math import log10
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -565,3 +567,31 @@ def test_forward_long_words():
     for n in (20, 31, 100, 500, 1000):
         got = f.words([b"z" * n])[0]
         assert np.allclose(got, [-8 * (n + 1), -16 * (n + 1)]) and np.allclose(got, f.word(b"z" * n)), n
+
+
+def test_texts_above_a_slice(spark):
+    """Ops 4, 6, 7, 8 and 9 on a text above their slices, beside short ones; and the session's tables go when told to."""
+    r = random.Random(12)
+    vocab = [("".join(r.choice("abcdeéß") for _ in range(r.randint(2, 9)))) + r.choice(["", "", ".", "!"]) for _ in range(3000)]
+    rows = ["short text", " ".join(r.choice(vocab) for _ in range(260_000)), "short text", " ".join(vocab[:300])]
+    assert len(rows[1].encode()) > 1_500_000
+    docs, model, start = table(spark, rows), Tokenizer.from_file(BPE), 0
+    four, seven = by_id(dac_store.op4_dac(docs, BPE)), by_id(bpe_transducer.op7_bpe(docs, BPE))
+    for i, t in enumerate(rows):
+        ids = model.encode(t, add_special_tokens=False).ids
+        assert tuple(four[i])[1:] == (start, len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes()))
+        assert tuple(seven[i])[1:] == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(model.decode(ids, skip_special_tokens=False).encode()))
+        start += len(ids) + 1
+    six = by_id(backoff_lm.scored(docs, backoff_lm.F.lit(True), batch_bytes=100_000))
+    assert [six[i]["n_tokens"] for i in range(4)] == [len(t.split()) + 1 for t in rows] and six[0]["score"] == six[2]["score"]
+    eight = by_id(simhash_index.op8_simhash(docs))
+    assert [int(eight[i]["fingerprint"], 16) for i in range(4)] == [simhash_index.fingerprint(t.encode()) for t in rows] and eight[2]["component_id"] == 0
+    ws = rows[1].split()
+    bits = np.zeros(64, int)
+    for k in range(len(ws) - 3):
+        h = xxhash.xxh64_intdigest(" ".join(ws[k : k + 4]).encode(), 42)
+        bits += np.array([h >> b & 1 for b in range(64)])
+    assert simhash_index.fingerprint(rows[1].encode()) == sum(1 << b for b in range(64) if 2 * bits[b] > len(ws) - 3)
+    assert all(x["lang_pred"] in ("en", "de") for x in by_id(unigram_langid.op9_langid(docs, vocabulary("piece_bpe_32k.model"))).values())
+    paths = list(spark._llm_written)
+    assert common.discarded(spark) == len(paths) > 3 and not any(os.path.exists(p) for p in paths) and common.discarded(spark) == 0
