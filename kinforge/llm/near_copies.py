@@ -4,7 +4,7 @@ SimHash alone can't tell 0.8 exactly (such texts mostly differ in 5 to 15 of 64
 1. Operator 8's index links fingerprints of 5-word shingles that differ in at most 4 bits. Every linked pair is verified on the whole sets.
 2. In one order of all shingles (rarest first, by a sample; any order gives the same result) two sets of similarity 4/5 share one of the first
    n - ceil(4n/5) + 1 shingles of each. These prefixes are posted, and sets of different groups that meet in a posting list are candidates if
-   sizes, places, and 512 parity bits of each set allow the similarity (bits that differ are a lower bound of the shingles that do). In a long list,
+   sizes, places, and parity bits of each set allow the similarity (bits that differ are a lower bound of the shingles that do). In a long list,
    candidates are first taken as links for as long as the list lasts, so that a group of copies yields about as many pairs as it has members.
    Every candidate is verified; the lists of groups in which one failed are searched again for all remaining pairs.
 So links are exact and none is missed, and texts are only moved to verify a pair.
@@ -37,6 +37,8 @@ SENT = 1_000_000
 #: Lists of up to so many nodes are compared pair by pair at once; in longer ones each node is first compared with so many others.
 SMALL, BESIDE = 8, 8
 PARITY = 512
+#: Sets of more shingles than this, which so few bits tell little about, have as many parity bits for their pairs besides.
+LARGE, WIDE = 600, 4096
 
 
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -54,9 +56,9 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarra
                 yield rolling.of(np.array([a]), np.array([b])) if b > a else np.zeros(0, np.uint64)
 
 
-def parity_bits(s: np.ndarray) -> bytes:
-    """For each of PARITY parts of the hash space, whether an odd number of the set's shingles is in it."""
-    return np.packbits(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+def parity_bits(s: np.ndarray, parts: int = PARITY) -> bytes:
+    """For each of so many (a power of 2) parts of the hash space, whether an odd number of the set's shingles is in it."""
+    return np.packbits(np.bincount((s >> np.uint64(65 - parts.bit_length())).astype(np.int64), minlength=parts) & 1).tobytes()
 
 
 def node_of(column: str = "text") -> Column:
@@ -65,21 +67,22 @@ def node_of(column: str = "text") -> Column:
 
 
 def surveyed(texts: DataFrame) -> DataFrame:
-    """(node, n, fp, bits): the size of each node's set, its SimHash and its parity bits, of rows (node, text)."""
+    """(node, n, fp, bits, wide): the size of each node's set, its SimHash and its parity bits (wide: of large sets), of rows (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         released()
         for batch in batches:
-            sizes, bits = [], []
+            sizes, bits, wide = [], [], []
             for s in shingle_sets(batch.column(1)):
                 sizes.append(len(s))
                 bits.append(parity_bits(s))
+                wide.append(parity_bits(s, WIDE) if len(s) > LARGE else None)
             fps = np.fromiter((fingerprint(t.as_py() or b"", SHINGLE) for t in batch.column(1).cast(pa.binary())), np.uint64, batch.num_rows).view(np.int64)
-            columns = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(fps), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "fp", "bits"])
+            columns = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(fps), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "fp", "bits", "wide"])
         trimmed()
 
-    return texts.mapInArrow(run, "node long, n int, fp long, bits binary").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, n int, fp long, bits binary, wide binary").dropDuplicates(["node"])
 
 
 def common_shingles(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +135,25 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT else df
 
 
+def likely(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that may be alike by the parity bits of large sets too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            keep = np.ones(batch.num_rows, bool)
+            both = np.flatnonzero(np.array(batch.column(4).is_valid()) & np.array(batch.column(5).is_valid()))
+            x, y = (np.frombuffer(b"".join(batch.column(c).take(pa.array(both)).to_pylist()), np.uint64).reshape(len(both), WIDE // 64) for c in (4, 5))
+            keep[both] = 9 * (total[both] - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) >= 8 * total[both]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+
+    pairs = written(pairs, "likely")
+    needed = small_side(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    info = written(info.join(needed, "node", "left_semi").select("node", "n", "wide"), "wide")
+    one, two = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, alike) of the pairs of nodes: whether their whole sets have the similarity."""
     pairs = written(pairs, "pairs")
@@ -263,7 +285,8 @@ def linked(docs: DataFrame) -> DataFrame:
     same = full.join(named, "fp").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     near = links(named.select("fp"), MAX_BITS).withColumnRenamed("a", "fa").withColumnRenamed("b", "fb")
     near = near.join(named.select(F.col("fp").alias("fa"), F.col("least").alias("a")), "fa").join(named.select(F.col("fp").alias("fb"), F.col("least").alias("b")), "fb")
-    by_print = verified(same.union(near.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts)
+    by_print = same.union(near.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    by_print = verified(likely(by_print, full), texts)
     edges = [blanks, by_print.filter("alike").select("a", "b")]
     found = components(edges[0].union(edges[1]))
     # 2. What SimHash leaves: sets of different groups that share a prefix shingle.
@@ -274,17 +297,18 @@ def linked(docs: DataFrame) -> DataFrame:
     def nodes(found: DataFrame) -> DataFrame:
         return full.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bits")
 
-    tried = verified(candidates(lists, nodes(found), every=False), texts)
-    edges.append(tried.filter("alike").select("a", "b"))
+    tried = written(candidates(lists, nodes(found), every=False), "tried")
+    sure = verified(likely(tried, full), texts)
+    edges.append(sure.filter("alike").select("a", "b"))
     kept = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
     after = components(kept.union(edges[-1]))
-    failed = tried.filter("not alike")
+    failed = tried.join(edges[-1], ["a", "b"], "left_anti")
     if not failed.isEmpty():
         # A failed candidate had been taken as a link: search the groups that it had put together for all pairs.
         hoped = components(kept.union(tried.select("a", "b")))
         doubtful = failed.join(hoped, F.col("a") == F.col("node")).select("root").distinct()
         again = lists.join(small_side(hoped.join(doubtful, "root", "left_semi").select("node")), "node", "left_semi")
-        more = verified(candidates(again, nodes(after), every=True), texts).filter("alike").select("a", "b")
+        more = verified(likely(candidates(again, nodes(after), every=True), full), texts).filter("alike").select("a", "b")
         after = components(after.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     return after
 
