@@ -101,26 +101,36 @@ def sex_ratio_series(ped: Pedigree) -> DataFrame:
     return told.select("generation", F.when(both, 4.0 * F.col("n_male") * F.col("n_female") / (F.col("n_male") + F.col("n_female"))).alias("ne"), "n_male", "n_female")
 
 
-def founder_means(ped: Pedigree) -> DataFrame:
-    """(generation, founder, mean): the mean genome share from each founder (generation 0), for generations with members."""
-    if "_founder_means" not in ped.__dict__:
+def founder_shares(ped: Pedigree) -> DataFrame:
+    """(generation, founder, mean): the mean genome share from each founder (generation 0), where it is not 0."""
+    if "_founder_shares" not in ped.__dict__:
         founders = ped.people.filter("generation = 0").select(F.col("row").alias("founder"))
         sizes = ped.people.groupBy("generation").agg(F.count(F.lit(1)).alias("n"))
-        w = contributions(ped).select("generation", F.col("row").alias("founder"), "w")
-        every = sizes.crossJoin(founders)  # generations x founders: the table asked for
-        ped._founder_means = kept(every.join(w, ["generation", "founder"], "left").select("generation", "founder", (F.coalesce("w", F.lit(0.0)) / F.col("n")).alias("mean")))
-    return ped._founder_means
+        w = contributions(ped).select("generation", F.col("row").alias("founder"), "w").join(founders, "founder", "left_semi")
+        ped._founder_shares = kept(w.join(sizes, "generation").select("generation", "founder", (F.col("w") / F.col("n")).alias("mean")))
+    return ped._founder_shares
+
+
+def founder_means(ped: Pedigree) -> DataFrame:
+    """(generation, founder, mean): founder_shares with its zeros, for generations with members. As large as generations times founders: only to be looked at."""
+    founders = ped.people.filter("generation = 0").select(F.col("row").alias("founder"))
+    every = ped.people.select("generation").distinct().crossJoin(founders)
+    return every.join(founder_shares(ped), ["generation", "founder"], "left").select("generation", "founder", F.coalesce("mean", F.lit(0.0)).alias("mean"))
 
 
 def long_term_summary(ped: Pedigree, tol: float = 1e-6, mean_contributions: DataFrame | None = None) -> DataFrame:
-    """One row (ne, asymptote_reached, n_iterations, max_delta_final, sum_c_squared). mean_contributions: founder_means() made before."""
-    means = founder_means(ped) if mean_contributions is None else mean_contributions
-    before = means.select((F.col("generation") + 1).alias("generation"), "founder", F.col("mean").alias("before"))
-    steps = means.join(before, ["generation", "founder"]).groupBy("generation").agg(F.max(F.abs(F.col("mean") - F.col("before"))).alias("delta"))
+    """One row (ne, asymptote_reached, n_iterations, max_delta_final, sum_c_squared). mean_contributions: founder_shares() or founder_means() made before."""
+    means = founder_shares(ped) if mean_contributions is None else mean_contributions
+    # Each step from one generation with members to the next: the largest change of a founder's share, absent shares being 0.
+    there = ped.people.select("generation").distinct()
+    steps = there.join(there.select((F.col("generation") + 1).alias("generation")), "generation").crossJoin(F.broadcast(means.limit(1).select(F.lit(0.0).alias("none"))))  # one row, or none without founders
+    signed = means.union(means.select(F.col("generation") + 1, "founder", -F.col("mean")))
+    change = signed.groupBy("generation", "founder").agg(F.abs(F.sum("mean")).alias("d")).groupBy("generation").agg(F.max("d").alias("d"))
+    steps = steps.join(change, "generation", "left").select("generation", F.coalesce("d", "none").alias("delta"))
     told = steps.agg(F.min(F.when(F.col("delta") < tol, F.col("generation"))).alias("stop"), F.max("generation").alias("last"))
     at = told.select(F.coalesce("stop", "last", F.lit(0)).alias("g"), F.col("stop").isNotNull().alias("reached"))
     squares = means.groupBy(F.col("generation").alias("g")).agg(F.sum(F.col("mean") * F.col("mean")).alias("c2"))
-    one = at.join(F.broadcast(squares), "g", "left").join(F.broadcast(steps.withColumnRenamed("generation", "g")), "g", "left")
+    one = at.join(F.broadcast(squares), "g", "left").join(F.broadcast(steps.withColumnRenamed("generation", "g")), "g", "left")  # a row a generation
     c2 = F.coalesce("c2", F.lit(0.0))
     return one.select(F.when(F.col("reached") & (c2 > 0), 1 / (2 * c2)).alias("ne"), F.col("reached").alias("asymptote_reached"), F.col("g").cast("int").alias("n_iterations"), F.col("delta").alias("max_delta_final"), c2.alias("sum_c_squared"))
 
