@@ -14,8 +14,19 @@ from kinforge.llm.common import NULL_ID, free_name, written
 from kinforge.llm.queries import pii_key, vocabulary
 
 
+#: Rows that Spark hands to a Python worker at a time, where the session has its default of 10,000: whole documents are large rows.
+BATCH_ROWS = 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language (9): null, empty and letterless texts go. A missing lang is filled with the prediction; a given one stays. Ties: the language first in order."""
+    _small_batches(spark)
     path = vocabulary("piece_bpe_32k.model")
     names, log_probs = unigram_langid.learn(docs.select("doc_id", "text", "lang").filter(~unigram_langid.held_out()), path)
     judged = unigram_langid.identified(docs, names, log_probs, path, keep=True)
@@ -26,11 +37,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (8), 5-word shingles at a similarity of 0.8 or more: the one of least doc_id (null ids last, ties by a hash of the row). Null, empty and blank texts are one group."""
+    _small_batches(spark)
     return near_copies.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages don't contaminate (3); null and empty texts stay. Rows of equal id and text go or stay together."""
+    _small_batches(spark)
     found = decontaminate.judged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     key, salt = free_name(docs.columns, "_key"), free_name(docs.columns, "_salt")
     id_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias(key)
@@ -40,6 +53,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by pseudonyms (5), equal values alike in all of them; n_chars follows the text. Null text stays null."""
+    _small_batches(spark)
     done = feistel_pii.pseudonymised(docs, pii_key(spark))
     if "n_chars" in docs.columns:
         changed = F.size(F.col(f"`{done.columns[-1]}`")) > 0
@@ -49,6 +63,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its token count, the digests of its ids and of the text decoded from them, and the ids (7). Null text: no ids. A column of docs that has one of these names stays, the result gets a `_`."""
+    _small_batches(spark)
     return bpe_transducer.encoded(docs, vocabulary("word_bpe_49k.json"), keep_ids=True)
 
 
