@@ -91,12 +91,15 @@ def unplanes(data: bytes) -> np.ndarray:
 
 
 def narrow(values: np.ndarray) -> bytes:
-    """Small counts as bytes; a list with a larger one as 64-bit. The first byte tells which."""
-    return b"\1" + values.astype(np.uint8).tobytes() if not len(values) or values.max() < 256 else b"\10" + values.astype("<i8").tobytes()
+    """Small counts as bytes; a list with a larger one as 64-bit. The first byte tells which, the next eight how many bytes they are before compression: a shuffle's own is poor at lists of small numbers."""
+    small = not len(values) or values.max() < 256
+    raw = values.astype(np.uint8 if small else "<i8").tobytes()
+    return (b"\1" if small else b"\10") + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def widened(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8 if data[0] == 1 else "<i8", offset=1).astype(np.int64)
+    raw = pa.decompress(data[9:], int.from_bytes(data[1:9], "little"), "zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8 if data[0] == 1 else "<i8").astype(np.int64)
 
 
 def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -374,7 +377,7 @@ def scored(docs: DataFrame, train, order: int = ORDER, priors: tuple[float, ...]
     for n in range(min(order, FREE), order + 1):
         if n > FREE:
             reports = texts.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(asking(n, shards), REPORT_SQL)
-        parts.append(written(reports.groupBy("shard").applyInArrow(answers, ANSWER), "answers"))
+        parts.append(written(reports.groupBy("shard").applyInArrow(answers, ANSWER), "answers", release=True))
         some = parts[-1].filter("batch >= 0").select("batch", "n", "shard", "totals")
         back = some if back is None else back.union(some)
     stats = parts[0].filter("batch = -1").agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).cast("long") for i in range(4)]).first()

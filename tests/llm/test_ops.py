@@ -1,13 +1,16 @@
 """The ten operators against brute force: random texts with repeats, and the odd cases (nulls, empty and long texts, ties, empty tables, extra columns)."""
 
+import contextlib
 import datetime
 import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from math import log10
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -329,6 +332,41 @@ def test_op6(docs):
             assert r["score"] == pytest.approx(sum(log10(p(tuple(t[max(0, k - order + 1) : k + 1]))) for k in range(len(t)))), (order, i)
 
 
+def shuffle_files(spark):
+    """Bytes of each shuffle file that lies on this machine's local disk."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    sizes = {}
+    for f in [f for d in dirs for f in Path(d.getPath()).glob("*/shuffle_*.data")]:
+        with contextlib.suppress(FileNotFoundError):  # it may go meanwhile
+            sizes[f.name] = f.stat().st_size
+    return sizes
+
+
+def test_op6_keeps_no_shuffle_of_written_tables(spark):
+    r, key = random.Random(5), common.CLEANUP
+    docs = table(spark, [" ".join(f"w{r.randrange(10**6)}" for _ in range(1000)) for _ in range(200)])
+    for setting in ("true", "false"):
+        spark.conf.set(key, setting)
+        before = shuffle_files(spark)
+        scored = backoff_lm.scored(docs, backoff_lm.F.lit(True), batch_bytes=100_000)
+        assert spark.conf.get(key) == setting
+        for _ in range(50):  # files go in the background
+            left = sum(v for k, v in shuffle_files(spark).items() if k not in before)
+            if left < 50_000:
+                break
+            time.sleep(0.1)
+        assert left < 50_000, left  # sums of bytes and of counts only; the n-grams are megabytes
+    spark.conf.unset(key)
+    assert len(by_id(scored)) == 200
+
+
+@pytest.mark.parametrize("values", [[], [0, 1, 255], [0, 256], [2**40, 0, 3]])
+def test_op6_counts_are_compressed(values):
+    assert backoff_lm.widened(backoff_lm.narrow(np.array(values, np.int64))).tolist() == values
+    mostly_ones = np.append(np.ones(10_000, np.int64), values)
+    assert backoff_lm.widened(backoff_lm.narrow(mostly_ones)).tolist() == mostly_ones.tolist() and len(backoff_lm.narrow(mostly_ones)) < 5000
+
+
 def components(fps, ids, bits=4):
     label = list(range(len(fps)))
     for i in range(len(fps)):
