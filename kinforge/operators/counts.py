@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.registry import check_degree
+from ..functions.registry import CODES, check_degree
 from ..plans.store import kept
 from ..sources.pedigree import Pedigree
-from .pairs import COLLATERAL, LINEAL, PairRules, SUBTRACT, canonical, rules, with_all_codes
+from .classes import met, weight
+from .pairs import COLLATERAL, LINEAL, PairRules, SUBTRACT, _counted_in_groups, canonical, rules, with_all_codes
 from .reach import reach
 
 
@@ -68,21 +69,23 @@ class DistinctRules(PairRules):
 
     def _candidates(self, code: str) -> DataFrame:
         if code in ("1C", "H1C"):
-            parents = self.ped.people.select("row", "m", "f")
+            parents = self.classes.people.select("row", "m", "f")
             first, second = parents.toDF("lo", "m1", "f1"), parents.toDF("hi", "m2", "f2")
             same = F.coalesce(F.col("m1") == F.col("m2"), F.lit(False)) | F.coalesce(F.col("f1") == F.col("f2"), F.lit(False))
-            found = self.shared(2, 2).join(first, "lo").join(second, "hi").filter(~same)
+            found = met(met(self.shared(2, 2), first, "lo"), second, "hi").filter(~same)
             return found.filter("n >= 2" if code == "1C" else "n = 1").select("lo", "hi")
         if code == "2C":
-            return self.shared(3, 3).filter("n >= 2").select("lo", "hi").join(self.shared(2, 2), ["lo", "hi"], "left_anti")
+            return met(self.shared(3, 3).filter("n >= 2").select("lo", "hi"), self.shared(2, 2), ["lo", "hi"], "left_anti")
         return super()._candidates(code)
 
     def shared(self, a: int, b: int) -> DataFrame:
         name = f"_shared{a}{b}"
         if name not in self.made:
-            left, right = reach(self.ped, a).toDF("i", "anc"), reach(self.ped, b).toDF("j", "anc")
-            both = left.join(right, "anc").filter("i < j" if a == b else "i <> j")
-            self.made[name] = kept(canonical(both, "i", "j").groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n")))
+            left, right = reach(self.classes, a).toDF("i", "anc"), reach(self.classes, b).toDF("j", "anc")
+            both = met(left, right, "anc").filter("i <= j" if a == b else "true")
+            # Two of one class meet in both directions, which a pair of the class with itself stands for at once.
+            each = F.lit(1) if a == b else F.when(F.col("lo") == F.col("hi"), 2).otherwise(1)
+            self.made[name] = kept(canonical(both, "i", "j").groupBy("lo", "hi").agg(F.sum(each).alias("n")))
         return self.made[name]
 
 
@@ -95,10 +98,6 @@ def count_pairs_distinct(ped: Pedigree, max_degree: int = 5, n_threads: int | No
         raise NotImplementedError("count_pairs_distinct can't count a from_subsample pedigree")
     found = ped.__dict__.setdefault("_distinct_rules", DistinctRules(ped))
     exact = rules(ped)
-    out = None
-    for code in ["MZ", "MO", "FO", "FS", "MHS", "PHS", *LINEAL, *COLLATERAL, "1C", "H1C", "1C1R", "H1C1R", "1C2R", "2C"]:
-        own = code in SUBTRACT and code not in COLLATERAL or code in ("1C", "H1C", "2C")
-        pairs = found.pairs(code) if own else exact.oriented(code)
-        one = pairs.agg(F.count(F.lit(1)).alias("n")).select(F.lit(code).alias("code"), "n")
-        out = one if out is None else out.union(one)
-    return with_all_codes(ped, out)
+    own = [c for c in (*SUBTRACT, "1C", "H1C", "2C") if c not in COLLATERAL]
+    told = lambda found, codes: found.coded(codes).groupBy("code").agg(F.sum(weight()).alias("n"))
+    return with_all_codes(ped, _counted_in_groups(ped, CODES).unionByName(told(exact, COLLATERAL)).unionByName(told(found, dict.fromkeys(own))))

@@ -232,3 +232,35 @@ def test_second_cousins(spark):
     assert found(ped, "2C") == {(10, 11)}
     want = {"MO": 12, "FO": 12, "FS": 1, "MHS": 1, "GP": 16, "Av": 2, "GGP": 8, "HAv": 2, "GAv": 2, "1C": 1, "HGAv": 2, "H1C": 1, "1C1R": 2, "H1C1R": 2, "2C": 1}
     assert counted(pairs.count_pairs(ped, 5)) == want
+
+
+# Two sisters 2 and 3 with 12 childless children each (by 4 and 5), of which 6 has one child of its own; rows 31 and 32 are twins.
+SIBSHIPS = dict(mother=[U, U, 0, 0, U, U, *[2] * 12, *[3] * 12, 6, 2, 2], father=[U, U, 1, 1, U, U, *[4] * 12, *[5] * 12, U, 4, 4], twin=[U] * 31 + [32, 31], generation=[0, 0, 1, 1, 1, 1, *[2] * 24, 3, 2, 2])
+
+
+def test_sibships_are_one_class(spark):
+    ped = made(spark, **SIBSHIPS)
+    got = counted(pairs.count_pairs(ped, 5))
+    assert {c: got[c] for c in ("MZ", "FS", "1C", "Av", "1C1R")} == {"MZ": 1, "FS": 133, "1C": 14 * 12, "Av": 12 + 14 + 11, "1C1R": 12 + 2}
+    rows = pairs.extract_pairs(ped, 5).collect()
+    assert len(set(rows)) == len(rows) == sum(got.values())
+    assert found(ped, "1C") == {(min(i, j), max(i, j)) for i in [*range(6, 18), 31, 32] for j in range(18, 30)} and found(ped, "Av") >= {(7, 30), (17, 30), (3, 6), (2, 18)}
+    # Pairs are made once for a class, and no table that grows with the input goes through the driver.
+    own = pairs.rules(ped)
+    assert own.pairs("FS").count() == 4 and own.pairs("1C").count() == 4
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "Broadcast" not in own.classes.listed(own.coded(["FS", "1C"]))._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sub = Pedigree.from_subsample(ped, {"id": [30, 20, 19, 8, 7, 6]}, spark)
+    assert {(r["code"], r["idx1"], r["idx2"]) for r in pairs.extract_pairs(sub, 2).collect()} == {("MO", 0, 5), ("FS", 1, 2), ("FS", 3, 4), ("FS", 3, 5), ("FS", 4, 5), ("Av", 0, 3), ("Av", 0, 4), *(("1C", i, j) for i in (1, 2) for j in (3, 4, 5))}
+    assert counted(pairs.count_pairs(sub, 2)) == {"MO": 1, "FS": 4, "Av": 2, "1C": 6}
+
+
+def test_sibs_that_share_an_ancestor_at_two_depths(spark):
+    """Full sibs 5, 6 and 7 have 0 as grandmother and as great-grandmother: two of one class meet there in both directions."""
+    ped = made(spark, mother=[U, U, 0, 2, 0, 4, 4, 4], father=[U, U, 1, U, U, 3, 3, 3])
+    assert pairs.rules(ped).shared(2, 3).filter("lo = hi").select("n").collect() == [(1,)]
+    distinct = counts.DistinctRules(ped)
+    assert distinct.shared(2, 3).filter("lo = hi").select("n").collect() == [(2,)]
