@@ -264,3 +264,19 @@ def test_sibs_that_share_an_ancestor_at_two_depths(spark):
     assert pairs.rules(ped).shared(2, 3).filter("lo = hi").select("n").collect() == [(1,)]
     distinct = counts.DistinctRules(ped)
     assert distinct.shared(2, 3).filter("lo = hi").select("n").collect() == [(2,)]
+
+
+def _by_rows(ped):
+    return kinship._kinship(ped, ped.people.select("row", ped.people["generation"].alias("level")), 0.0)
+
+
+def test_kinship_of_classes(spark):
+    """The table of classes unfolds into the one that takes every row on its own: sibships, inbreeding, twins with children, a link that skips levels."""
+    ped = made(spark, **SIBSHIPS)
+    rows = lambda df: sorted(tuple(r) for r in df.select("i", "j", "phi").collect())
+    assert rows(kinship.kinship(ped)) == rows(_by_rows(ped))
+    table = kinship._kinship_of_classes(ped, ped.people.select("row", ped.people["generation"].alias("level")))
+    assert table[0].count() < 70 < 400 < len(rows(kinship.kinship(ped)))
+    # 4 and 5 are twins with a child each, 6 and 7; 8 to 10 are inbred sibs of 6 and 7; 11 is of 8 and founder 0.
+    bred = made(spark, mother=[U, U, 0, 0, 2, 2, 4, 0, 6, 6, 6, 0], father=[U, U, 1, 1, 3, 3, U, 5, 7, 7, 7, 8], twin=[U, U, U, U, 5, 4, *[U] * 6], generation=[0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 4, 5])
+    assert rows(kinship.kinship(bred)) == rows(_by_rows(bred))
