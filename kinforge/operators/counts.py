@@ -29,7 +29,7 @@ def count_pairs_scalar(ped: Pedigree, max_degree: int = 2, scope: str = "full")
     people = ped.people.select("row", "m", "f", "tw", F.col("orig_mother").alias("mo"), F.col("orig_father").alias("fa"))
     if deep:
         down = reduce(DataFrame.union, [reach(ped, k).select(F.col("anc").alias("row"), F.lit(k).alias("k")) for k in range(1, deep + 1)])
-        people = people.join(down.groupBy("row").agg(*[F.count_if(F.col("k") == k).alias(f"d{k}") for k in range(1, 6)]), "row", "left")
+        people = met(people, down.groupBy("row").agg(*[F.count_if(F.col("k") == k).alias(f"d{k}") for k in range(1, 6)]), "row", "left")
         people = people.select(*people.columns[:6], *[F.coalesce(f"d{k}", F.lit(0)).cast("long").alias(f"d{k}") for k in range(1, 6)])
     else:
         people = people.select("*", *[F.lit(0).cast("long").alias(f"d{k}") for k in range(1, 6)])

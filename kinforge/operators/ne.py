@@ -12,6 +12,7 @@ from ..plans.store import kept
 from ..sources.pedigree import Pedigree
 from . import cohort as C
 from . import results as N
+from .classes import BITS, met, size
 from .kinship import inbreeding, mean_kinship, spine, theta_per_generation
 from .reach import ancestors, contributions, eqg
 
@@ -45,7 +46,7 @@ def rate_summary(series: DataFrame, value: str) -> DataFrame:
 
 def mean_f(ped: Pedigree) -> DataFrame:
     """(generation, mean_f): 0 for a generation without members."""
-    f = ped.people.select("row", "generation").join(inbreeding(ped).select("row", "f"), "row").groupBy("generation").agg(F.avg("f").alias("mean_f"))
+    f = met(ped.people.select("row", "generation"), inbreeding(ped).select("row", "f"), "row").groupBy("generation").agg(F.avg("f").alias("mean_f"))
     return spine(ped).join(f, "generation", "left").select("generation", F.coalesce("mean_f", F.lit(0.0)).alias("mean_f"))
 
 
@@ -59,7 +60,7 @@ def coancestry_series(ped: Pedigree, theta: DataFrame | None = None) -> DataFram
 
 def delta_f_series(ped: Pedigree) -> DataFrame:
     """(generation, ne, mean_eqg, n_used)."""
-    each = ped.people.select("row", "generation").join(inbreeding(ped).select("row", "f"), "row").join(eqg(ped).select("row", F.col("value").alias("eqg")), "row").filter("eqg > 1 AND f < 1")
+    each = met(met(ped.people.select("row", "generation"), inbreeding(ped).select("row", "f"), "row"), eqg(ped).select("row", F.col("value").alias("eqg")), "row").filter("eqg > 1 AND f < 1")
     told = each.withColumn("df", 1 - F.pow(1 - F.col("f"), 1 / (F.col("eqg") - 1))).groupBy("generation").agg(F.avg("df").alias("df"), F.avg("eqg").alias("mean_eqg"), F.count(F.lit(1)).alias("n"))
     return spine(ped).join(told, "generation", "left").select("generation", F.when(F.col("df") > 0, 1 / (2 * F.col("df"))).alias("ne"), "mean_eqg", F.coalesce("n", F.lit(0)).cast("long").alias("n_used"))
 
@@ -67,10 +68,10 @@ def delta_f_series(ped: Pedigree) -> DataFrame:
 def family_table(ped: Pedigree) -> DataFrame:
     """(row, sex, generation, birth_year, k_m, k_f): each individual's lifetime offspring by their sex, as a father (sex 1) or mother (sex 0)."""
     if "_families" not in ped.__dict__:
-        kids = ped.edges.join(ped.people.select(F.col("row").alias("child"), F.col("sex").alias("ks")), "child")
+        kids = met(ped.edges, ped.people.select(F.col("row").alias("child"), F.col("sex").alias("ks")), "child")
         counts = kids.groupBy("parent", "side").agg(F.count_if(F.col("ks") == 1).alias("k_m"), F.count_if(F.col("ks") != 1).alias("k_f"))
         own = ped.people.filter("sex IN (0, 1)").select("row", "sex", "generation", "birth_year", F.when(F.col("sex") == 1, "f").otherwise("m").alias("side"))
-        joined = own.join(counts.withColumnRenamed("parent", "row"), ["row", "side"], "left")
+        joined = met(own, counts.withColumnRenamed("parent", "row"), ["row", "side"], "left")
         ped._families = kept(joined.select("row", "sex", "generation", "birth_year", F.coalesce("k_m", F.lit(0)).cast("long").alias("k_m"), F.coalesce("k_f", F.lit(0)).cast("long").alias("k_f")))
     return ped._families
 
@@ -106,7 +107,7 @@ def founder_shares(ped: Pedigree) -> DataFrame:
     if "_founder_shares" not in ped.__dict__:
         founders = ped.people.filter("generation = 0").select(F.col("row").alias("founder"))
         sizes = ped.people.groupBy("generation").agg(F.count(F.lit(1)).alias("n"))
-        w = contributions(ped).select("generation", F.col("row").alias("founder"), "w").join(founders, "founder", "left_semi")
+        w = met(contributions(ped).select("generation", F.col("row").alias("founder"), "w"), founders, "founder", "left_semi")
         ped._founder_shares = kept(w.join(sizes, "generation").select("generation", "founder", (F.col("w") / F.col("n")).alias("mean")))
     return ped._founder_shares
 
@@ -115,7 +116,7 @@ def founder_means(ped: Pedigree) -> DataFrame:
     """(generation, founder, mean): founder_shares with its zeros, for generations with members. As large as generations times founders: only to be looked at."""
     founders = ped.people.filter("generation = 0").select(F.col("row").alias("founder"))
     every = ped.people.select("generation").distinct().crossJoin(founders)
-    return every.join(founder_shares(ped), ["generation", "founder"], "left").select("generation", "founder", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+    return met(every, founder_shares(ped), ["generation", "founder"], "left").select("generation", "founder", F.coalesce("mean", F.lit(0.0)).alias("mean"))
 
 
 def long_term_summary(ped: Pedigree, tol: float = 1e-6, mean_contributions: DataFrame | None = None) -> DataFrame:
@@ -139,11 +140,12 @@ def caballero_toro_accumulators(ped: Pedigree) -> DataFrame:
     """(generation, founder, sums, n): summed self-coancestry and number of a founder's descendants (itself included) by generation."""
     if "_ct" not in ped.__dict__:
         founders = ped.people.filter("generation = 0").select(F.col("row").alias("founder"))
-        below = ancestors(ped).select(F.col("desc").alias("row"), F.col("anc").alias("founder")).join(founders, "founder").select("row", "founder")
+        below = met(ancestors(ped).select(F.col("desc").alias("row"), F.col("anc").alias("founder")), founders, "founder", "left_semi").withColumn("n", size("row"))
         # Rows of generation 0 hold themselves only.
-        inside = below.join(ped.people.filter("generation > 0").select("row"), "row", "left_semi").union(founders.select(F.col("founder").alias("row"), "founder"))
-        own = ped.people.select("row", "generation").join(inbreeding(ped).select("row", "f"), "row")
-        ped._ct = kept(inside.join(own, "row").groupBy("generation", "founder").agg(F.sum((1 + F.col("f")) / 2).alias("sums"), F.count(F.lit(1)).alias("n")))
+        inside = below.select(F.shiftright("row", BITS).alias("row"), "founder", "n").union(founders.select(F.col("founder").alias("row"), "founder", F.lit(1)))
+        own = met(ped.people.select("row", "generation"), inbreeding(ped).select("row", "f"), "row")
+        each = met(inside, own, "row").filter("generation > 0 OR row = founder")
+        ped._ct = kept(each.groupBy("generation", "founder").agg(F.sum(F.col("n") * (1 + F.col("f")) / 2).alias("sums"), F.sum("n").alias("n")))
     return ped._ct
 
 

@@ -296,3 +296,22 @@ def test_pair_kinship_asks_for_its_pairs_alone(spark):
     listed = pairs.extract_pairs(ped, 2)
     got = kinship.pair_kinship(ped, listed).collect()
     assert "_kinship" not in ped.__dict__ and len(got) == listed.count() and {r["phi"] for r in got if r["code"] == "1C"} == {0.0625} and {r["phi"] for r in got if r["code"] == "MZ"} == {0.5}
+
+
+def test_lineage_and_mean_kinship_of_classes(spark):
+    """A sibship's ancestors are made once; sums by generation weigh it by its members; joins of whole tables are merged."""
+    ped = made(spark, **SIBSHIPS)
+    assert sum(t.count() for t in reach.lineage(ped).values()) < 35
+    assert {i: n for i, n in values(reach.n_ancestors(ped)).items() if n} == {2: 2, 3: 2, 30: 5, **dict.fromkeys([*range(6, 30), 31, 32], 4)}
+    theta, by_pairs = values(kinship.theta_per_generation(ped), "generation", "theta"), values(kinship.mean_kinship(ped, _by_rows(ped)), "generation", "theta")
+    assert theta == pytest.approx(by_pairs)
+    bred = made(spark, mother=[U, U, 0, 0, *[2] * 5], father=[U, U, 1, 1, *[3] * 5], generation=[0, 0, 1, 1, *[2] * 5])
+    assert values(kinship.inbreeding(bred), value="f") == dict.fromkeys(range(4), 0) | dict.fromkeys(range(4, 9), 0.25)
+    assert values(kinship.theta_per_generation(bred), "generation", "theta") == {0: 0, 1: 0.25, 2: 0.375}
+    assert {(r["generation"], r["founder"], r["sums"], r["n"]) for r in ne.caballero_toro_accumulators(bred).collect()} == {(g, a, s, n) for a in (0, 1) for g, s, n in ((0, 0.5, 1), (1, 1, 2), (2, 3.125, 5))}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (reach.eqg(ped), reach.n_ancestors(ped), kinship._asked(ped, pairs.rules(ped).coded(["FS"]))):
+            assert "Broadcast" not in df._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
