@@ -266,8 +266,26 @@ def test_sibs_that_share_an_ancestor_at_two_depths(spark):
     assert distinct.shared(2, 3).filter("lo = hi").select("n").collect() == [(2,)]
 
 
-def _by_rows(ped):
-    return kinship._kinship(ped, ped.people.select("row", ped.people["generation"].alias("level")), 0.0)
+def _by_rows(ped, bound=0.0):
+    """(i, j, phi) by the definition, a pair at a time: the kinship of the later row's parents with the other one; what is not above the bound is dropped at once."""
+    people = {r["row"]: r for r in ped.people.collect()}
+    k, last = {}, max(r["generation"] for r in people.values())
+    parents = lambda i: [p for p in (people[i]["m"], people[i]["f"]) if p is not None]
+    for g in range(last + 1):
+        here = sorted(i for i, r in people.items() if r["generation"] == g)
+        before = [j for j, r in people.items() if r["generation"] < g]
+        own = {i: (1 + k.get((people[i]["m"], people[i]["f"]), 0)) / 2 for i in here}
+        level = {}
+        for i in here:
+            for j in before + [j for j in here if j < i]:
+                through = k if j in before else level
+                if (phi := sum(through.get((j, p) if through is level else (p, j), 0) for p in parents(i)) / 2) > bound:
+                    level[i, j] = level[j, i] = phi
+        k |= level | {(i, i): own[i] for i in here}
+        for i in here:
+            if people[i]["tw"] is not None and parents(i):
+                k[i, people[i]["tw"]] = k[people[i]["tw"], i] = own[i]
+    return ped.spark.createDataFrame([(i, j, float(phi)) for (i, j), phi in k.items()], "i long, j long, phi double")
 
 
 def test_kinship_of_classes(spark):
@@ -280,6 +298,8 @@ def test_kinship_of_classes(spark):
     # 4 and 5 are twins with a child each, 6 and 7; 8 to 10 are inbred sibs of 6 and 7; 11 is of 8 and founder 0.
     bred = made(spark, mother=[U, U, 0, 0, 2, 2, 4, 0, 6, 6, 6, 0], father=[U, U, 1, 1, 3, 3, U, 5, 7, 7, 7, 8], twin=[U, U, U, U, 5, 4, *[U] * 6], generation=[0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 4, 5])
     assert rows(kinship.kinship(bred)) == rows(_by_rows(bred))
+    # A threshold may part sibs: rows stay apart, and only those with children are joined with the next level's links.
+    assert rows(kinship.kinship(bred, max_degree=2)) == rows(_by_rows(bred, kinship.threshold(max_degree=2)))
 
 
 def test_pair_kinship_asks_for_its_pairs_alone(spark):
